@@ -6,7 +6,7 @@ generated from the same list, so the two cannot drift apart.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,13 +35,18 @@ PAGING_WORDS = ("page", "p=", "pagina", "nav")
 LOW_PENALTY, HIGH_BONUS, PAGING_BONUS, LOWEST_SCORE = -100, 50, 30, -80
 
 
+def one_of(words: tuple[str, ...]) -> str:
+    """A regular expression for any of the words, so that the tested column is evaluated once."""
+    return "(?:" + "|".join(re.sub(r"([^A-Za-z0-9 ])", r"[\1]", w) if w.isascii() else w for w in words) + ")"
+
+
 def contains_any(column: Column, words: tuple[str, ...]) -> Column:
     """True where any word occurs in the column; null stays null."""
-    return reduce(lambda a, b: a | b, (F.contains(column, F.lit(w)) for w in words))
+    return column.rlike(one_of(words))
 
 
 def ends_with_any(column: Column, endings: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (F.endswith(column, F.lit(w)) for w in endings))
+    return column.rlike(one_of(endings) + r"\z")
 
 
 def quote(text: str) -> str:
