@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import line_dedup
+from quarrymill.functions.rules import quote
+from quarrymill.llm import line_dedup, secret_scan
 from quarrymill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,9 +36,52 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_secret_scan(spark: SparkSession, directory: str) -> DataFrame:
+    scanned = secret_scan.scan_secrets(table(spark, directory, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("findings", lambda f: f["kind"] < len(secret_scan.BASE_RULES))
+    kinds = F.col("findings.kind")
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{rule.kind}")
+        for n, rule in enumerate(secret_scan.BASE_RULES)
+    ]
+    return scanned.select(
+        "doc_id",
+        *counts,
+        F.sha2(secret_scan.span_list(base), 256).alias("base_sha256"),
+        secret_scan.span_list(F.col("findings")).alias("spans"),
+    )
+
+
+def _op2_sql() -> str:
+    assign, access = secret_scan.BASE_RULES[0].pattern, secret_scan.BASE_RULES[1].pattern
+    pem, platform = (r.pattern for r in secret_scan.MORE_RULES)
+    rules = ((0, assign, 2, 12), (1, access, 0, 18), (2, "[0-9a-f]+", 0, 16), (3, pem, 0, 27), (4, platform, 0, 40))
+    each = " UNION ALL ".join(
+        f"""SELECT row, {n} AS kind, generate_subscripts(m, 1) AS nth, unnest(list_transform(g[:len(m)], lambda x: length(x))) AS gap,
+        unnest(list_transform(m, lambda x: length(x))) AS width, unnest(list_transform(t, lambda x: length(x))) >= {least} AS good
+      FROM (SELECT row, string_split_regex(text, {quote(p)}) AS g, regexp_extract_all(text, {quote(p)}, 0) AS m,
+        regexp_extract_all(text, {quote(p)}, {group}) AS t FROM docs)"""
+        for n, p, group, least in rules
+    )
+    name = "['assign', 'access', 'hex', 'pem', 'platform'][kind + 1] || ':' || (stop - width) || ':' || stop"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+each AS ({each}),
+placed AS (SELECT *, sum(gap + width) OVER (PARTITION BY row, kind ORDER BY nth)::BIGINT AS stop FROM each),
+lists AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg({name}, ',' ORDER BY stop - width, kind) FILTER (kind < 3) AS base,
+    string_agg({name}, ',' ORDER BY stop - width, kind) AS spans
+  FROM placed WHERE good GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN lists USING (row)"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op6_line_dedup": op6_line_dedup}
+    return {"op2_secret_scan": op2_secret_scan, "op6_line_dedup": op6_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL}
+    return {"op2_secret_scan": _op2_sql(), "op6_line_dedup": OP6_SQL}
