@@ -1,0 +1,204 @@
+"""Byte-level BPE encoding and decoding with a rank queue.
+
+Merging one pre-token: its bytes form a linked list; each adjacent pair whose concatenation is
+in the vocabulary puts its position into the bucket of that rank. A bitmap of three levels
+marks the ranks with a bucket, so find-first-set gives the next rank in three steps whatever
+the length. Entries that an earlier merge made stale are skipped when they come up. The work is
+near-linear in the pre-token, which matters for those of thousands of bytes.
+
+Pre-tokens repeat, so each task keeps the ids of those it has seen, up to a fixed number.
+"""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+from functools import lru_cache
+from heapq import heappop, heappush
+from itertools import chain
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+
+from quarrymill.llm.common import by_slices, text_or_empty
+
+#: Pre-tokens whose ids a task keeps, and the longest that is kept; then it starts afresh.
+CACHE_ENTRIES, CACHE_BYTES_EACH = 300_000, 64
+
+
+class RankQueue:
+    """Positions by rank; gives the lowest rank first and within it the leftmost position."""
+
+    def __init__(self, ranks: int):
+        self.buckets: dict[int, list[int]] = {}
+        self.low = [0] * ((ranks >> 6) + 1)
+        self.mid = [0] * ((ranks >> 12) + 1)
+        self.top = 0
+
+    def push(self, rank: int, position: int) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket is not None:
+            heappush(bucket, position)
+            return
+        self.buckets[rank] = [position]
+        self.low[rank >> 6] |= 1 << (rank & 63)
+        self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
+        self.top |= 1 << (rank >> 12)
+
+    def pop(self) -> tuple[int, int]:
+        high = (self.top & -self.top).bit_length() - 1
+        word = self.mid[high]
+        middle = (high << 6) | ((word & -word).bit_length() - 1)
+        word = self.low[middle]
+        rank = (middle << 6) | ((word & -word).bit_length() - 1)
+        bucket = self.buckets[rank]
+        position = heappop(bucket)
+        if not bucket:
+            del self.buckets[rank]
+            self.low[middle] &= ~(1 << (rank & 63))
+            if not self.low[middle]:
+                self.mid[high] &= ~(1 << (middle & 63))
+                if not self.mid[high]:
+                    self.top &= ~(1 << high)
+        return rank, position
+
+    def __bool__(self) -> bool:
+        return self.top != 0
+
+
+class Codec:
+    """Encoder and decoder of one rank file."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks = ranks
+        self.split = regex.compile(pattern).findall
+        self.bytes_of = {i: b for b, i in ranks.items()}
+        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def merge(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of one pre-token."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return (whole,)
+        ranks, queue, n = self.ranks, self.queue, len(piece)
+        after = list(range(1, n + 1))  # start of the next part; n at the end
+        before = list(range(-1, n - 1))
+        pair = [-1] * n  # rank of the part at i joined with the next; -1 where none or where i is no start
+
+        for i in range(n - 1):
+            rank = ranks.get(piece[i : i + 2])
+            if rank is not None:
+                pair[i] = rank
+                queue.push(rank, i)
+        while queue:
+            rank, i = queue.pop()
+            if pair[i] != rank:
+                continue  # stale: one of the two parts has changed since
+            gone = after[i]
+            end = after[gone]
+            after[i] = end
+            pair[gone] = -1
+            if end < n:
+                before[end] = i
+                joined = ranks.get(piece[i : after[end]], -1)
+                pair[i] = joined
+                if joined >= 0:
+                    queue.push(joined, i)
+            else:
+                pair[i] = -1
+            left = before[i]
+            if left >= 0:
+                joined = ranks.get(piece[left:end], -1)
+                if joined != pair[left]:
+                    pair[left] = joined
+                    if joined >= 0:
+                        queue.push(joined, left)
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[piece[i : after[i]]])
+            i = after[i]
+        return tuple(out)
+
+    def encode(self, text: str) -> list[int]:
+        pieces = self.split(text)
+        seen = self.seen
+        new = set(pieces).difference(seen)
+        for piece in new:
+            seen[piece] = self.merge(piece.encode())
+        ids = list(chain.from_iterable(map(seen.__getitem__, pieces)))
+        if len(seen) > CACHE_ENTRIES:
+            seen.clear()
+        else:
+            for piece in [p for p in new if len(p) > CACHE_BYTES_EACH]:
+                del seen[piece]
+        return ids
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+
+@lru_cache(maxsize=2)
+def load_codec(rank_file: str, pattern: str) -> Codec:
+    """The codec of a rank file (base64 bytes and rank on each line), once in each process."""
+    with open(rank_file, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return Codec(ranks, pattern)
+
+
+def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """doc_id, ids (array<int>) of every row; narrow, without a shuffle.
+
+    Each match of ``pattern`` is encoded by itself, without special tokens. Null text counts as
+    empty, which has no ids. Repeated rows and null ids each keep their row; other columns are
+    left out, so clashing names do no harm. Texts have no length limit.
+    """
+
+    def work(batch: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:
+        ids = [codec.encode(text) for text in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    source = docs.select("doc_id", text_or_empty().alias("text"))
+    return source.mapInArrow(by_slices(work, lambda: load_codec(rank_file, pattern)), f"doc_id {_kind(docs)}, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """(doc_id, ids) -> (doc_id, bytes). Null ids decode to no bytes; an unknown id is an error."""
+
+    def work(batch: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:
+        found = [codec.decode(ids or []) for ids in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "bytes"])
+
+    source = encoded.select("doc_id", "ids")
+    return source.mapInArrow(by_slices(work, lambda: load_codec(rank_file, pattern)), f"doc_id {_kind(encoded)}, bytes binary")
+
+
+def round_trip_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: both directions in one pass, only digests leave Python."""
+
+    def digests(text: str, codec: Codec) -> tuple[int, str, str]:
+        ids = codec.encode(text)
+        listed = " ".join(map(str, ids)).encode()
+        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+
+    def work(batch: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:
+        found = [digests(text, codec) for text in batch.column(1).to_pylist()]
+        n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
+        arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    source = docs.select("doc_id", text_or_empty().alias("text"))
+    schema = f"doc_id {_kind(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return source.mapInArrow(by_slices(work, lambda: load_codec(rank_file, pattern)), schema)
+
+
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
+def public_vocabulary() -> tuple[str, str]:
+    """Rank file and pattern of the installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
