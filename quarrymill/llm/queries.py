@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.rules import quote
-from quarrymill.llm import line_dedup, secret_scan
+from quarrymill.llm import bpe, line_dedup, packing, secret_scan
 from quarrymill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, directory, "documents"), *bpe.public_vocabulary())
+
+
 def op6_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, directory, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -36,6 +40,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op1_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack_documents(table(spark, directory, "documents"), *packing.public_vocabulary())
+
+
 def op2_secret_scan(spark: SparkSession, directory: str) -> DataFrame:
     scanned = secret_scan.scan_secrets(table(spark, directory, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("findings", lambda f: f["kind"] < len(secret_scan.BASE_RULES))
@@ -80,7 +88,12 @@ FROM docs LEFT JOIN lists USING (row)"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_secret_scan": op2_secret_scan, "op6_line_dedup": op6_line_dedup}
+    return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_secret_scan": op2_secret_scan,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op6_line_dedup": op6_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
