@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.rules import quote
-from quarrymill.llm import bpe, line_dedup, packing, secret_scan
+from quarrymill.llm import bpe, line_dedup, packing, quality_rules, secret_scan, simhash
 from quarrymill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,52 @@ def op3_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, directory, "documents"), *bpe.public_vocabulary())
 
 
+def op4_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, directory, "documents")).drop("n_lines")
+
+
+def _op4_sql() -> str:
+    q = quality_rules
+    rules = {
+        "short": f"n_words < {q.MIN_WORDS}",
+        "repetitive": f"100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words",
+        "symbols": f"100 * n_symbols > {q.MAX_SYMBOL_PERCENT} * n_words",
+        "dup_lines": f"100 * n_dup_lines > {q.MAX_DUP_LINE_PERCENT} * n_lines",
+        "word_length": f"(word_chars < {q.MIN_WORD_CHARS} * n_words OR word_chars > {q.MAX_WORD_CHARS} * n_words)",
+    }
+    each = lambda form: ", ".join(form.format(r=r, test=t) for r, t in rules.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT row, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word
+  FROM (SELECT row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+windows AS (SELECT row, pos, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS gram
+  FROM words WINDOW w AS (PARTITION BY row ORDER BY pos)),
+twice AS (SELECT row, unnest([pos, pos + 1, pos + 2]) AS pos
+  FROM (SELECT row, pos, count(*) OVER (PARTITION BY row, gram) AS n FROM windows WHERE gram IS NOT NULL) WHERE n > 1),
+repeated AS (SELECT row, count(DISTINCT pos) AS n FROM twice GROUP BY row),
+sizes AS (SELECT row, count(*) AS n, sum(length(word))::BIGINT AS chars FROM words GROUP BY row),
+lines AS (SELECT row, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+m AS (SELECT d.row, doc_id, source, coalesce(s.n, 0) AS n_words, coalesce(s.chars, 0) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines
+  FROM d LEFT JOIN sizes s USING (row) LEFT JOIN lines l ON l.row = d.row LEFT JOIN repeated r ON r.row = d.row),
+hosts AS (SELECT source, count(*) AS docs, {each("count(*) FILTER ({test}) AS {r}")} FROM m GROUP BY source),
+totals AS (SELECT sum(docs) AS docs, {each("sum({r}) / sum(docs)::DOUBLE AS {r}")} FROM hosts),
+spread AS (SELECT {each("sum(h.docs * (h.{r} / h.docs::DOUBLE - t.{r}) ** 2) / max(t.docs) AS {r}")} FROM hosts h, totals t),
+weights AS (SELECT {each("CASE WHEN s.{r} > 0 THEN least(greatest(t.{r} * (1 - t.{r}) / s.{r} - 1, " + f"{q.PRIOR_LEAST}), {q.PRIOR_MOST}" + ") ELSE " + f"{q.PRIOR_MOST}" + " END AS {r}")}
+  FROM totals t, spread s),
+flags AS (SELECT source, {each("(h.{r} + t.{r} * w.{r}) / (h.docs + w.{r}) >= " + f"{q.HOST_LIMIT}" + " AS {r}")} FROM hosts h, totals t, weights w),
+judged AS (SELECT m.*, {rules["short"]} OR {rules["repetitive"]} AS base_failed, {" OR ".join(f"(f.{r} AND {t})" for r, t in rules.items())} AS by_host
+  FROM m LEFT JOIN flags f ON m.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR by_host) AS kept FROM judged"""
+
+
+def op5_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, directory, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, directory, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -92,9 +138,11 @@ def queries() -> dict[str, Query]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_secret_scan": op2_secret_scan,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_line_dedup": op6_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": _op2_sql(), "op6_line_dedup": OP6_SQL}
+    return {"op2_secret_scan": _op2_sql(), "op4_quality_rules": _op4_sql(), "op6_line_dedup": OP6_SQL}
