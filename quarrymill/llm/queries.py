@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.rules import quote
-from quarrymill.llm import bpe, line_dedup, packing, quality_rules, secret_scan, simhash
+from quarrymill.llm import bpe, line_dedup, packing, quality_cnn, quality_rules, secret_scan, simhash, topk
 from quarrymill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +133,32 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN lists USING (row)"""
 
 
+def op7_quality_cnn(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    return quality_cnn.score_documents(documents, quality_cnn.fit(documents, table(spark, directory, "labels")))
+
+
+def op8_topk_threshold(spark: SparkSession, directory: str) -> DataFrame:
+    vectors = table(spark, directory, "embeddings")
+    queries = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return topk.top_k(vectors, queries, 5)
+
+
+OP8_SQL = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS ints FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.ints, v.ints)::BIGINT AS score
+  FROM usable q JOIN usable v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.ints) = len(v.ints)
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -141,8 +167,10 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": op4_quality_rules,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_line_dedup": op6_line_dedup,
+        "op7_quality_cnn": op7_quality_cnn,
+        "op8_topk_threshold": op8_topk_threshold,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": _op2_sql(), "op4_quality_rules": _op4_sql(), "op6_line_dedup": OP6_SQL}
+    return {"op2_secret_scan": _op2_sql(), "op4_quality_rules": _op4_sql(), "op6_line_dedup": OP6_SQL, "op8_topk_threshold": OP8_SQL}
