@@ -14,6 +14,7 @@ import zlib
 from collections import deque
 from dataclasses import dataclass
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,31 +27,35 @@ from quarrymill.llm.common import by_slices, staged, text_or_empty
 SEQUENCE_TOKENS = 2048
 END_ID = 0
 #: Pre-tokens whose ids a task keeps, and the longest that is kept; then it starts afresh.
-CACHE_ENTRIES, CACHE_CHARS_EACH = 300_000, 64
+CACHE_ENTRIES, CACHE_CHARS_EACH = 600_000, 64
 
 
 class PieceTokenizer:
     """Ids of texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
 
-    The model works on each pre-token by itself, so a pre-token goes to the library once and
-    its ids are kept.
+    The library's model works on each pre-token by itself, so a pre-token goes to it once, in
+    the byte alphabet that it expects, and its ids are kept. Strings of special tokens in a
+    text are ordinary text.
     """
 
     def __init__(self, vocabulary: str, pattern: str):
         import tokenizers
 
-        self.model = tokenizers.Tokenizer.from_file(vocabulary)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenize = tokenizers.Tokenizer.from_file(vocabulary).model.tokenize
         self.split = regex.compile(pattern).findall
         self.seen: dict[str, bytes] = {}
+        # Printable bytes stand for themselves, the others for the code points from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = (b for b in range(256) if b not in shown)
+        self.alphabet = {b: 256 + n for n, b in enumerate(hidden)}
 
     def encode(self, text: str) -> bytes:
         pieces = self.split(text)
         seen = self.seen
-        new = list(set(pieces).difference(seen))
-        if new:
-            for piece, found in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                seen[piece] = np.array(found.ids, "<u4").tobytes()
+        new = set(pieces).difference(seen)
+        for piece in new:
+            tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+            seen[piece] = pack(f"<{len(tokens)}I", *[token.id for token in tokens])
         ids = b"".join(map(seen.__getitem__, pieces))
         if len(seen) > CACHE_ENTRIES:
             seen.clear()
