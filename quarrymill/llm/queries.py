@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.rules import quote
-from quarrymill.llm import bpe, chat, line_dedup, packing, quality_cnn, quality_rules, secret_scan, simhash, topk
+from quarrymill.llm import bpe, chat, line_dedup, packing, pii, quality_cnn, quality_rules, secret_scan, simhash, topk
 from quarrymill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +185,13 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op10_pii_bilstm_crf(spark: SparkSession, directory: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, directory, "documents"), pii.trained_tagger())
+    kinds = F.col("base.kind")
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -196,6 +203,7 @@ def queries() -> dict[str, Query]:
         "op7_quality_cnn": op7_quality_cnn,
         "op8_topk_threshold": op8_topk_threshold,
         "op9_chat_format": op9_chat_format,
+        "op10_pii_bilstm_crf": op10_pii_bilstm_crf,
     }
 
 
