@@ -15,10 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 @cache
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from quarrymill.plans import documents, links, relational, telemetry
+    from quarrymill.plans import discovery, documents, facts, health, links, logs, relational, telemetry
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (links, relational, telemetry, documents):
+    for module in (links, relational, telemetry, documents, discovery, facts, health, logs):
         clash = found.keys() & module.QUERIES.keys()
         if clash:
             raise ValueError(f"registered twice: {sorted(clash)}")
