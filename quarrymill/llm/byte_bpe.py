@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with a rank queue.
 
 Merging one pre-token: its bytes form a linked list; each adjacent pair whose concatenation is
-in the vocabulary puts its position into the bucket of that rank. A bitmap of three levels
-marks the ranks with a bucket, so find-first-set gives the next rank in three steps whatever
-the length. Entries that an earlier merge made stale are skipped when they come up. The work is
-near-linear in the pre-token, which matters for those of thousands of bytes.
+in the vocabulary puts its position into the bucket of that rank. A bitmap of two levels of
+256-bit words marks the ranks that have positions, so find-first-set gives the next rank in two
+steps whatever the length. Entries that an earlier merge made stale are skipped when they come
+up. The work is near-linear in the pre-token, which matters for those of thousands of bytes.
 
 Pre-tokens repeat, so each task keeps the ids of those it has seen, up to a fixed number.
 """
@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
-from heapq import heappop, heappush
-from itertools import chain
+from heapq import heappop, heappush, heappushpop
 
 import pyarrow as pa
 import regex
@@ -24,121 +24,126 @@ from pyspark.sql import DataFrame
 from quarrymill.llm.common import by_slices, text_or_empty
 
 #: Pre-tokens whose ids a task keeps, and the longest that is kept; then it starts afresh.
-CACHE_ENTRIES, CACHE_BYTES_EACH = 300_000, 64
-
-
-class RankQueue:
-    """Positions by rank; gives the lowest rank first and within it the leftmost position."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int]:
-        high = (self.top & -self.top).bit_length() - 1
-        word = self.mid[high]
-        middle = (high << 6) | ((word & -word).bit_length() - 1)
-        word = self.low[middle]
-        rank = (middle << 6) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[middle] &= ~(1 << (rank & 63))
-            if not self.low[middle]:
-                self.mid[high] &= ~(1 << (middle & 63))
-                if not self.mid[high]:
-                    self.top &= ~(1 << high)
-        return rank, position
-
-    def __bool__(self) -> bool:
-        return self.top != 0
+CACHE_ENTRIES, CACHE_CHARS_EACH = 1_000_000, 64
+#: Bits of a bitmap word.
+WORD = 256
+BITS = [1 << i for i in range(WORD)]
 
 
 class Codec:
-    """Encoder and decoder of one rank file."""
+    """Encoder and decoder of one rank file.
+
+    The rank queue lives in ``slots`` (a waiting position by rank), ``more`` (a heap of further
+    positions by rank) and a bitmap of two levels: ``words`` has a bit for each rank with a
+    position, the top word a bit for each word that is not zero. All are empty between merges.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        most = max(ranks.values(), default=0)
+        if most >= WORD * WORD:
+            raise ValueError("the two bitmap levels hold 65,536 ranks")
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.decimal = {i: str(i) for i in ranks.values()}
+        self.single = [ranks.get(bytes((a,)), -1) for a in range(256)]
+        self.double = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        self.slots, self.more, self.words = [-1] * (most + 1), {}, [0] * (WORD + 1)
+        self.seen = Seen(self)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        after = list(range(1, n + 1))  # start of the next part; n at the end
-        before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the part at i joined with the next; -1 where none or where i is no start
-
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while queue:
-            rank, i = queue.pop()
+        find, n, double = self.ranks.get, len(piece), self.double
+        slots, more, words, bit, top = self.slots, self.more, self.words, BITS, 0
+        after, before = list(range(1, n + 2)), list(range(-1, n))  # neighbours of the part that starts at i
+        part = [self.single[byte] for byte in piece]  # id of the part that starts at i
+        # Rank of the part at i joined with the next one; -1 where there is none or no part starts.
+        pair = [double[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        pair.append(-1)
+        waiting = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
+        while waiting or top:
+            for rank, i in waiting:  # push
+                if slots[rank] < 0:
+                    slots[rank] = i
+                    high = rank >> 8
+                    words[high] |= bit[rank & 255]
+                    top |= bit[high]
+                else:
+                    heappush(more.setdefault(rank, []), i)
+            high = (top & -top).bit_length() - 1  # pop: the first bit of the first word
+            word = words[high]
+            low = word & -word
+            rank = (high << 8) + low.bit_length() - 1
+            i = slots[rank]
+            if more and rank in more:
+                others = more[rank]
+                i = heappushpop(others, i)
+                slots[rank] = heappop(others)
+                if not others:
+                    del more[rank]
+            else:
+                slots[rank] = -1
+                words[high] = word = word ^ low
+                if not word:
+                    top &= top - 1
+            waiting = []
             if pair[i] != rank:
                 continue  # stale: one of the two parts has changed since
             gone = after[i]
-            end = after[gone]
-            after[i] = end
-            pair[gone] = -1
+            after[i] = end = after[gone]
+            part[i], pair[gone], pair[i] = rank, -1, -1
             if end < n:
                 before[end] = i
-                joined = ranks.get(piece[i : after[end]], -1)
-                pair[i] = joined
+                pair[i] = joined = find(piece[i : after[end]], -1)
                 if joined >= 0:
-                    queue.push(joined, i)
-            else:
-                pair[i] = -1
+                    waiting.append((joined, i))
             left = before[i]
             if left >= 0:
-                joined = ranks.get(piece[left:end], -1)
-                if joined != pair[left]:
-                    pair[left] = joined
-                    if joined >= 0:
-                        queue.push(joined, left)
+                pair[left] = joined = find(piece[left:end], -1)
+                if joined >= 0:
+                    waiting.append((joined, left))
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(part[i])
             i = after[i]
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
         seen = self.seen
-        new = set(pieces).difference(seen)
-        for piece in new:
-            seen[piece] = self.merge(piece.encode())
-        ids = list(chain.from_iterable(map(seen.__getitem__, pieces)))
-        if len(seen) > CACHE_ENTRIES:
-            seen.clear()
-        else:
-            for piece in [p for p in new if len(p) > CACHE_BYTES_EACH]:
-                del seen[piece]
+        ids = array("I", b"".join(map(seen.__getitem__, self.split(text)))).tolist()
+        seen.trim()
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class Seen(dict):
+    """Pre-token -> its ids as unsigned 32-bit values; merges what it has not."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec, self.long = codec, []
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = array("I", self.codec.merge(piece.encode())).tobytes()
+        if len(piece) > CACHE_CHARS_EACH:
+            self.long.append(piece)
+        return ids
+
+    def trim(self) -> None:
+        """Back within the bounds, between documents."""
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        else:
+            for piece in self.long:
+                del self[piece]
+        self.long.clear()
+
+
 @lru_cache(maxsize=2)
 def load_codec(rank_file: str, pattern: str) -> Codec:
     """The codec of a rank file (base64 bytes and rank on each line), once in each process."""
@@ -179,7 +184,7 @@ def round_trip_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFra
 
     def digests(text: str, codec: Codec) -> tuple[int, str, str]:
         ids = codec.encode(text)
-        listed = " ".join(map(str, ids)).encode()
+        listed = " ".join(map(codec.decimal.__getitem__, ids)).encode()
         return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
     def work(batch: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.rules import quote
-from quarrymill.llm import bpe, chat, line_dedup, packing, pii, quality_cnn, quality_rules, secret_scan, simhash, topk
+from quarrymill.llm import byte_bpe, chat, line_dedup, packing, pii, quality_cnn, quality_rules, secret_scan, simhash, topk
 from quarrymill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op3_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, directory, "documents"), *bpe.public_vocabulary())
+    return byte_bpe.round_trip_digests(table(spark, directory, "documents"), *byte_bpe.public_vocabulary())
 
 
 def op4_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
