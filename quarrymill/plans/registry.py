@@ -15,10 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 @cache
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from quarrymill.plans import chunks, discovery, documents, facts, health, links, logs, relational, streams, telemetry
+    from quarrymill.plans import chunks, discovery, documents, extract, facts, health, links, logs, relational, streams, telemetry
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (links, relational, telemetry, documents, discovery, facts, health, logs, chunks, streams):
+    for module in (links, relational, telemetry, documents, discovery, facts, health, logs, chunks, streams, extract):
         clash = found.keys() & module.QUERIES.keys()
         if clash:
             raise ValueError(f"registered twice: {sorted(clash)}")

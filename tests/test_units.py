@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrymill.functions import outcomes, pages, text, urls
-from quarrymill.operators import chunks, discovery, facts, health, html, links, relational, telemetry, text_lines
+from quarrymill.operators import chunks, discovery, extract, facts, health, html, links, relational, telemetry, text_lines
 from quarrymill.staging import with_position
 
 
@@ -169,3 +169,26 @@ def test_peak_concurrency(spark, times):
     at = lambda s: F.timestamp_seconds(F.col(s) * 40000).cast("timestamp_ntz").alias(s)
     spans = spark.createDataFrame(times, "a long, b long").select(at("a"), at("b"))
     assert telemetry.peak_concurrency(spans, "a", "b").first().peak == min(2, len(times))
+
+
+def test_balanced_object():
+    assert extract.balanced_object('x {"a": "}", "b": {"c": "\\"{"}} tail {') == '{"a": "}", "b": {"c": "\\"{"}}'
+    assert extract.balanced_object("{ never") is None and extract.balanced_object(None) is None
+
+
+def test_json_object(spark):
+    cases = ['{"k": 1}', '```json\n{"k": {"l": 2}}\n```', 'say {"k": 3} then {', "none", None]
+    assert values(spark, cases, extract.json_object) == ['{"k": 1}', '{"k": {"l": 2}}', '{"k": 3}', None, None]
+
+
+def test_repaired_urls(spark):
+    cases = ['"http://h.com/a b,"', "http://h.com/é?q=a b&r=ü", "http://h.com/x%20%22y?z=1%22", "http://h.com/ok/p?a=1&b=2", "http://h.com/p?a=b=c&d", None]
+    expected = ["http://h.com/a%20b", "http://h.com/%C3%A9?q=a%20b&r=%C3%BC", "http://h.com/x?z=1", "http://h.com/ok/p?a=1&b=2", "http://h.com/p?a=b%3Dc&d", None]
+    assert [extract.repaired_url(u) for u in cases] == expected
+    assert values(spark, cases, extract.repaired) == expected
+
+
+def test_loose_lists(spark):
+    cases = ['{"x": ["a", " ", "b"]}', '{"x": "a"}', '{"x": null}', "[]", None]
+    assert values(spark, cases, lambda x: extract.as_list(x, "x")) == [["a", "b"], ["a"], [], [], []]
+    assert values(spark, ['[{"x": 1}, {}]', '{"x": 2}'], extract.first_object) == ['{"x":1}', '{"x": 2}']
