@@ -33,32 +33,46 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.sorted = np.argsort(self.vectors, axis=0, kind="stable")  # rows by component, one column each
-        self.values = np.take_along_axis(self.vectors, self.sorted, axis=0)
+        self.most = int(np.abs(vectors).max(initial=0))
+        self.doubles = self.vectors.astype(np.float64)
+        self.sorted = np.ascontiguousarray(np.argsort(self.vectors, axis=0, kind="stable").T)  # for each dimension its rows by component
+        self.values = np.ascontiguousarray(np.take_along_axis(self.vectors.T, self.sorted, axis=1))
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products; in doubles, which are exact up to 2^53, wherever no sum can pass that."""
+        if self.most * int(np.abs(query).sum()) < 1 << 53:
+            return (self.doubles[rows] @ query.astype(np.float64)).astype(np.int64)
+        return self.vectors[rows] @ query
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the k best, ties to smaller ids; never rows whose id is ``own``."""
-        n, dims = self.vectors.shape
+        n = len(self.ids)
         best, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not query.any():  # every row scores 0: the lists say nothing, the smallest ids win
             best = np.flatnonzero(self.ids != own)[:k]
             return best, np.zeros(len(best), np.int64)
-        used = np.flatnonzero(query)
-        down = query[used] > 0
-        seen, at, depth = np.zeros(n, bool), 0, FIRST_DEPTH
+        up, down = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
+        unseen, at, depth = self.ids != own, 0, FIRST_DEPTH
         while at < n:
             stop = min(n, at + depth)
-            came = np.concatenate([self.sorted[n - stop : n - at, used[down]].ravel(), self.sorted[at:stop, used[~down]].ravel()])
-            fresh = np.unique(came)
-            fresh = fresh[~seen[fresh]]
-            seen[fresh] = True
-            fresh = fresh[self.ids[fresh] != own]
-            best, scores = np.concatenate([best, fresh]), np.concatenate([scores, self.vectors[fresh] @ query])
+            came = np.zeros(n, bool)
+            came[self.sorted[down, n - stop : n - at]] = True
+            came[self.sorted[up, at:stop]] = True
+            came &= unseen
+            unseen &= ~came
+            fresh = np.flatnonzero(came)
+            found = self.scores(fresh, query)
+            if len(best) == k:  # only what can still enter the best
+                fresh, found = fresh[found >= scores[-1]], found[found >= scores[-1]]
+            elif len(found) > k:
+                enough = found >= np.partition(found, len(found) - k)[len(found) - k]
+                fresh, found = fresh[enough], found[enough]
+            best, scores = np.concatenate([best, fresh]), np.concatenate([scores, found])
             kept = np.lexsort((self.ids[best], -scores))[:k]
             best, scores = best[kept], scores[kept]
             at, depth = stop, 2 * depth
             if at < n and len(best) == k:
-                bound = int(self.values[n - 1 - at, used[down]] @ query[used[down]] + self.values[at, used[~down]] @ query[used[~down]])
+                bound = int(self.values[down, n - 1 - at] @ query[down] + self.values[up, at] @ query[up])
                 if bound < scores[-1]:  # at equality an unseen row could tie with a smaller id
                     break
         return best, scores
