@@ -165,7 +165,7 @@ QUERIES = {
     "chosen_links": (
         chosen_links,
         """WITH g AS (SELECT page_id % 20 AS id, list_sort(list(url)) AS l FROM pages GROUP BY 1)
-        SELECT id, CASE id % 4 WHEN 0 THEN array_to_string([l[2], l[1]], ' ') WHEN 1 THEN l[3] WHEN 2 THEN l[1] ELSE '' END AS chosen FROM g""",
+        SELECT id, CASE id % 4 WHEN 0 THEN array_to_string([l[2], l[1]], ' ') WHEN 1 THEN coalesce(l[3], '') WHEN 2 THEN l[1] ELSE '' END AS chosen FROM g""",
     ),
     "name_domain_match": (
         name_domain_match,
