@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import outcomes
 from quarrymill.operators import telemetry as tel
+from quarrymill.plans.links import LINKS_SQL
 from quarrymill.session import table
 
 # Stand-in: event types as failure reasons; a purchase is a success.
@@ -259,5 +260,10 @@ QUERIES = {
         f"""WITH h AS (SELECT event_type, round(avg(ms) FILTER (user_id % 2 = 0), 4) AS solo, round(avg(ms) FILTER (user_id % 2 = 1), 4) AS combined FROM {ATT} GROUP BY 1)
         SELECT event_type, solo, combined, round(combined - solo, 4) AS delta, CASE WHEN abs(round(combined - solo, 4)) <= 100 THEN 'same' WHEN combined > solo THEN 'slower' ELSE 'faster' END AS verdict FROM h""",
     ),
-    "subpage_metrics": (subpage_metrics, None),
+    "subpage_metrics": (
+        subpage_metrics,
+        f"""WITH {LINKS_SQL}, r AS (SELECT page_id, count(*) AS n FROM extracted WHERE kind IS NOT NULL GROUP BY 1), k AS (SELECT page_id, count(*) AS n FROM html GROUP BY 1),
+        p AS (SELECT page_id, coalesce(r.n, 0) AS raw, coalesce(k.n, 0) AS kept FROM pages LEFT JOIN r USING (page_id) LEFT JOIN k USING (page_id))
+        SELECT sum(raw)::BIGINT AS links, sum(kept)::BIGINT AS kept, round(avg(raw), 4) AS links_per_page, round(100 * (sum(raw) - sum(kept)) / sum(raw), 1) AS filter_rate, round(100 * count(*) FILTER (raw = 0) / count(*), 1) AS pages_without_links FROM p""",
+    ),
 }
