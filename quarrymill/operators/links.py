@@ -15,16 +15,14 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
     Anchors are double-quoted ``href`` values. Trailing commas go, ``#`` and ``javascript:``
     are skipped, as are links to the page itself with another fragment, excluded file types,
-    other hosts, and image names in the query. A null page has no links.
+    other hosts, and image names in the query. A null page has no links. Each row is a page.
     """
-    hrefs = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))).alias("raw"))
-    href = F.regexp_replace(F.trim("raw"), ",+$", "")
-    link = F.regexp_replace(urls.resolve(F.col("url"), F.col("href")), ",+$", "")
-    found = (
-        hrefs.select("page_id", "url", href.alias("href"))
-        .where(~F.startswith("href", F.lit("#")) & ~F.startswith(F.lower("href"), F.lit("javascript:")))
-        .select("page_id", "url", link.alias("link"))
-    )
+    raw = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))
+    hrefs = F.transform(raw, lambda h: F.regexp_replace(F.trim(h), ",+$", ""))
+    wanted = F.filter(hrefs, lambda h: ~F.startswith(h, F.lit("#")) & ~F.startswith(F.lower(h), F.lit("javascript:")))
+    resolved = F.transform(wanted, lambda h: F.regexp_replace(urls.resolve(F.col("url"), h), ",+$", ""))
+    # Links repeat within a page, so they are made distinct in its row: no shuffle.
+    found = pages.select("page_id", "url", F.explode(F.array_distinct(resolved)).alias("link"))
     same_page = F.contains("link", F.lit("#")) & (urls.without_fragment(F.col("link")) == urls.without_fragment(F.col("url")))
     path = F.lower(urls.path(F.col("link")))
     internal = (
@@ -33,7 +31,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
         & ~rules.contains_any(F.lower(urls.query(F.col("link"))), rules.QUERY_IMAGE_EXTENSIONS)
     )
     kind = F.when(rules.ends_with_any(path, rules.DOCUMENT_EXTENSIONS), "document").when(internal, "internal")
-    return found.where(~same_page).withColumn("kind", kind).where(F.col("kind").isNotNull()).distinct()
+    return found.where(~same_page).withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
 def html_links(links: DataFrame) -> DataFrame:
