@@ -139,7 +139,11 @@ QUERIES = {
     ),
     "thought_bodies": (thought_bodies, "SELECT conv_id, turn, substr('a' || turn || chr(10) || trim(role), 1, 12) AS thoughts FROM conversations"),
     "tool_metrics": (tool_metrics, "SELECT event_id, user_id, event_type, CAST(NULL AS VARCHAR) AS missing FROM events"),
-    "repaired_links": (repaired_links, None),
+    "repaired_links": (
+        repaired_links,
+        f"""WITH {_links_sql()} SELECT DISTINCT page_id, {ORIGIN.format("link")} || array_to_string(list_transform(string_split({PART.format("link")}, '/'), lambda x: url_encode(x)), '/')
+          || CASE WHEN contains(link, '?') THEN '?' || regexp_extract(link, '[?]([^#]*)', 1) ELSE '' END AS link FROM extracted WHERE kind IS NOT NULL""",
+    ),
     "plain_links": (
         plain_links,
         f"""WITH {_links_sql()}, b AS (SELECT DISTINCT page_id, {ORIGIN.format("link")} || {PART.format("link")} AS l, url FROM extracted WHERE kind = 'internal'),

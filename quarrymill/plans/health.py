@@ -122,7 +122,14 @@ QUERIES = {
         cache_hits,
         f"SELECT event_id, coalesce(epoch(ts)::BIGINT - epoch(lag(ts) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id))::BIGINT < {TTL}, false) AS hit FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events)",
     ),
-    "bucket_admissions": (bucket_admissions, None),
+    "bucket_admissions": (
+        bucket_admissions,
+        f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+        w AS (SELECT user_id, event_id, k, t, true AS admitted, {BURST - 1}::DOUBLE AS left_over FROM e WHERE k = 1
+          UNION ALL SELECT e.user_id, e.event_id, e.k, e.t, least({BURST}::DOUBLE, w.left_over + (e.t - w.t) * {RATE}::DOUBLE) >= 1,
+            least({BURST}::DOUBLE, w.left_over + (e.t - w.t) * {RATE}::DOUBLE) - CASE WHEN least({BURST}::DOUBLE, w.left_over + (e.t - w.t) * {RATE}::DOUBLE) >= 1 THEN 1 ELSE 0 END FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+        SELECT user_id, event_id, admitted FROM w""",
+    ),
     "backoff_schedule": (backoff_schedule, "SELECT event_id, least(5.0::DOUBLE * 2 ** (event_id % 8), 300.0::DOUBLE) AS wait FROM events"),
     "aged_queue": (aged_queue, "SELECT event_id, greatest(0, user_id % 4 - (event_id % 200) // 30) AS priority FROM events"),
     "queue_levels": (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import ladders as ld
 from quarrymill.functions.rules import quote
 from quarrymill.operators.telemetry import rank_percentiles
+from quarrymill.plans.facts import QUERIES as FACT_QUERIES
 from quarrymill.plans.telemetry import attempts
 from quarrymill.session import table
 
@@ -24,6 +25,7 @@ def _messages(spark: SparkSession, directory: str) -> DataFrame:
 
 
 FIELD = "message"
+MERGED_CONTACTS_SQL = FACT_QUERIES["merged_contacts"][1]
 MSG = f"(SELECT event_id, user_id, [{', '.join(map(quote, MESSAGES))}][event_id % {len(MESSAGES)} + 1] AS message FROM events)"
 
 
@@ -116,5 +118,10 @@ QUERIES = {
         """WITH r AS (SELECT event_type, user_id % 2 AS phase, round(value * 100, 4) AS ms FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY event_type, phase ORDER BY ms) - 1 AS k, count(*) OVER (PARTITION BY event_type, phase) AS c FROM r)
         SELECT event_type, phase, count(*) AS n, round(avg(ms), 4) AS avg_ms, round(max(CASE WHEN k = c // 2 THEN ms END), 1) AS p50 FROM k GROUP BY 1, 2""",
     ),
-    "merge_metrics": (merge_metrics, None),
+    "merge_metrics": (
+        merge_metrics,
+        f"""WITH m AS ({MERGED_CONTACTS_SQL}), w AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS v FROM documents),
+        f AS (SELECT count(*) AS items, count(DISTINCT doc_id) AS bundles FROM w WHERE contains(v, '@') OR regexp_matches(v, '[0-9]{{4}}'))
+        SELECT items, (SELECT count(*) FROM m) AS merged, greatest(0, items - (SELECT count(*) FROM m)) AS removed, round(1 - bundles / (SELECT count(DISTINCT doc_id) FROM documents), 4) AS empty_rate FROM f""",
+    ),
 }
