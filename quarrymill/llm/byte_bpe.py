@@ -21,10 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quarrymill.llm.common import by_slices, text_or_empty
+from quarrymill.llm.common import KeptPieces, by_slices, text_or_empty
 
-#: Pre-tokens whose ids a task keeps, and the longest that is kept; then it starts afresh.
-CACHE_ENTRIES, CACHE_CHARS_EACH = 1_000_000, 64
 #: Bits of a bitmap word.
 WORD = 256
 BITS = [1 << i for i in range(WORD)]
@@ -49,7 +47,7 @@ class Codec:
         self.single = [ranks.get(bytes((a,)), -1) for a in range(256)]
         self.double = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.slots, self.more, self.words = [-1] * (most + 1), {}, [0] * (WORD + 1)
-        self.seen = Seen(self)
+        self.kept = KeptPieces(lambda piece: array("I", self.merge(piece.encode())).tobytes())
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -112,38 +110,12 @@ class Codec:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        seen = self.seen
-        ids = array("I", b"".join(map(seen.__getitem__, self.split(text)))).tolist()
-        seen.trim()
-        return ids
+        return array("I", self.kept.join(self.split(text))).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class Seen(dict):
-    """Pre-token -> its ids as unsigned 32-bit values; merges what it has not."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec, self.long = codec, []
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = array("I", self.codec.merge(piece.encode())).tobytes()
-        if len(piece) > CACHE_CHARS_EACH:
-            self.long.append(piece)
-        return ids
-
-    def trim(self) -> None:
-        """Back within the bounds, between documents."""
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        else:
-            for piece in self.long:
-                del self[piece]
-        self.long.clear()
-
-
 @lru_cache(maxsize=2)
 def load_codec(rank_file: str, pattern: str) -> Codec:
     """The codec of a rank file (base64 bytes and rank on each line), once in each process."""

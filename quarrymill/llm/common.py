@@ -1,49 +1,23 @@
-"""Shared helpers: staging in the shared folder, Arrow batches in bounded slices."""
+"""Shared helpers: Arrow batches in bounded slices, kept results of pre-tokens."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarrymill.staging import shared_folder, staged
+
+__all__ = ["SPACES", "KeptPieces", "by_slices", "shared_folder", "staged", "text_or_empty"]
+
 #: Characters that separate words, as the contracts list them: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows and text bytes that a Python function holds at once.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="quarrymill-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only in a local session without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_folder()
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    Cuts lineage so that lost executors cost no recomputation, and gives the optimizer real
-    sizes: a join with a staged table broadcasts it only if the files are small enough.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -65,3 +39,32 @@ def by_slices(
                 yield from out if isinstance(out, list) else [out]
 
     return run
+
+
+class KeptPieces(dict):
+    """Pre-token -> its ids as bytes; computes what it has not and keeps a bounded number.
+
+    Pre-tokens longer than ``longest`` are kept for one document only, and all are dropped
+    once there are more than ``most``.
+    """
+
+    def __init__(self, compute: Callable[[str], bytes], most: int = 1_000_000, longest: int = 64):
+        super().__init__()
+        self.compute, self.most, self.longest, self.passing = compute, most, longest, []
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.compute(piece)
+        if len(piece) > self.longest:
+            self.passing.append(piece)
+        return ids
+
+    def join(self, pieces: list[str]) -> bytes:
+        """The ids of a document's pre-tokens, then back within the bounds."""
+        ids = b"".join(map(self.__getitem__, pieces))
+        if len(self) > self.most:
+            self.clear()
+        else:
+            for piece in self.passing:
+                del self[piece]
+        self.passing.clear()
+        return ids

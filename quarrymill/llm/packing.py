@@ -22,12 +22,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import by_slices, staged, text_or_empty
+from quarrymill.llm.common import KeptPieces, by_slices, staged, text_or_empty
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
-#: Pre-tokens whose ids a task keeps, and the longest that is kept; then it starts afresh.
-CACHE_ENTRIES, CACHE_CHARS_EACH = 600_000, 64
 
 
 class PieceTokenizer:
@@ -43,26 +41,18 @@ class PieceTokenizer:
 
         self.tokenize = tokenizers.Tokenizer.from_file(vocabulary).model.tokenize
         self.split = regex.compile(pattern).findall
-        self.seen: dict[str, bytes] = {}
+        self.kept = KeptPieces(self.encode_piece)
         # Printable bytes stand for themselves, the others for the code points from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = (b for b in range(256) if b not in shown)
         self.alphabet = {b: 256 + n for n, b in enumerate(hidden)}
 
+    def encode_piece(self, piece: str) -> bytes:
+        tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+        return pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+
     def encode(self, text: str) -> bytes:
-        pieces = self.split(text)
-        seen = self.seen
-        new = set(pieces).difference(seen)
-        for piece in new:
-            tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-            seen[piece] = pack(f"<{len(tokens)}I", *[token.id for token in tokens])
-        ids = b"".join(map(seen.__getitem__, pieces))
-        if len(seen) > CACHE_ENTRIES:
-            seen.clear()
-        else:
-            for piece in [p for p in new if len(p) > CACHE_CHARS_EACH]:
-                del seen[piece]
-        return ids
+        return self.kept.join(self.split(text))
 
 
 @lru_cache(maxsize=2)
