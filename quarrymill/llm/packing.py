@@ -132,31 +132,38 @@ class Plan:
 def plan_packing(counts: dict[int, int], size: int = SEQUENCE_TOKENS) -> Plan:
     """Best fit decreasing of ``counts[length]`` pieces of each length.
 
-    Sequences of equal remaining capacity are runs of consecutive numbers. A step puts one
-    piece into each sequence of a run; only a length's last step can split a run, so runs stay
-    under twice the number of lengths.
+    Sequences of equal remaining capacity are runs of consecutive numbers. Best fit stays with
+    the sequence just used while it holds another piece of the length, as nothing is tighter, so
+    each sequence of a run gets as many as it holds before the next gets one. A step is one such
+    layer: one piece in each sequence, all at one offset. Only a length's last pieces split a
+    run, so runs stay under three times the number of lengths.
     """
     tree, runs, steps, opened = CapacityTree(size), {}, [], 0
+
+    def keep(capacity: int, first: int, n: int) -> None:
+        runs.setdefault(capacity, deque()).append((first, n))
+        tree.mark(capacity, True)
+
     for length in sorted((n for n, count in counts.items() if count), reverse=True):
         rank, left = 0, counts[length]
         while left:
             capacity = tree.tightest(length)
             if capacity is None:
-                first, n = opened, -(-left // (size // length))  # as many as hold what is left of this length
+                n = -(-left // (size // length))  # as many as hold what is left of this length
+                keep(size, opened, n)
                 opened += n
-                runs.setdefault(size, deque()).append((first, n))
-                tree.mark(size, True)
                 continue
             first, n = runs[capacity].popleft()
-            taken = min(n, left)
-            if taken < n:
-                runs[capacity].appendleft((first + taken, n - taken))
-            elif not runs[capacity]:
+            if not runs[capacity]:
                 tree.mark(capacity, False)
-            steps.append((length, rank, first, size - capacity))
-            runs.setdefault(capacity - length, deque()).append((first, taken))
-            tree.mark(capacity - length, True)
-            rank, left = rank + taken, left - taken
+            full = min(n, left // (capacity // length))
+            each, taken = (capacity // length, full) if full else (left, 1)  # else one sequence takes all that is left
+            if taken < n:
+                keep(capacity, first + taken, n - taken)
+            for layer in range(each):
+                steps.append((length, rank, first, size - capacity + layer * length))
+                rank, left = rank + taken, left - taken
+            keep(capacity - each * length, first, taken)
     columns = np.array(sorted(steps), np.int64).reshape(-1, 4).T
     return Plan(*columns, opened)
 

@@ -61,6 +61,27 @@ def test_plan_equals_best_fit_decreasing(seed):
     assert check_gapless(places, size) == plan.sequences == best_fit(lengths, size)
 
 
+@pytest.mark.parametrize(
+    ("counts", "size", "sequences"),
+    [({55: 2, 20: 2, 15: 3}, 100, 2), ({1126: 1000, 410: 1000, 307: 1500}, 2048, 1000), ({70: 3, 12: 4, 5: 5, 1: 9}, 100, 3)],
+)
+def test_plan_refills_the_sequence_just_used(counts, size, sequences):
+    plan = plan_packing(counts, size)
+    assert plan.sequences == sequences == best_fit([n for n, count in counts.items() for _ in range(count)], size)
+    assert check_gapless(expand(plan, counts), size) == sequences
+
+
+def test_plan_of_few_lengths_equals_best_fit_decreasing():
+    rng = random.Random(7)
+    for _ in range(300):
+        size = rng.choice([50, 100, 2048])
+        counts = {rng.randint(1, size - 1): rng.randint(1, 12) for _ in range(rng.randint(1, 6))}
+        plan = plan_packing(counts, size)
+        places = expand(plan, counts)
+        want = best_fit([n for n, count in counts.items() for _ in range(count)], size)
+        assert len(places) == sum(counts.values()) and check_gapless(places, size) == plan.sequences == want
+
+
 def test_capacity_tree():
     tree = CapacityTree(8)
     assert tree.tightest(1) is None and tree.tightest(8) is None
