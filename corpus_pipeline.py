@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import line_dedup, packing, quality_rules, secret_scan, simhash
+from quarrymill.llm import line_dedup, packing, quality_rules, secret_scan, similar
 from quarrymill.llm.common import staged
 from quarrymill.session import table
 
@@ -34,8 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, directory: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of texts linked by a five-word Jaccard similarity of 0.8 or more that of the smallest doc_id stays."""
+    return similar.drop_similar(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
@@ -57,7 +57,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", pack),
 ]
 
-#: SQL expresses neither SimHash nor the tokenizer; the stages are tested against brute force.
+#: SQL expresses neither the similarity stage nor the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
