@@ -1,10 +1,12 @@
 """The pipeline's near-duplicate stage against all pairs' exact Jaccard similarity."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pytest
 
+from quarrymill.llm.similar import drop_similar, similar_groups
 from tests.llm.test_simhash import classes, plain_fingerprint
 
 
@@ -44,3 +46,13 @@ def test_stage_equals_brute_force(docs_of, spark, groups, copies, edits):
     assert sorted((r.doc_id, r.text) for r in left) == sorted((d, texts[d]) for d in set(label.values()))
     far = [(a, b) for a, b in pairs if (plain_fingerprint(texts[a]) ^ plain_fingerprint(texts[b])).bit_count() > 3]
     assert len(far) > 10  # that the three bits of op5 miss
+
+
+def test_repeated_ids_and_empty_table(docs_of):
+    one, two = (" ".join(f"{c}{n}" for n in range(40)) for c in "xy")
+    rows = [(1, one), (2, two), (2, one), (3, two), (3, "other words that nothing else has"), (4, None), (4, ""), (None, one), (None, one)]
+    left = Counter((r.doc_id, r.text) for r in drop_similar(docs_of(rows)).collect())
+    empty = left.pop((4, None), 0) + left.pop((4, ""), 0)
+    assert empty == 1
+    assert left == {(1, one): 1, (2, two): 1, (3, "other words that nothing else has"): 1, (None, one): 2}
+    assert drop_similar(docs_of([])).count() == 0 == similar_groups(docs_of([])).count()
