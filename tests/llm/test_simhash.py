@@ -6,7 +6,8 @@ import pytest
 import xxhash
 
 from quarrymill.llm.simhash import (
-    SHORT_RUN, components, drop_near_duplicates, fingerprint, forest, link_edges, links_of_long_run, links_of_short_runs, near_duplicates,
+    SHORT_RUN, components, count_planes, fingerprint, forest, link_edges, links_of_long_run, links_of_short_runs, majority, near_duplicates,
+    within_radius,
 )
 
 MASK = 2**64 - 1
@@ -60,11 +61,11 @@ def test_fingerprint():
 def test_links(seed):
     rng = random.Random(seed)
     fps = clustered(rng, 150, [rng.getrandbits(64) for _ in range(5)], 4)
-    array, want = np.array(fps, np.uint64), classes(near_pairs(fps), range(len(fps)))
+    array, want = np.array(fps, np.uint64)[:, None], classes(near_pairs(fps), range(len(fps)))
     assert classes(links_of_long_run(array), range(len(fps))) == want
     run = np.sort(np.array([rng.randrange(12) for _ in fps]))
     assert sorted(links_of_short_runs(array, run)) == [(a, b) for a, b in near_pairs(fps) if run[a] == run[b]]
-    edges = forest(links_of_long_run(array), np.arange(len(fps)))
+    edges = forest(links_of_long_run(array))
     assert classes(edges, range(len(fps))) == want and len(edges) == len(fps) - len(set(want.values()))
 
 
@@ -74,18 +75,55 @@ def test_edges_lose_no_link(spark, n, centres):
     fps = clustered(rng, n, [rng.getrandbits(64) for _ in range(centres)] + [0], 3)
     reps = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, rep long")
     label = {r.node: r.component for r in components(link_edges(reps)).collect()}
-    array = np.array(fps, np.uint64)
+    array = np.array(fps, np.uint64)[:, None]
     want = classes(links_of_long_run(array), range(len(fps))) if n > 1000 else classes(near_pairs(fps), range(len(fps)))
     assert {i: label.get(i, i) for i in range(len(fps))} == want
     assert n < 1000 or len(fps) > 2048 > SHORT_RUN  # dealt out in sub-blocks
 
 
-def test_chain_of_components(spark):
-    order = list(range(200))
-    random.Random(1).shuffle(order)
-    edges = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(order, order[1:])] + [(900, 901)], "a long, b long")
+def test_counters_against_plain_counts():
+    rng = np.random.default_rng(3)
+    for n, lanes in ((1, 1), (2, 3), (7, 2), (500, 2), (5000, 1)):
+        rows = rng.integers(0, 2**64, (n, lanes), np.uint64)
+        bits = np.unpackbits(rows.astype(">u8").view(np.uint8).reshape(n, -1), axis=1).sum(axis=0, dtype=np.int64)
+        planes = count_planes([rows])
+        told = sum(np.unpackbits(p.astype(">u8").view(np.uint8)).astype(np.int64) << k for k, p in enumerate(planes))
+        assert np.array_equal(told, bits)
+        assert np.array_equal(np.unpackbits(majority(rows).astype(">u8").view(np.uint8)), 2 * bits > n)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 4, 36])
+def test_within_radius(radius):
+    rng = random.Random(radius)
+    planes = [rng.getrandbits(200) & rng.getrandbits(200) if rng.random() < 0.5 else 0 for _ in range(128)]
+    lanes = rng.getrandbits(200)
+    want = sum(1 << i for i in range(200) if lanes >> i & 1 and sum(p >> i & 1 for p in planes) <= radius)
+    assert within_radius(iter(planes), lanes, radius) == want
+
+
+def chain(kind, n):
+    order = list(range(n))
+    if kind == "reversed":
+        order.reverse()
+    elif kind == "random":
+        random.Random(1).shuffle(order)
+    elif kind == "hub":  # every node but the hub is smaller than all its neighbours
+        return [(k, n - 1) for k in range(n - 1)]
+    elif kind == "zigzag":
+        order = [k // 2 if k % 2 == 0 else n - 1 - k // 2 for k in range(n)]
+    return [(min(a, b), max(a, b)) for a, b in zip(order, order[1:])]
+
+
+@pytest.mark.parametrize("kind", ["sorted", "reversed", "random", "hub", "zigzag"])
+def test_components_of_long_chains_in_few_rounds(spark, monkeypatch, kind):
+    from quarrymill.llm import simhash
+
+    names, plain = [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name: names.append(name) or plain(df, name))
+    edges = spark.createDataFrame([*chain(kind, 1000), (9000, 9001)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
-    assert got == {n: 0 for n in range(200)} | {900: 900, 901: 900}
+    assert got == {n: 0 for n in range(1000)} | {9000: 9000, 9001: 9000}
+    assert names.count("nearest") <= 8 and names.count("labels") <= 30
 
 
 def test_documents(docs_of):
@@ -101,11 +139,9 @@ def test_documents(docs_of):
     label = classes([(rows[a][0], rows[b][0]) for a, b in pairs], {rows[i][0] for i in real})
     want = [(d, f - (1 << 64) if f >> 63 else f, label.get(d)) for (d, _), f in zip(rows, fps)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    left = drop_near_duplicates(docs_of(rows)).collect()
-    assert sorted((r.doc_id for r in left), key=str) == sorted({c for c in label.values()} | {None}, key=str)
 
 
 def test_empty_table_and_clashing_columns(docs_of):
-    assert near_duplicates(docs_of([])).count() == 0 and drop_near_duplicates(docs_of([])).count() == 0
+    assert near_duplicates(docs_of([])).count() == 0
     clash = docs_of([(1, "a b c d"), (2, "a b c d")]).selectExpr("*", "1 AS fp", "2 AS component_id", "3 AS rep")
-    assert [tuple(r)[-3:] for r in drop_near_duplicates(clash).collect()] == [(1, 2, 3)]
+    assert {r.component_id for r in near_duplicates(clash).collect()} == {1}
