@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import shared_folder, text_or_empty
+from quarrymill.llm.common import shared_folder, staged, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -42,12 +42,15 @@ BASE_RULES = (
 )
 #: Kinds that the base has not: private key headers and prefixed platform tokens.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 27),
+    # Words in capitals may stand before, with any spaces between: a repeated group would recurse once for each word.
+    Rule("pem", r"-----BEGIN (?:[A-Z ]* )?PRIVATE KEY-----", 0, 27),
     Rule("platform", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
 )
 RULES = BASE_RULES + MORE_RULES
 #: Changes whenever the rules do, so that old ledger rows no longer count as seen.
-RULES_VERSION = "1"
+RULES_VERSION = "2"
+#: Code points of the blocks in which found spans are replaced.
+REDACT_CHARS = 1024
 SIZES = "array<struct<gap: int, match: int, tested: int, least: int>>"
 LEDGER_SCHEMA = "blob binary, rules_version string, findings array<struct<start: int, kind: int, end: int>>"
 
@@ -104,7 +107,11 @@ def read_ledger(docs: DataFrame, ledger: str) -> DataFrame:
 
 
 def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
-    """Scan the blobs of ``docs`` that the ledger lacks under ``version``, append, and return the ledger's rows for it."""
+    """Scan the blobs of ``docs`` that the ledger lacks under ``version``, append, and return the ledger's rows for it.
+
+    Scans at the same time, or one repeated after a failure, may append a blob twice with the
+    same findings; ``findings_by_blob`` has each once.
+    """
     blobs = docs.select(blob_id(text_or_empty()).alias("blob"), text_or_empty().alias("text"))
     distinct = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     seen = read_ledger(docs, ledger).where(F.col("rules_version") == version).select("blob")
@@ -113,6 +120,11 @@ def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
     return read_ledger(docs, ledger).where(F.col("rules_version") == version)
 
 
+def findings_by_blob(rows: DataFrame) -> DataFrame:
+    """Ledger rows of one version -> one row for each blob that has findings."""
+    return rows.where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))
+
+
 def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
     """``docs`` with ``findings``: array<struct<start, kind, end>> for each row, by (start, kind).
 
@@ -125,8 +137,9 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     column named findings is replaced, all others stay.
     """
     ledger = ledger or f"{shared_folder(docs.sparkSession)}/secret-ledger-{uuid.uuid4().hex}"
-    found = update_ledger(docs, ledger, rules, version).where(F.size("findings") > 0)
-    found = found.select(F.col("blob").alias("_blob"), "findings")
+    found = findings_by_blob(update_ledger(docs, ledger, rules, version))
+    # Staged, so that the join is one that can split a hot blob's rows, or broadcasts what is small.
+    found = staged(found.select(F.col("blob").alias("_blob"), "findings"), "blob-findings")
     # Paths go to the join as they are read, so that a hot blob's rows can be split there.
     paths = docs.drop("findings").withColumn("_id", blob_id(text_or_empty()))
     joined = paths.join(found, F.col("_id") == F.col("_blob"), "left").drop("_id", "_blob")
@@ -145,17 +158,41 @@ def span_list(findings: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     )
 
 
-def redact(text: Column, findings: Column) -> Column:
-    """``text`` with every found span replaced by [SECRET]; spans that overlap become one."""
-    start = F.aggregate(
-        findings,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+def redact_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` (with ``findings``) with every found span of text replaced by [SECRET]; spans that overlap become one.
+
+    Texts with findings are cut into blocks of REDACT_CHARS, and each block gets the spans that
+    reach into it, so the work is linear in texts and findings. Texts without stay where they
+    are. Column findings is dropped. Cases as in ``scan_secrets``.
+    """
+    clean = docs.where(F.size("findings") == 0).drop("findings")
+    hit = staged(docs.where(F.size("findings") > 0).withColumn("_row", F.monotonically_increasing_id()), "with-secrets")
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{REDACT_CHARS}}}"), F.lit(0))
+    blocks = hit.select("_row", F.posexplode(cut).alias("_block", "_part"))
+
+    spans = hit.select("_row", F.explode("findings").alias("f")).select("_row", "f.start", "f.end")
+    earlier = Window.partitionBy("_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("fresh", F.col("start") >= F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    first, last = (F.floor(place / REDACT_CHARS).cast("int") for place in (F.col("start"), F.col("end") - 1))
+    spans = spans.withColumn("first", first).withColumn("_block", F.explode(F.sequence(first, last)))
+    base = F.col("_block") * REDACT_CHARS
+    inside = F.struct(
+        F.greatest(F.col("start") - base, F.lit(0)).alias("start"),
+        F.least(F.col("end") - base, F.lit(REDACT_CHARS)).alias("end"),
+        (F.col("fresh") & (F.col("_block") == F.col("first"))).alias("fresh"),
+    )
+    own = spans.groupBy("_row", "_block").agg(F.array_sort(F.collect_list(inside)).alias("_spans"))
+
+    kept = F.aggregate(
+        F.coalesce("_spans", F.array().cast("array<struct<start: int, end: int, fresh: boolean>>")),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, f: F.struct(
             F.greatest(acc["at"], f["end"]).alias("at"),
-            F.when(f["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, f["start"] - acc["at"]), F.lit("[SECRET]"))))
-            .otherwise(acc["out"])
-            .alias("out"),
+            F.concat(acc["out"], F.substring(F.col("_part"), acc["at"] + 1, F.greatest(f["start"] - acc["at"], F.lit(0))), F.when(f["fresh"], "[SECRET]").otherwise("")).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.char_length(text)))),
+        lambda acc: F.concat(acc["out"], F.substring(F.col("_part"), acc["at"] + 1, F.lit(REDACT_CHARS))),
     )
-    return F.when(F.size(findings) == 0, text).otherwise(F.array_join(start, ""))
+    done = blocks.join(own, ["_row", "_block"], "left").select("_row", F.struct("_block", kept.alias("part")).alias("p"))
+    done = done.groupBy("_row").agg(F.array_sort(F.collect_list("p")).alias("_parts"))
+    texts = hit.join(done, "_row").withColumn("text", F.array_join(F.col("_parts.part"), "")).drop("findings")
+    return clean.unionByName(texts.select(*clean.columns))

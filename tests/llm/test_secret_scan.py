@@ -2,13 +2,16 @@ import re
 
 from pyspark.sql import functions as F
 
-from quarrymill.llm.secret_scan import RULES, redact, scan_secrets, span_list, update_ledger
+import pytest
+
+from quarrymill.llm import secret_scan
+from quarrymill.llm.secret_scan import RULES, redact_secrets, scan_secrets, span_list, update_ledger
 
 PLAIN = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     "hex": (re.compile(r"[0-9a-f]+"), 0, 16),
-    "pem": (re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), 0, 27),
+    "pem": (re.compile(r"-----BEGIN (?:[A-Z ]* )?PRIVATE KEY-----"), 0, 27),
     "platform": (re.compile(r"gh[pousr]_[A-Za-z0-9]+"), 0, 40),
 }
 
@@ -31,6 +34,8 @@ TEXTS = [
     "𝄞é" * 40 + "-----BEGIN RSA PRIVATE KEY-----" + " ghp_" + "a1" * 20,
     f"paſſword={HEX} passwd:{HEX}",
     f"secret={HEX} " * 4000,
+    "-----BEGIN OPENSSH PRIVATE KEY----- -----BEGIN PRIVATE KEY----- -----BEGIN X  Y PRIVATE KEY----- -----BEGINPRIVATE KEY-----",
+    "0123456789abcdefapi_key=aaaaaaaaaaaa0123456789abcdef",
 ]
 
 
@@ -50,8 +55,48 @@ def test_ledger_scans_each_pair_once(docs_of, tmp_path):
     assert got == {4: 2, 5: 0}
 
 
+@pytest.mark.parametrize("repeats", [20_000, 200_000])
+def test_long_headers_do_not_recurse(docs_of, repeats):
+    texts = ["-----BEGIN " + "A " * repeats, "-----BEGIN " + "A " * repeats + "PRIVATE KEY-----", "-----BEGIN " * repeats]
+    got = {r.doc_id: [tuple(f)[1:] for f in r.findings] for r in scan_secrets(docs_of(list(enumerate(texts)))).collect()}
+    assert got == {0: [], 1: [(3, len(texts[1]))], 2: []}
+
+
+def test_blob_that_is_in_the_ledger_twice_counts_once(docs_of, tmp_path):
+    ledger, docs = str(tmp_path / "ledger"), docs_of([(1, TEXTS[2]), (2, TEXTS[2])])
+    rows = update_ledger(docs, ledger)
+    rows.write.parquet(str(tmp_path / "copy"))
+    docs.sparkSession.read.parquet(str(tmp_path / "copy")).write.mode("append").parquet(ledger)
+    assert update_ledger(docs, ledger).count() == 2
+    assert sorted((r.doc_id, len(r.findings)) for r in scan_secrets(docs, ledger).collect()) == [(1, 2), (2, 2)]
+
+
+def plain_redact(text):
+    gone = [False] * (len(text or "") + 1)
+    starts = set()
+    for part in filter(None, brute(text).split(",")):
+        a, b = map(int, part.split(":")[1:])
+        starts |= {a} if not gone[a] else set()
+        gone[a:b] = [True] * (b - a)
+    return "".join("[SECRET]" if i in starts else "" if gone[i] else c for i, c in enumerate(text or ""))
+
+
+@pytest.mark.parametrize("chars", [7, 1024])
+def test_redaction(docs_of, monkeypatch, chars):
+    monkeypatch.setattr(secret_scan, "REDACT_CHARS", chars)
+    texts = [t for t in TEXTS if t is None or len(t) < 20_000] + ["é𝄞\n" * 999 + f" passwd={HEX}" + "x\n" * 700, HEX]
+    got = redact_secrets(scan_secrets(docs_of([*enumerate(texts), (None, HEX), (0, HEX)]))).collect()
+    want = [(n, plain_redact(t) if t else t) for n, t in enumerate(texts)] + [(None, "[SECRET]"), (0, "[SECRET]")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_redaction_of_very_many_findings(docs_of):
+    row = redact_secrets(scan_secrets(docs_of([(1, f"secret={HEX} " * 30_000)]))).first()
+    assert row.text == "[SECRET] " * 30_000
+
+
 def test_empty_table_clashing_columns_and_redaction(docs_of):
-    assert scan_secrets(docs_of([])).count() == 0
+    assert scan_secrets(docs_of([])).count() == 0 == redact_secrets(scan_secrets(docs_of([]))).count()
     clash = docs_of([(1, TEXTS[2])]).selectExpr("*", "1 AS findings", "2 AS blob", "3 AS kind")
-    row = scan_secrets(clash).withColumn("clean", redact(F.col("text"), F.col("findings"))).first()
-    assert (row.blob, row.kind) == (2, 3) and row.clean == '[SECRET]" é 𝄞 password: short'
+    row = redact_secrets(scan_secrets(clash)).first()
+    assert (row.blob, row.kind) == (2, 3) and row.text == '[SECRET]" é 𝄞 password: short'
