@@ -10,6 +10,7 @@ of more than about sqrt(documents) documents. Positions travel, text does not.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +30,11 @@ def line_key(line: Column) -> Column:
 
 def line_hashes(docs: DataFrame, min_key_chars: int, blocks: int) -> DataFrame:
     """doc_id, version, block, pos and the two hash halves of every line with a long enough key."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select(
-        "doc_id", F.xxhash64(text_or_empty()).alias("version"), F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line")
+    # The version is computed below the explode, once for a text and not once for a line.
+    texts = docs.where(F.col("doc_id").isNotNull()).select(
+        "doc_id", F.xxhash64(text_or_empty()).alias("version"), F.split(text_or_empty(), "\n", -1).alias("lines")
     )
+    lines = texts.select("doc_id", "version", F.posexplode("lines").alias("pos", "line"))
     keyed = lines.select("doc_id", "version", "pos", line_key(F.col("line")).alias("key"))
     return keyed.where(F.char_length("key") >= min_key_chars).select(
         F.xxhash64("key").alias("h1"),
@@ -56,18 +59,23 @@ def repeated_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataF
     return local.where("later").select(columns).unionByName(firsts.where(F.col("doc_id") > F.col("first")).select(columns))
 
 
+def _between(dropped: Column, n_lines: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """``make`` of each dropped position and the next one, with -1 before the first and n_lines after the last; linear."""
+    return F.zip_with(F.concat(F.array(F.lit(-1)), dropped), F.concat(dropped, F.array(n_lines)), make)
+
+
 def kept_runs(dropped: Column, n_lines: Column) -> Column:
     """Run-length form of the keep bitmap: (start, length) of each run of kept lines."""
-    edge = F.concat(F.array(F.lit(-1)), dropped, F.array(n_lines))
-    gaps = F.transform(
-        F.sequence(F.lit(1), F.size(edge) - 1),
-        lambda i: F.struct(
-            (F.element_at(edge, i) + 1).alias("start"), (F.element_at(edge, i + 1) - F.element_at(edge, i) - 1).alias("length")
-        ),
-    )
+    gaps = _between(dropped, n_lines, lambda a, b: F.struct((a + 1).alias("start"), (b - a - 1).alias("length")))
     return F.filter(gaps, lambda run: run["length"] > 0)
 
 
+def kept_lines(lines: Column, dropped: Column, n_lines: Column) -> Column:
+    """The lines that are not dropped, joined. Each line meets its flag, and the join leaves out nulls."""
+    keep = F.flatten(_between(dropped, n_lines, lambda a, b: F.concat(F.array_repeat(F.lit(True), b - a - 1), F.array(F.lit(False)))))
+    return F.array_join(F.zip_with(lines, keep, lambda line, kept: F.when(kept, line)), "\n")
+
+
 def keep_bitmaps(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
     """Documents that lose lines: doc_id, version, dropped (sorted positions from 0).
 
@@ -102,7 +110,7 @@ def dedup_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFram
     runs = F.when(F.col("_dropped").isNull(), F.array(F.struct(F.lit(0).alias("start"), n_lines.alias("length")))).otherwise(
         kept_runs(F.col("_dropped"), n_lines)
     )
-    rebuilt = F.array_join(F.flatten(F.transform("keep_runs", lambda r: F.slice(F.split("text", "\n", -1), r["start"] + 1, r["length"]))), "\n")
+    rebuilt = kept_lines(lines, F.col("_dropped"), n_lines)
     return (
         joined.withColumn("n_lines", n_lines.cast("long"))
         .withColumn("n_dropped", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))

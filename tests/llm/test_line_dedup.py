@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from quarrymill.llm.line_dedup import dedup_lines
@@ -55,3 +57,16 @@ def test_keep_runs_rebuild_the_text(docs_of):
 def test_other_minimum(docs_of, least):
     got = dedup_lines(docs_of(CASES), least).select("doc_id", "text", "n_lines", "n_dropped").collect()
     assert sorted(map(tuple, got), key=str) == brute(CASES, least)
+
+
+def test_text_of_many_separate_runs_takes_linear_time(docs_of):
+    def seconds(n):
+        rows = [(1, "a line that both documents share"), (2, "\n".join(f"own line number {k}" if k % 2 else "a line that both documents share" for k in range(n)))]
+        began = time.perf_counter()
+        got = {r.doc_id: r.n_dropped for r in dedup_lines(docs_of(rows)).collect()}
+        assert got == {1: 0, 2: n // 2}
+        return time.perf_counter() - began
+
+    seconds(10)
+    small, large = seconds(16_000), seconds(128_000)
+    assert large < 8 * small + 5
