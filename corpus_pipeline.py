@@ -40,8 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, directory: str) -
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """Every found secret becomes [SECRET]."""
-    found = secret_scan.scan_secrets(docs)
-    return _with_text(docs, found.withColumn("text", secret_scan.redact(F.col("text"), F.col("findings"))))
+    return _with_text(docs, secret_scan.redact_secrets(secret_scan.scan_secrets(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
