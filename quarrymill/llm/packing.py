@@ -32,14 +32,16 @@ class PieceTokenizer:
     """Ids of texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
 
     The library's model works on each pre-token by itself, so a pre-token goes to it once, in
-    the byte alphabet that it expects, and its ids are kept. Strings of special tokens in a
-    text are ordinary text.
+    the byte alphabet that it expects, and its ids are kept. A text that holds the string of an
+    added token goes to the library as a whole, which gives that token's id.
     """
 
     def __init__(self, vocabulary: str, pattern: str):
         import tokenizers
 
-        self.tokenize = tokenizers.Tokenizer.from_file(vocabulary).model.tokenize
+        self.whole = tokenizers.Tokenizer.from_file(vocabulary)
+        self.added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
+        self.tokenize = self.whole.model.tokenize
         self.split = regex.compile(pattern).findall
         self.kept = KeptPieces(self.encode_piece)
         # Printable bytes stand for themselves, the others for the code points from 256 on.
@@ -52,6 +54,8 @@ class PieceTokenizer:
         return pack(f"<{len(tokens)}I", *[token.id for token in tokens])
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.kept.join(self.split(text))
 
 
