@@ -5,12 +5,13 @@ Python closures; nothing of it is ever evaluated as Python. The language has tex
 ``{{ expression }}``, ``{% for name in expression %}``, ``{% if %}``/``{% elif %}``/``{% else %}``
 and ``{% generation %}`` blocks. Expressions have names, string and integer literals, lists,
 ``.field``, ``+``, ``==``, ``!=``, ``and``, ``or``, ``not``, brackets and the filters ``upper``,
-``lower``, ``trim``, ``length`` and ``escape``. Fields are looked up in dictionaries only, so a
+``lower``, ``trim``, ``length``, ``escape`` and ``escape_name``. Fields are looked up in dictionaries only, so a
 template reaches nothing but the conversation.
 
 Rendering yields text and the places of the generation blocks, which make the loss mask. The
 ``escape`` filter puts a backslash before each backslash and each control string of the format,
-so that texts can't forge turns and are read back exactly.
+so that texts can't forge turns and are read back exactly; ``escape_name`` does the same for
+roles, where the sign between role and text is a control string too.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import by_slices, text_or_empty
 
-TURN, CLOSE = "### ", "</turn>"
+TURN, COLON, CLOSE = "### ", ": ", "</turn>"
 #: Marks turns by role; only what an assistant says is inside the generation block.
 TEMPLATE = (
     "{% for turn in turns %}"
-    "{{ '### ' + (turn.role | escape) + ': ' }}"
+    "{{ '### ' + (turn.role | escape_name) + ': ' }}"
     "{% if turn.role == 'assistant' %}{% generation %}{{ turn.text | escape }}{% endgeneration %}"
     "{% else %}{{ turn.text | escape }}{% endif %}"
     "{{ '</turn>' + '\n' }}"
@@ -96,15 +97,16 @@ class Generation:
 
 # --- escaping ------------------------------------------------------------------------------
 
-SPECIAL = regex.compile(r"\\|###|</turn>")
+SPECIAL, SPECIAL_NAME = regex.compile(r"\\|###|</turn>"), regex.compile(r"\\|###|</turn>|: ")
 
 
-def escape(text: str) -> str:
-    return SPECIAL.sub(lambda m: "\\" + m[0], text)
+def escape(text: str, special: regex.Pattern = SPECIAL) -> str:
+    return special.sub(lambda m: "\\" + m[0], text)
 
 
 def unescape(text: str) -> str:
-    return regex.sub(r"\\(\\|###|</turn>)", r"\1", text)
+    """Text or role as it was; in an escaped text no backslash stands before a colon, so one rule does for both."""
+    return regex.sub(r"\\(\\|###|</turn>|: )", r"\1", text)
 
 
 def _text(value: object) -> str:
@@ -133,9 +135,10 @@ OPERATIONS: dict[str, Callable] = {
     "trim": lambda a: _text(a).strip(),
     "length": len,
     "escape": lambda a: escape(_text(a)),
+    "escape_name": lambda a: escape(_text(a), SPECIAL_NAME),
     "list": lambda *items: list(items),
 }
-FILTERS = ("upper", "lower", "trim", "length", "escape")
+FILTERS = ("upper", "lower", "trim", "length", "escape", "escape_name")
 
 # --- parsing -------------------------------------------------------------------------------
 
@@ -454,6 +457,7 @@ def compile_template(source: str) -> Callable[[list[dict]], tuple[str, list[tupl
 # --- reading back --------------------------------------------------------------------------
 
 PIECE = regex.compile(r"(?:[^\\#<]++|\\(?:\\|###|</turn>)|#(?!##)|<(?!/turn>))*+")
+NAME = regex.compile(r"(?:[^\\#<:]++|\\(?:\\|###|</turn>|: )|#(?!##)|<(?!/turn>)|:(?! ))*+")
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -462,11 +466,12 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     while at < len(formatted):
         if not formatted.startswith(TURN, at):
             raise ValueError(f"a turn is expected at {at}")
-        end = PIECE.match(formatted, at + len(TURN)).end()
-        role, colon, text = formatted[at + len(TURN) : end].partition(": ")
-        if not colon or not formatted.startswith(CLOSE + "\n", end):
+        name = NAME.match(formatted, at + len(TURN)).end()
+        start = name + len(COLON)
+        end = PIECE.match(formatted, start).end()
+        if not formatted.startswith(COLON, name) or not formatted.startswith(CLOSE + "\n", end):
             raise ValueError(f"the turn at {at} isn't closed")
-        turns.append((unescape(role), unescape(text)))
+        turns.append((unescape(formatted[at + len(TURN) : name]), unescape(formatted[start:end])))
         at = end + len(CLOSE) + 1
     return turns
 
@@ -478,14 +483,16 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
     """conv_id, formatted, masked (array of start and end of each generation block, in code points).
 
     Rows are (conv_id, turn, role, text), ordered by turn and, in ties, by role and text; null
-    turns come first. Null text or role is empty; a role is any string without ``: ``. Null
-    conv_ids form one conversation, repeated rows are repeated turns. Texts have no length
-    limit; a conversation is formatted in one place, since it is one training sample. An empty
-    table gives an empty result. Other columns are left out, so clashing names do no harm.
+    turns come first. Null text or role is empty; a role is any string. A row without conv_id
+    belongs to no other row and is a conversation of its own; repeated rows are repeated turns.
+    Texts have no length limit; a conversation is formatted in one place, since it is one
+    training sample. An empty table gives an empty result. Other columns are left out, so
+    clashing names do no harm.
     """
-    render = compile_template(template)
+    compile_template(template)  # so that a bad template fails before any job runs
     turns = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), text_or_empty().alias("text")).alias("t"))
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = turns.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = whole.unionByName(turns.where(F.col("conv_id").isNull()).select("conv_id", F.array("t").alias("turns")))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [compile_template(template)(turns) for turns in batch.column(1).to_pylist()]
@@ -493,8 +500,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
         spans = pa.array([[{"start": a, "end": b} for a, b in masked] for _, masked in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
         return pa.RecordBatch.from_arrays([batch.column(0), texts, spans], ["conv_id", "formatted", "masked"])
 
-    del render  # compiled once here so that a bad template fails before any job runs
-    return whole.mapInArrow(by_slices(work), "conv_id long, formatted string, masked array<struct<start: int, end: int>>")
+    return whole.mapInArrow(by_slices(work), f"conv_id {_kind(rows)}, formatted string, masked array<struct<start: int, end: int>>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -512,5 +518,9 @@ def digests(formatted: DataFrame) -> DataFrame:
         arrays = [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
         return pa.RecordBatch.from_arrays(arrays, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    schema = f"conv_id {_kind(formatted)}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return formatted.mapInArrow(by_slices(work), schema)
+
+
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["conv_id"].dataType.simpleString()

@@ -3,7 +3,8 @@
 Each document is measured against base rules, which reject it by themselves, and soft rules,
 which alone do not. Failures are then counted by host (source) and rule, and each host's rate
 is shrunk towards all hosts' with a beta prior fitted to them by moments, so that a host of few
-documents is not judged by chance. On a host flagged for a rule, documents that fail that rule
+documents is not judged by chance. The prior's spread is what hosts differ by beyond what
+chance gives, so where they do not differ no host is flagged. On a host flagged for a rule, documents that fail that rule
 are rejected too, soft or not. A document that fails no rule is kept whatever its host.
 """
 
@@ -20,8 +21,8 @@ from quarrymill.llm.common import SPACES, by_slices, staged
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT, MIN_WORD_CHARS, MAX_WORD_CHARS = 10, 30, 3, 12
-#: A host is flagged for a rule from this shrunk failure rate on.
-HOST_LIMIT = 0.5
+#: A host is flagged for a rule if its shrunk failure rate is so many times that of all documents, or so high in any case.
+HOST_FACTOR, HOST_LIMIT = 2.0, 0.5
 #: Bounds of the prior's weight, in documents.
 PRIOR_LEAST, PRIOR_MOST = 1.0, 1_000_000.0
 SYMBOLS = b"#*$%&|<>"
@@ -93,21 +94,23 @@ def rules() -> dict[str, Column]:
 BASE = ("short", "repetitive")
 
 
-def host_verdicts(documents: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(documents: DataFrame, host: str = "source", factor: float = HOST_FACTOR, limit: float = HOST_LIMIT) -> DataFrame:
     """Measured documents -> hosts with ``flags``: for each rule whether the host is flagged for it."""
     failures = [F.sum(failed.cast("long")).alias(name) for name, failed in rules().items()]
     hosts = staged(documents.groupBy(host).agg(F.count("*").alias("docs"), *failures), "hosts")
-    totals = hosts.agg(F.sum("docs").alias("docs"), *[F.sum(name).alias(name) for name in rules()]).first()
+    totals = hosts.agg(F.count("*").alias("hosts"), F.sum("docs").alias("docs"), *[F.sum(name).alias(name) for name in rules()]).first()
     mean = {name: (totals[name] or 0) / max(1, totals["docs"] or 0) for name in rules()}
     spread = hosts.agg(
         *[F.sum(F.col("docs") * F.pow(F.col(name) / F.col("docs") - mean[name], 2)).alias(name) for name in rules()]
     ).first()
     flags = []
     for name in rules():
-        between = (spread[name] or 0) / max(1, totals["docs"] or 0)
+        docs = max(1, totals["docs"] or 0)
         binomial = mean[name] * (1 - mean[name])
+        between = (spread[name] or 0) / docs - binomial * (totals["hosts"] - 1) / docs
         weight = min(max(binomial / between - 1, PRIOR_LEAST), PRIOR_MOST) if between > 0 else PRIOR_MOST
-        flags.append(((F.col(name) + mean[name] * weight) / (F.col("docs") + weight) >= limit).alias(name))
+        shrunk = (F.col(name) + mean[name] * weight) / (F.col("docs") + weight)
+        flags.append(((F.col(name) > 0) & (shrunk >= min(limit, factor * mean[name]))).alias(name))
     return hosts.select(host, F.struct(*flags).alias("flags"))
 
 
@@ -137,11 +140,11 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, with the columns of ``docs``.
 
-    Cases as there. Texts stay where they are unless the flagged hosts are too many to broadcast.
+    Cases as there. Each text is measured once and written with its measures; it stays where it
+    is unless the flagged hosts are too many to broadcast.
     """
-    columns = docs.columns
-    verdicts = host_verdicts(staged(measured(docs, ["source"]), "measures"))
-    names = {name: f"_own_{name}" for name in columns if name in (*MEASURES, "base_failed", "kept", "flags")}
+    names = {name: f"_own_{name}" for name in docs.columns if name in (*MEASURES, "base_failed", "kept", "flags")}
     own = docs.withColumnsRenamed(names)
-    full = judged(measured(own, own.columns), verdicts).where("kept").select(*own.columns)
-    return full.withColumnsRenamed({new: old for old, new in names.items()})
+    full = staged(measured(own, own.columns), "measured")
+    kept = judged(full, host_verdicts(full)).where("kept").select(*own.columns)
+    return kept.withColumnsRenamed({new: old for old, new in names.items()})

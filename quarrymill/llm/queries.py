@@ -49,11 +49,12 @@ m AS (SELECT d.row, doc_id, source, coalesce(s.n, 0) AS n_words, coalesce(s.char
     coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines
   FROM d LEFT JOIN sizes s USING (row) LEFT JOIN lines l ON l.row = d.row LEFT JOIN repeated r ON r.row = d.row),
 hosts AS (SELECT source, count(*) AS docs, {each("count(*) FILTER ({test}) AS {r}")} FROM m GROUP BY source),
-totals AS (SELECT sum(docs) AS docs, {each("sum({r}) / sum(docs)::DOUBLE AS {r}")} FROM hosts),
+totals AS (SELECT count(*) AS hosts, sum(docs) AS docs, {each("sum({r}) / sum(docs)::DOUBLE AS {r}")} FROM hosts),
 spread AS (SELECT {each("sum(h.docs * (h.{r} / h.docs::DOUBLE - t.{r}) ** 2) / max(t.docs) AS {r}")} FROM hosts h, totals t),
+between AS (SELECT {each("s.{r} - t.{r} * (1 - t.{r}) * (t.hosts - 1) / t.docs AS {r}")} FROM totals t, spread s),
 weights AS (SELECT {each("CASE WHEN s.{r} > 0 THEN least(greatest(t.{r} * (1 - t.{r}) / s.{r} - 1, " + f"{q.PRIOR_LEAST}), {q.PRIOR_MOST}" + ") ELSE " + f"{q.PRIOR_MOST}" + " END AS {r}")}
-  FROM totals t, spread s),
-flags AS (SELECT source, {each("(h.{r} + t.{r} * w.{r}) / (h.docs + w.{r}) >= " + f"{q.HOST_LIMIT}" + " AS {r}")} FROM hosts h, totals t, weights w),
+  FROM totals t, between s),
+flags AS (SELECT source, {each("h.{r} > 0 AND (h.{r} + t.{r} * w.{r}) / (h.docs + w.{r}) >= least(" + f"{q.HOST_LIMIT}, {q.HOST_FACTOR}" + " * t.{r}) AS {r}")} FROM hosts h, totals t, weights w),
 judged AS (SELECT m.*, {rules["short"]} OR {rules["repetitive"]} AS base_failed, {" OR ".join(f"(f.{r} AND {t})" for r, t in rules.items())} AS by_host
   FROM m LEFT JOIN flags f ON m.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR by_host) AS kept FROM judged"""
@@ -174,14 +175,14 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), escaped AS (
-  SELECT *, regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') AS said, regexp_replace(role, '(\\|###|</turn>)', '\\\1', 'g') AS who FROM rows
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') AS said, regexp_replace(role, '(\\|###|</turn>|: )', '\\\1', 'g') AS who FROM rows
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length('### ' || who || ': ' || said || '</turn>') + 1)::BIGINT AS formatted_chars
-FROM escaped GROUP BY conv_id
+FROM escaped GROUP BY conv_id, alone
 """
 
 

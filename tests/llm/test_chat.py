@@ -21,6 +21,26 @@ def test_escape_round_trip():
         assert [unescape(formatted[a:b]) for a, b in masked] == [text + "!"]
 
 
+def test_roles_that_hold_control_strings():
+    rng = random.Random(5)
+    for role in ["a: b", ": ", ":", "a:", "\\: ", "x:: y", "###: "] + ["".join(rng.choice(["\\", "#", "###", "</turn>", "<", ":", " ", ": ", "x"]) for _ in range(8)) for _ in range(500)]:
+        formatted, _ = compile_template(TEMPLATE)([{"role": role, "text": " : x: y"}, {"role": "assistant", "text": role}])
+        assert read_back(formatted) == [(role, " : x: y"), ("assistant", role)]
+
+
+def test_rows_without_conversation_stand_alone(spark):
+    rows = [(None, 1, "user", "z"), (None, 2, "a: b", "y"), (None, 2, "a: b", "y"), (3, 0, "a: b", "w")]
+    got = digests(format_conversations(spark.createDataFrame(rows, SCHEMA))).collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [(c, 1, sha(f"{role}\n{text}\n")) for c, _, role, text in rows]
+    assert sorted(((r.conv_id, r.n_turns, r.turns_sha256) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_other_id_types(spark):
+    rows = spark.createDataFrame([("c1", 0, "user", "x")], "conv_id string, turn long, role string, text string")
+    assert digests(format_conversations(rows)).first().conv_id == "c1"
+
+
 def test_language():
     run = lambda source, turns=(): compile_template(source)(list(turns))[0]
     assert run("a{{ 'b' + \"c\" | upper }}{{ 1 + 2 }}{{ none }}{{ [1, 2] | length }}") == "abC32"

@@ -37,8 +37,11 @@ def clean(n, seed):
     return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9))) for _ in range(n))
 
 
+def junk(n):
+    return clean(80, n).replace(" ", "&&& ")
+
+
 def test_host_verdicts_reject_soft_failures_on_bad_hosts_only(docs_of):
-    junk = lambda n: clean(80, n).replace(" ", "&&& ")
     rows = [(n, junk(n), "bad") for n in range(40)] + [(100 + n, clean(80, n), "bad") for n in range(5)]
     rows += [(200 + n, clean(80, n), f"good{n % 4}") for n in range(80)] + [(300, junk(300), "good1"), (301, junk(301), "tiny")]
     rows += [(400, None, "good1"), (401, "short", None), (402, clean(60, 402), None), (None, clean(60, 1), "good2"), (200, clean(80, 0), "good0")]
@@ -53,6 +56,20 @@ def test_host_verdicts_reject_soft_failures_on_bad_hosts_only(docs_of):
     assert {r.doc_id for r in good.collect()} == kept
 
 
+def test_host_with_several_times_the_usual_rate_is_flagged(docs_of):
+    """Rates as they are met: most hosts fail about 4 % by chance, one 20 %."""
+    rows, bad = [], set()
+    for host in range(12):
+        for n in range(100):
+            doc = 1000 * host + n
+            failing = n < (20 if host == 0 else 3 + host % 3)
+            bad |= {doc} if failing and host == 0 else set()
+            rows.append((doc, junk(doc) if failing else clean(80, doc), f"host{host}"))
+    assert {r.doc_id for r in quality_verdicts(docs_of(rows)).collect() if not r.kept} == bad
+    alike = [(d, t, s) for d, t, s in rows if s != "host0"]  # what is left differs by chance only
+    assert all(r.kept for r in quality_verdicts(docs_of(alike)).collect())
+
+
 def test_empty_table_and_clashing_columns(docs_of):
     assert quality_verdicts(docs_of([])).count() == 0 and keep_good(docs_of([])).count() == 0
     clash = docs_of([(1, clean(80, 1))]).selectExpr("*", "1 AS n_words", "2 AS kept", "3 AS flags", "4 AS docs")
