@@ -33,9 +33,11 @@ def test_against_brute_force(spark, values):
     check(spark, rows, rows[::50])
 
 
-def test_many_blocks_and_equal_vectors(spark, monkeypatch):
+@pytest.mark.parametrize("shard", [1, 8])
+def test_many_blocks_and_equal_vectors(spark, monkeypatch, shard):
     monkeypatch.setattr("quarrymill.llm.topk.VECTOR_ROWS", 40)
     monkeypatch.setattr("quarrymill.llm.topk.QUERY_ROWS", 3)
+    monkeypatch.setattr("quarrymill.llm.topk.SHARD_BLOCKS", shard)
     rng = random.Random(5)
     rows = [(i, [0.5, 0.25] if i % 3 == 0 else [rng.gauss(0, 1), rng.gauss(0, 1)], 0) for i in range(300)]
     check(spark, rows, rows[::20])
@@ -49,10 +51,17 @@ def test_odd_rows(spark):
     check(spark, [], [])
 
 
-def test_stops_early_with_right_result():
+def test_stops_early_with_right_result(monkeypatch):
     rng = np.random.default_rng(0)
     vectors = rng.integers(-5, 6, (5000, 3))
     vectors[17] = 900
-    lists = Lists(np.arange(5000), vectors)
-    rows, scores = lists.top(-1, np.array([1, 2, 3]), 1)
-    assert rows.tolist() == [17] and scores.tolist() == [5400]
+    lists = Lists.of(np.arange(5000), vectors)
+    ids, scores = lists.top(-1, np.array([1, 2, 3]), 1)
+    assert ids.tolist() == [17] and scores.tolist() == [5400]
+    scored, plain = [], Lists.scores
+    monkeypatch.setattr(Lists, "scores", lambda self, rows, query: scored.append(len(rows)) or plain(self, rows, query))
+    lists.top(-1, np.array([1, 2, 3]), 1)
+    assert sum(scored) < 500
+    later = Lists.of(np.arange(5000, 9000), rng.integers(-5, 6, (4000, 3)))
+    scored.clear()
+    assert later.top(-1, np.array([1, 2, 3]), 1, (ids, scores)) == (ids, scores) and not scored  # the bound came from the block before
