@@ -1,12 +1,14 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Input symbols are the text's bytes, each with a flag that its eight bytes occurred within the
-last 32. Learned filters run over chunks that overlap and cover the whole document; each
-filter's maximum in a chunk, its mean and its maximum over the chunks give one probability.
-A filter is a table of weights by (offset, symbol), so a convolution is a sum of row look-ups.
-
-Training takes a bounded sample of labelled documents and chunks; scoring takes every chunk of
-every document.
+last 32: a filter is linear, so without the flag no filter can see that a word is said again
+and again (the README has figures for both). Learned filters run over chunks that overlap and
+cover the whole document; each filter's maximum in a chunk, its mean and its maximum over the
+chunks give one probability. A filter is a table of weights by (offset, symbol), so a
+convolution is a sum of row look-ups.
+
+Training takes a bounded sample of labelled documents, with all chunks of each; scoring takes
+every chunk of every document.
 """
 
 from __future__ import annotations
@@ -18,21 +20,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import by_slices, text_or_empty
+from quarrymill.llm.common import by_slices, staged, text_or_empty
 
-#: Bounds of the training sample: labelled documents, and chunks of each.
-TRAIN_ROWS, TRAIN_CHUNKS = 4000, 4
+#: Bounds of the training sample: labelled documents, and bytes of all of them.
+TRAIN_ROWS, TRAIN_BYTES = 2000, 32 << 20
 CHUNK, OVERLAP, WIDTH, FILTERS = 512, 64, 6, 16
 SYMBOLS, GRAM, LAGS = 512, 8, range(2, 33)
-EPOCHS, BATCH, RATE, DECAY = 5, 64, 0.01, 1e-5
+#: Chunks that go through the filters together.
+SLICE = 64
+EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.01, 1e-5
 THRESHOLD = 0.7
 
 
 def symbols(raw: bytes) -> np.ndarray:
-    """Bytes, plus 256 where the eight bytes from there on also start up to 32 bytes earlier."""
-    out = np.frombuffer(raw, np.uint8).astype(np.int16)
-    if len(raw) > GRAM:
-        grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), GRAM)).view(np.uint64)[:, 0]
+    """Bytes, plus 256 where the eight bytes from there on also start up to 32 bytes earlier; U+0000 fills up texts shorter than a filter."""
+    held = np.frombuffer(raw.ljust(WIDTH, b"\0"), np.uint8)
+    out = held.astype(np.int16)
+    if len(held) > GRAM:
+        grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(held, GRAM)).view(np.uint64)[:, 0]
         again = np.zeros(len(grams), bool)
         for lag in LAGS:
             if lag < len(grams):
@@ -66,11 +71,9 @@ class Network:
 
     def score(self, text: str) -> float:
         syms = symbols(text.encode())
-        if len(syms) < WIDTH:
-            syms = np.pad(syms, (0, WIDTH - len(syms)))  # U+0000 fills up texts shorter than a filter
         starts, total, most = chunk_starts(len(syms)), np.zeros(FILTERS), np.full(FILTERS, -np.inf)
-        for at in range(0, len(starts), 64):
-            own = starts[at : at + 64]
+        for at in range(0, len(starts), SLICE):
+            own = starts[at : at + SLICE]
             part = self.responses(syms[own[0] : own[-1] + CHUNK])
             edges = np.stack([own - own[0], np.minimum(own - own[0] + CHUNK - WIDTH + 1, len(part))], axis=1).ravel()
             if edges[-1] == len(part):
@@ -81,16 +84,28 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def train(chunks: list[list[bytes]], labels: list[int], seed: int = 0) -> Network | None:
-    """A network fitted to documents, each a list of chunks; None if there is not one of each label."""
+def best_places(net: Network, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum of each filter in each chunk, and where it is."""
+    found = []
+    for at in range(0, len(chunks), SLICE):
+        z = net.responses(chunks[at : at + SLICE])
+        best = z.argmax(axis=1)
+        found.append((np.take_along_axis(z, best[:, None], axis=1)[:, 0], best))
+    most, best = zip(*found, strict=True)
+    return np.concatenate(most), np.concatenate(best)
+
+
+def train(texts: list[bytes], labels: list[int], seed: int = 0) -> Network | None:
+    """A network fitted to whole documents; None if there is not one of each label."""
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    owner = np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])
-    syms = np.stack([np.resize(symbols(raw), CHUNK) if len(raw) >= WIDTH else np.pad(symbols(raw), (0, CHUNK - len(raw))) for c in chunks for raw in c])
+    whole = [symbols(raw) for raw in texts]
+    starts = [chunk_starts(len(syms)) for syms in whole]
+    chunks = np.stack([np.resize(syms[s : s + CHUNK], CHUNK) for syms, own in zip(whole, starts, strict=True) for s in own])  # shorter texts start again
     y = np.array(labels, np.float32)
-    first = np.searchsorted(owner, np.arange(len(chunks)))
-    number = np.bincount(owner, minlength=len(chunks))
+    number = np.array([len(own) for own in starts])
+    first = np.cumsum(number) - number
     net = Network(
         (rng.normal(size=(WIDTH, SYMBOLS, FILTERS)) * 0.1).astype(np.float32),
         np.zeros(FILTERS, np.float32),
@@ -101,15 +116,14 @@ def train(chunks: list[list[bytes]], labels: list[int], seed: int = 0) -> Networ
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     step = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(chunks))
+        order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             docs, step = order[at : at + BATCH], step + 1
             rows = np.concatenate([np.arange(first[d], first[d] + number[d]) for d in docs])
             part = np.repeat(np.arange(len(docs)), number[docs])
-            seen = syms[rows]
-            z = net.responses(seen)
-            best = z.argmax(axis=1)
-            pooled = np.take_along_axis(z, best[:, None], axis=1)[:, 0] + net.bias
+            seen = chunks[rows]
+            pooled, best = best_places(net, seen)
+            pooled = pooled + net.bias
             active = pooled > 0
             pooled *= active
             share = 1 / number[docs].astype(np.float32)
@@ -141,33 +155,31 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, quality, chunks (evenly spaced, at most TRAIN_CHUNKS) of at most ``rows`` labelled documents.
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> list[tuple[bytes, int]]:
+    """Whole text and quality of at most ``rows`` labelled documents with at most ``most`` bytes in all.
 
-    The documents are the first in the order of their ids' hashes; held-out ones never take part.
+    The documents are the first in the order of their ids' hashes, without any that would go
+    over the bytes; held-out ones never take part. Of several rows of one doc_id one is taken.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text in batch.column(2).to_pylist():
-            raw = text.encode()
-            starts = chunk_starts(len(raw))
-            picked = starts[np.unique(np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int))]
-            out.append([raw[s : s + CHUNK] for s in picked.tolist()])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "quality", "chunks"])
-
+    order = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")
+    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order).limit(rows)
     # At most ``rows`` rows of two numbers are broadcast.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", text_or_empty().alias("text"))
-    cut = found.mapInArrow(by_slices(work), "doc_id long, quality int, chunks array<binary>")
-    return cut.groupBy("doc_id", "quality").agg(F.min_by("chunks", F.xxhash64("chunks")).alias("chunks"))
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = staged(found.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled-texts")
+    sizes = one.select("doc_id", F.octet_length("text").alias("n"), order.alias("order")).collect()
+    ids, total = [], 0
+    for row in sorted(sizes, key=lambda r: r["order"]):
+        if total + row["n"] <= most:
+            ids.append(row["doc_id"])
+            total += row["n"]
+    texts = one.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "quality").collect()
+    return [(r["text"].encode(), r["quality"]) for r in sorted(texts, key=lambda r: r["doc_id"])]
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
-    sample = training_rows(docs, labels, rows).collect()
-    sample.sort(key=lambda r: r["doc_id"])
-    return train([list(map(bytes, r["chunks"])) for r in sample], [r["quality"] for r in sample])
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Network | None:
+    sample = training_rows(docs, labels, rows, most)
+    return train([raw for raw, _ in sample], [quality for _, quality in sample])
 
 
 def score_documents(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -183,7 +195,8 @@ def score_documents(docs: DataFrame, network: Network | None, threshold: float =
         scores = [0.5 if network is None else network.score(text) for text in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(by_slices(work), "doc_id long, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(by_slices(work), f"doc_id {kind}, score double")
     return scored.select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

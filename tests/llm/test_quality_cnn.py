@@ -1,9 +1,12 @@
+import math
 import random
 import zlib
 
 import numpy as np
 
-from quarrymill.llm.quality_cnn import CHUNK, chunk_starts, fit, score_documents, symbols
+import pytest
+
+from quarrymill.llm.quality_cnn import CHUNK, FILTERS, SYMBOLS, WIDTH, Network, chunk_starts, fit, score_documents, symbols, training_rows
 
 
 def prose(rng, n):
@@ -33,7 +36,38 @@ def test_symbols_flag_repeats_only():
     rng = random.Random(1)
     flags = symbols(b"The The The The The The The ") >= 256
     assert not flags[:4].any() and flags[4:20].all()
-    assert (symbols(prose(rng, 200).encode()) < 256).mean() > 0.99
+    assert (symbols(prose(rng, 200).encode()) < 256).mean() > 0.99 and symbols(b"ab").tolist() == [97, 98, 0, 0, 0, 0]
+
+
+def plain_score(net, text):
+    """The network written out: every filter at every place of every chunk."""
+    raw = symbols(text.encode())
+    pooled = []
+    for start in chunk_starts(len(raw)).tolist():
+        chunk = raw[start : start + CHUNK]
+        responses = [sum(net.filters[j, chunk[at + j]].astype(float) for j in range(WIDTH)) + net.bias for at in range(len(chunk) - WIDTH + 1)]
+        pooled.append(np.maximum(np.max(responses, axis=0), 0))
+    logit = net.offset + net.weights[0] @ np.mean(pooled, axis=0) + net.weights[1] @ np.max(pooled, axis=0)
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_score_against_plain_convolution():
+    rng = np.random.default_rng(5)
+    net = Network(rng.normal(size=(WIDTH, SYMBOLS, FILTERS)).astype(np.float32), rng.normal(size=FILTERS).astype(np.float32), rng.normal(size=(2, FILTERS)).astype(np.float32) * 0.1, 0.3)
+    words = random.Random(5)
+    for text in ("", "é", "abcdef", prose(words, 90), "x" * CHUNK, "x" * (CHUNK + 1), prose(words, 600), prose(words, 9000)):
+        assert net.score(text) == pytest.approx(plain_score(net, text), abs=1e-4)
+
+
+def test_training_sample_is_bounded_and_whole(docs_of, spark):
+    rows, labels = corpus(60)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    texts = {t.encode() for _, t in rows}
+    every = training_rows(docs_of(rows), table)
+    assert {raw for raw, _ in every} <= texts and len(every) == sum(zlib.crc32(str(d).encode()) % 4 != 2 for d, _ in rows)
+    some = training_rows(docs_of(rows), table, most=20_000)
+    assert 0 < sum(len(raw) for raw, _ in some) <= 20_000 and {raw for raw, _ in some} <= texts
+    assert len(training_rows(docs_of(rows), table, rows=7)) == 7
 
 
 def test_chunks_cover_the_text():
