@@ -2,13 +2,12 @@
 
 The network is trained in numpy on sentences with labelled spans that a seeded generator makes,
 with shapes the patterns miss (such as phone numbers without a country sign) and look-alikes
-that are no personal data. A long text is cut into overlapping windows; each is decoded by
-Viterbi, and the windows' spans are reconciled over the whole text: spans of one kind that
-overlap become one, of different kinds the surer one stays. Base spans always stay, and a
-model span that overlaps one is dropped.
-
-A span of any kind has a digit or an at sign, and decoded spans without are dropped, so windows
-that hold neither are not run.
+that are no personal data. A text is cut into overlapping windows that cover it, and every one
+goes through the network and is decoded: where the emissions and transitions prove that the
+best path lies outside any span throughout, that is the decoding, elsewhere Viterbi finds it.
+The windows' spans are reconciled over the whole text: spans of one kind that overlap become
+one, of different kinds the surer one stays. Base spans always stay, and a model span that
+overlaps one is dropped.
 """
 
 from __future__ import annotations
@@ -26,10 +25,12 @@ from quarrymill.llm.common import by_slices, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Window length and step in code points; a span of up to the difference lies whole in a window.
-WINDOW, STEP = 160, 96
+WINDOW, STEP = 512, 448
+#: Windows that go through the network together.
+BATCH = 512
 #: Mean certainty from which a model span counts.
 CERTAIN = 0.9
-HIDDEN, TRAIN_STEPS, TRAIN_BATCH, TRAIN_CHARS, RATE = 16, 260, 48, 96, 0.01
+HIDDEN, TRAIN_STEPS, TRAIN_BATCH, TRAIN_CHARS, RATE = 12, 600, 48, 96, 0.012
 
 # --- base patterns -------------------------------------------------------------------------
 
@@ -80,12 +81,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- network -------------------------------------------------------------------------------
 
-#: Characters: ASCII by code, then other letters, other digits and all else.
+#: Characters: ASCII by code, then other letters, other digits and all else; 0 also fills up short windows.
 CHARS, TAGS = 131, 1 + 2 * len(KINDS)
 
 
+@lru_cache(maxsize=1)
+def _code_table() -> np.ndarray:
+    """Code of each code point; those beyond the last plane of letters are all else."""
+    table = np.full(0x110000, 130, np.uint8)
+    table[:128] = np.arange(128)
+    for point in range(128, 0x33480):
+        char = chr(point)
+        table[point] = 128 if char.isalpha() else 129 if char.isdigit() else 130
+    return table
+
+
 def codes(text: str) -> np.ndarray:
-    return np.array([ord(c) if c < "\x80" else 128 if c.isalpha() else 129 if c.isdigit() else 130 for c in text], np.int16)
+    return _code_table()[np.frombuffer(text.encode("utf-32-le"), "<u4")]
 
 
 def allowed() -> np.ndarray:
@@ -100,10 +112,6 @@ def allowed() -> np.ndarray:
 FORBIDDEN = np.where(allowed(), 0.0, -1e4).astype(np.float32)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def log_total(a: np.ndarray) -> np.ndarray:
     """log of the summed exponentials over the second axis."""
     most = a.max(axis=1)
@@ -121,49 +129,93 @@ def forward_backward(e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.nd
     return ahead, behind
 
 
+def both_ways(x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Codes (batch x time) -> directions x time x batch; the second reads each row backwards from its own end.
+
+    Where rows have lengths, what is beyond them comes last both ways, so it changes no state within.
+    """
+    back = x[:, ::-1] if lengths is None else np.take_along_axis(x, turned(lengths, x.shape[1]), axis=1)
+    return np.stack([x.T, back.T])
+
+
+def turned(lengths: np.ndarray, n: int) -> np.ndarray:
+    """For each row and time the place that reading backwards from the row's end comes to; its own inverse."""
+    at = np.arange(n)
+    return np.where(at < lengths[:, None], lengths[:, None] - 1 - at, at)
+
+
 class Tagger:
     """Two LSTMs over characters, a linear layer and CRF transitions."""
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
         normal = lambda *shape: (rng.normal(size=shape) * 0.2).astype(np.float32)
-        self.values = {"emit": normal(2 * HIDDEN, TAGS), "bias": np.zeros(TAGS, np.float32), "move": np.zeros((TAGS + 1, TAGS), np.float32)}
-        for side in "fb":
-            self.values[f"in{side}"] = normal(CHARS, 4 * HIDDEN)
-            self.values[f"in{side}"][:, HIDDEN : 2 * HIDDEN] += 1  # the forget gate starts open
-            self.values[f"own{side}"] = normal(HIDDEN, 4 * HIDDEN)
-
-    def lstm(self, side: str, x: np.ndarray, valid: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each character; padding leaves them as they are. x: batch x time."""
-        given, own = self.values[f"in{side}"], self.values[f"own{side}"]
-        h = c = np.zeros((len(x), HIDDEN), np.float32)
-        out = np.empty((x.shape[1], len(x), HIDDEN), np.float32)
-        for t in range(x.shape[1]) if side == "f" else range(x.shape[1] - 1, -1, -1):
-            z = given[x[:, t]] + h @ own
-            gates = sigmoid(z[:, : 3 * HIDDEN])
-            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-            g = np.tanh(z[:, 3 * HIDDEN :])
-            new = f * c + i * g
-            squashed = np.tanh(new)
-            on = valid[:, t : t + 1]
+        self.values = {
+            "emit": normal(2 * HIDDEN, TAGS), "bias": np.zeros(TAGS, np.float32), "move": np.zeros((TAGS + 1, TAGS), np.float32),
+            "in": normal(2, CHARS, 4 * HIDDEN), "own": normal(2, HIDDEN, 4 * HIDDEN),
+        }
+        self.values["in"][:, :, HIDDEN : 2 * HIDDEN] += 1  # the forget gate starts open
+
+    def lstm(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """time x directions x batch x hidden: states after each character of x (directions x time x batch)."""
+        scale = np.repeat([0.5, 1], [3 * HIDDEN, HIDDEN]).astype(self.values["own"].dtype)  # sigmoid(z) is tanh(z / 2) / 2 + 1/2
+        given, own = (self.values["in"] * scale).reshape(2 * CHARS, -1), self.values["own"] * scale
+        places = x.astype(np.intp) + np.array([0, CHARS])[:, None, None]
+        h = c = np.zeros((2, x.shape[2], HIDDEN), own.dtype)
+        out = np.empty((x.shape[1], *h.shape), own.dtype)
+        for t in range(x.shape[1]):
+            z = given[places[:, t]]
+            z += h @ own
+            np.tanh(z, out=z)
+            gates = z[..., : 3 * HIDDEN]
+            gates *= 0.5
+            gates += 0.5
+            i, f, o, g = (z[..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+            before = c
+            c = f * before
+            c += i * g
+            squashed = np.tanh(c)
             if keep is not None:
-                keep.append((t, i, f, o, g, c, squashed, h, on))
-            c = np.where(on, new, c)
-            out[t] = h = np.where(on, o * squashed, h)
+                keep.append((t, i, f, o, g, before, squashed, h))
+            h = out[t]
+            np.multiply(o, squashed, out=h)
         return out
 
-    def emissions(self, x: np.ndarray, valid: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """time x batch x tags."""
-        sides = [self.lstm(s, x, valid, None if keep is None else keep.setdefault(s, [])) for s in "fb"]
-        states = np.concatenate(sides, axis=2)
+    def emissions(self, x: np.ndarray, lengths: np.ndarray | None = None, keep: dict | None = None) -> np.ndarray:
+        """time x batch x tags of x (batch x time)."""
+        out = self.lstm(both_ways(x, lengths), None if keep is None else keep.setdefault("steps", []))
+        ahead, behind = out[:, 0], out[::-1, 1]
+        if lengths is not None:
+            behind = np.take_along_axis(out[:, 1], turned(lengths, x.shape[1]).T[:, :, None], axis=0)
         if keep is not None:
-            keep["states"] = states
-        return states @ self.values["emit"] + self.values["bias"]
+            keep["states"] = np.concatenate([ahead, behind], axis=2)
+        emit = self.values["emit"]
+        return ahead @ emit[:HIDDEN] + behind @ emit[HIDDEN:] + self.values["bias"]
+
+    def surely_outside(self, e: np.ndarray) -> np.ndarray:
+        """Rows whose best path is proven to be outside any span throughout.
 
-    def decode(self, x: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi tags (batch x time) and the probability of each one's kind given the window."""
-        outside = np.where(np.arange(TAGS) == 0, 0, -1e4).astype(np.float32)  # padding is outside any span
-        e = np.where(valid.T[:, :, None], self.emissions(x, valid), outside)
+        A path gains or loses against that one span by span. The scan finds for each kind the
+        most that any span can gain, with the best transition into it and out of it; if no span
+        gains, no path does.
+        """
+        move = self.values["move"] + FORBIDDEN
+        begin, inside = slice(1, TAGS, 2), slice(2, TAGS, 2)
+        into = np.maximum((move[:TAGS, begin] - move[0, 0]).max(axis=0), move[TAGS, begin] - move[TAGS, 0])
+        out = np.maximum(move[1:TAGS, 0] - move[0, 0], 0)
+        first, further = (np.array([move[k + shift, k + 1] - move[0, 0] for k in range(1, TAGS, 2)]) for shift in (0, 1))
+        gain = e - e[:, :, :1]
+        begun = into + gain[0, :, begin]
+        within = np.full_like(begun, -np.inf)
+        most = begun + out[::2]
+        for t in range(1, len(e)):
+            within = np.maximum(begun + first, within + further) + gain[t, :, inside]
+            begun = into + gain[t, :, begin]
+            most = np.maximum(most, np.maximum(begun + out[::2], within + out[1::2]))
+        return most.max(axis=1) < 0
+
+    def viterbi(self, e: np.ndarray) -> np.ndarray:
+        """Best tags (batch x time) for emissions (time x batch x tags)."""
         move = self.values["move"] + FORBIDDEN
         score, back = e[0] + move[TAGS], []
         for t in range(1, len(e)):
@@ -171,20 +223,40 @@ class Tagger:
             best = every.argmax(axis=1)
             score = np.take_along_axis(every, best[:, None], axis=1)[:, 0] + e[t]
             back.append(best)
-        tags = np.empty((len(x), len(e)), np.int64)
+        tags = np.empty((e.shape[1], len(e)), np.int64)
         tags[:, -1] = score.argmax(axis=1)
         for t in range(len(e) - 2, -1, -1):
             tags[:, t] = np.take_along_axis(back[t], tags[:, t + 1 : t + 2], axis=1)[:, 0]
-        ahead, behind = forward_backward(e, move)
-        odds = np.exp(ahead + behind - log_total(ahead[-1])[:, None])
+        return tags
+
+    def certainty(self, e: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """The probability (batch x time) of each tag's kind given the window."""
+        ahead, behind = forward_backward(e, self.values["move"] + FORBIDDEN)
+        odds = np.exp(np.minimum(ahead + behind - log_total(ahead[-1])[:, None], 0))
         # Beginning and inside of a kind count together.
         kinds = np.concatenate([odds[:, :, :1], odds[:, :, 1::2] + odds[:, :, 2::2]], axis=2)
-        return tags, np.take_along_axis(kinds, ((tags + 1) // 2).T[:, :, None], axis=2)[:, :, 0].T
+        return np.take_along_axis(kinds, ((tags + 1) // 2).T[:, :, None], axis=2)[:, :, 0].T
+
+    def decode(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags (batch x time) and how sure each is; what is beyond a row's length is outside any span."""
+        outside = np.where(np.arange(TAGS) == 0, 0, -1e4).astype(np.float32)
+        whole = lengths.min(initial=x.shape[1]) == x.shape[1]
+        e = self.emissions(x, None if whole else lengths)
+        if not whole:
+            e = np.where((np.arange(x.shape[1])[:, None] < lengths)[:, :, None], e, outside)
+        tags, sure = np.zeros(x.shape, np.int64), np.ones(x.shape, np.float32)
+        open_rows = np.flatnonzero(~self.surely_outside(e))
+        if len(open_rows):
+            tags[open_rows] = self.viterbi(e[:, open_rows])
+            told = np.flatnonzero(tags.any(axis=1))
+            if len(told):
+                sure[told] = self.certainty(e[:, told], tags[told])
+        return tags, sure
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-likelihood of tags y (batch x time, all valid) and its gradients."""
-        valid, keep = np.ones(x.shape, bool), {}
-        e = self.emissions(x, valid, keep)
+        """Mean negative log-likelihood of tags y (batch x time) and its gradients."""
+        keep: dict = {}
+        e = self.emissions(x, keep=keep)
         n, rows = len(e), np.arange(len(x))
         move = self.values["move"] + FORBIDDEN
         ahead, behind = forward_backward(e, move)
@@ -200,29 +272,24 @@ class Tagger:
         np.subtract.at(grad_move, (np.full(len(y), TAGS), y[:, 0]), 1)
         slope[np.arange(n)[:, None], rows, y.T] -= 1
         slope /= len(x)
-        states = keep["states"]
-        grads = {
-            "emit": np.einsum("tbh,tbk->hk", states, slope),
-            "bias": slope.sum(axis=(0, 1)),
-            "move": grad_move / len(x),
-        }
+        grads = {"emit": np.einsum("tbh,tbk->hk", keep["states"], slope), "bias": slope.sum(axis=(0, 1)), "move": grad_move / len(x)}
         back = slope @ self.values["emit"].T
-        for number, side in enumerate("fb"):
-            grads |= self._lstm_gradients(side, x, back[:, :, number * HIDDEN : (number + 1) * HIDDEN], keep[side])
-        return float((norm - seen).mean()), grads
-
-    def _lstm_gradients(self, side: str, x: np.ndarray, slope: np.ndarray, keep: list) -> dict[str, np.ndarray]:
-        own = self.values[f"own{side}"]
-        grad_in, grad_own = np.zeros_like(self.values[f"in{side}"]), np.zeros_like(own)
-        dh = dc = np.zeros((len(x), HIDDEN), np.float32)
-        for t, i, f, o, g, c, squashed, h, _ in reversed(keep):
+        ways = np.stack([back[:, :, :HIDDEN], back[::-1, :, HIDDEN:]], axis=1)
+        return float((norm - seen).mean()), grads | self._lstm_gradients(both_ways(x), ways, keep["steps"])
+
+    def _lstm_gradients(self, x: np.ndarray, slope: np.ndarray, steps: list) -> dict[str, np.ndarray]:
+        own = self.values["own"]
+        every, grad_own = np.empty((*x.shape, 4 * HIDDEN), own.dtype), np.zeros_like(own)
+        dh = dc = np.zeros(slope.shape[1:], own.dtype)
+        for t, i, f, o, g, c, squashed, h in reversed(steps):
             dh = dh + slope[t]
             dc = dc + dh * o * (1 - squashed * squashed)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            np.add.at(grad_in, x[:, t], dz)
-            grad_own += h.T @ dz
-            dh, dc = dz @ own.T, dc * f
-        return {f"in{side}": grad_in, f"own{side}": grad_own}
+            dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - g * g)], axis=2)
+            every[:, t] = dz
+            grad_own += h.transpose(0, 2, 1) @ dz
+            dh, dc = dz @ own.transpose(0, 2, 1), dc * f
+        marks = (x.reshape(2, 1, -1) == np.arange(CHARS)[:, None]).astype(own.dtype)  # by direction and code, where it stands
+        return {"in": marks @ every.reshape(2, -1, 4 * HIDDEN), "own": grad_own}
 
 
 # --- labelled spans ------------------------------------------------------------------------
@@ -257,17 +324,21 @@ def sample_other(rng: random.Random) -> str:
     )
 
 
+def sample_word(rng: random.Random) -> str:
+    """A word that is in no span: any letters, so that only its surroundings tell it from a part of an address."""
+    letters = rng.choice(["abcdefghijklmnopqrstuvwxyz", "etaoinshrdlu", "aeioulmnrstdqu", "abcdefghijklmnopqrstuvwxyzéüñçßãôж漢"])
+    value = "".join(rng.choice(letters) for _ in range(rng.randint(1, 14)))
+    return rng.choice([value, value, value, value, value.capitalize(), value.upper(), f"{value}-{value[:4]}", f"{value}.{value[:3]}", f"{value}_{value[:3]}", f"{value}/{value}"])
+
+
 def sample_sentence(rng: random.Random, n: int) -> tuple[str, list[int]]:
-    """At least n characters of words, values and look-alikes, and the tag of each character."""
-    text, tags = "", []
+    """At least n characters of words, values and look-alikes, and the tag of each character; one in three has words only."""
+    text, tags, plain = "", [], rng.random() < 0.33
     while len(text) < n:
-        draw, kind = rng.random(), rng.randrange(len(KINDS))
-        value = sample_value(rng, kind) if draw < 0.13 else sample_other(rng) if draw < 0.25 else None
-        if value is None:
-            value = "".join(rng.choice("etaoinshrdluéüñçß") for _ in range(rng.randint(1, 9)))
-            value = rng.choice([value, value, value, value.capitalize(), value.upper()])
-        tags += [2 * kind + 1] + [2 * kind + 2] * (len(value) - 1) if draw < 0.13 else [0] * len(value)
-        gap = rng.choice([" ", " ", " ", " ", ", ", ". ", ".\n", " | ", "&&& ", "!! ", ": ", "%%% "])
+        draw, kind = 1.0 if plain else rng.random(), rng.randrange(len(KINDS))
+        value = sample_value(rng, kind) if draw < 0.15 else sample_other(rng) if draw < 0.3 else sample_word(rng)
+        tags += [2 * kind + 1] + [2 * kind + 2] * (len(value) - 1) if draw < 0.15 else [0] * len(value)
+        gap = rng.choice([" ", " ", " ", " ", " ", " ", ", ", ". ", ".\n", "\n", " | ", "&&& ", "!! ", ": ", "%%% ", "; ", "? "])
         text, tags = text + value + gap, tags + [0] * len(gap)
     return text, tags
 
@@ -297,22 +368,9 @@ def trained_tagger(seed: int = 0, steps: int = TRAIN_STEPS) -> Tagger:
 
 # --- whole texts ---------------------------------------------------------------------------
 
-SIGN = re.compile(r"[0-9@]")
-
-
-def windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an at sign."""
-    if len(text) <= WINDOW:
-        return [0] if SIGN.search(text) else []
-    last = -(-(len(text) - WINDOW) // STEP)
-    found: dict[int, None] = {}
-    at = SIGN.search(text)
-    while at:
-        place = at.start()
-        own = range(max(0, -(-(place - WINDOW + 1) // STEP)), min(last, place // STEP) + 1)
-        found |= dict.fromkeys(own)
-        at = SIGN.search(text, (own[-1] + 1) * STEP if own[-1] < last else len(text))
-    return [k * STEP for k in sorted(found)]
+def windows(n: int) -> list[int]:
+    """Starts of windows that cover n characters; the last is moved back to end with the text."""
+    return [*range(0, max(1, n - WINDOW), STEP), *([n - WINDOW] if n > WINDOW else [])]
 
 
 def tagged_spans(tags: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int, float]]:
@@ -327,17 +385,10 @@ def tagged_spans(tags: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int
     return out
 
 
-def plausible(kind: int, value: str) -> bool:
-    """What any value of a kind has; keeps half-decoded ones out."""
-    n = sum("0" <= c <= "9" for c in value)
-    if kind == 0:
-        local, sign, domain = value.partition("@")
-        return bool(local and sign and "." in domain)
-    if kind == 1:
-        return value.count(".") == 3 and n >= 4
-    if kind == 2:
-        return 13 <= n <= 19 and luhn("".join(c for c in value if "0" <= c <= "9"))
-    return 9 <= n <= 15
+def checked(kind: int, value: str) -> bool:
+    """A card number has 13 to 19 digits and passes Luhn, which no such network learns; other kinds have no check sum."""
+    digits = "".join(c for c in value if "0" <= c <= "9")
+    return KINDS[kind] != "card" or (13 <= len(digits) <= 19 and luhn(digits))
 
 
 def reconcile(text: str, found: list[tuple[int, int, int, float]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -351,7 +402,7 @@ def reconcile(text: str, found: list[tuple[int, int, int, float]], base: list[tu
     taken = sorted((start, end) for _, start, end in base)
     out: list[tuple[int, int, int]] = []
     for kind, start, end, sure in sorted(merged, key=lambda s: (-s[3], s[1], s[0])):
-        if sure >= CERTAIN and plausible(kind, text[start:end]) and all(end <= a or b <= start for a, b in taken):
+        if sure >= CERTAIN and checked(kind, text[start:end]) and all(end <= a or b <= start for a, b in taken):
             out.append((kind, start, end))
             taken.append((start, end))
     return out
@@ -360,17 +411,22 @@ def reconcile(text: str, found: list[tuple[int, int, int, float]], base: list[tu
 def find_all(texts: list[str], tagger: Tagger) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text its base spans and all spans, each by kind, then start."""
     base = [base_spans(text) for text in texts]
-    places = [(row, start) for row, text in enumerate(texts) for start in windows(text)]
+    coded = [codes(text) for text in texts]
+    places = [(min(len(own), WINDOW), row, start) for row, own in enumerate(coded) for start in windows(len(own))]
+    places.sort(reverse=True)  # windows of like lengths together
     found: list[list] = [[] for _ in texts]
-    for at in range(0, len(places), 256):
-        part = places[at : at + 256]
-        cut = [codes(texts[row][start : start + WINDOW]) for row, start in part]
-        x, valid = np.zeros((len(part), WINDOW), np.int16), np.zeros((len(part), WINDOW), bool)
-        for number, own in enumerate(cut):
-            x[number, : len(own)], valid[number, : len(own)] = own, True
-        tags, sure = tagger.decode(x, valid)
-        for (row, start), own, t, s in zip(part, cut, tags, sure, strict=True):
-            found[row] += [(kind, start + a, start + b, c) for kind, a, b, c in tagged_spans(t[: len(own)], s[: len(own)])]
+    for at in range(0, len(places), BATCH):
+        part = places[at : at + BATCH]
+        lengths = np.array([n for n, _, _ in part])
+        if not lengths[0]:
+            break  # only empty texts are left
+        x = np.zeros((len(part), lengths[0]), np.uint8)
+        for number, (n, row, start) in enumerate(part):
+            x[number, :n] = coded[row][start : start + n]
+        tags, sure = tagger.decode(x, lengths)
+        for number in np.flatnonzero(tags.any(axis=1)):
+            n, row, start = part[number]
+            found[row] += [(kind, start + a, start + b, c) for kind, a, b, c in tagged_spans(tags[number, :n], sure[number, :n])]
     return [(b, sorted(b + reconcile(text, own, b))) for text, own, b in zip(texts, found, base, strict=True)]
 
 
@@ -391,7 +447,8 @@ def find_personal_data(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
     kind = "array<struct<kind: int, start: int, end: int>>"
     source = docs.select("doc_id", text_or_empty().alias("text"))
-    return source.mapInArrow(by_slices(work), f"doc_id long, base {kind}, spans {kind}")
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(by_slices(work), f"doc_id {id_kind}, base {kind}, spans {kind}")
 
 
 def span_list(spans: Column) -> Column:
