@@ -2,8 +2,11 @@
 
 Tokens are estimated as a third of the characters. A page over the limit is cut at the last
 paragraph, line or word that fits; pieces of a site are then packed in order, each chunk as
-full as the order allows. Pieces joined again give the page unchanged. A site's pages are few
-(a crawl takes at most 16), and packing streams over their lengths without their texts.
+full as the order allows. Pieces joined again give the page unchanged.
+
+A site is one crawl: its pages are bounded in number (the caller sees to that), so its marked
+text is one row and its packing one sequential fold over lengths, which streams without the
+texts. What grows with the input is the number of sites, and they are spread over all tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import CHARS_PER_TOKEN, EFFECTIVE_MAX_TOKENS, token_estimate
@@ -105,17 +108,18 @@ def chunk_pages(pages: DataFrame, site: str, max_tokens: int = EFFECTIVE_MAX_TOK
     sized = pieces.withColumn("n", F.char_length("text"))
     # floor(characters / 3) stays within the limit up to two characters more.
     index = greedy_chunks(sized, site, "n", max_tokens * CHARS_PER_TOKEN + CHARS_PER_TOKEN - 1, len(JOINER))
-    placed = pieces.join(index, [site, "pos", "part"])
+    totals = index.groupBy(site).agg(F.max("chunk_index").alias("total_chunks"))  # chunks are numbered from 1 without gaps
+    placed = pieces.join(index.join(totals, site), [site, "pos", "part"])
     item = F.struct("pos", "part", "text", "url")
-    chunks = placed.groupBy(site, "chunk_index").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    chunks = placed.groupBy(site, "chunk_index", "total_chunks").agg(F.array_sort(F.collect_list(item)).alias("items"))
     shaped = chunks.select(
         site,
         "chunk_index",
+        "total_chunks",
         F.array_join(F.transform("items", lambda i: i["text"]), JOINER).alias("content"),
         F.array_join(F.slice(F.array_distinct(F.transform("items", lambda i: i["url"])), 1, SOURCE_URLS), ",").alias("page_source"),
     )
-    total = F.count("*").over(Window.partitionBy(site))
-    return shaped.select(site, "chunk_index", total.cast("int").alias("total_chunks"), "content", token_estimate(F.col("content")).alias("tokens"), "page_source")
+    return shaped.select(site, "chunk_index", "total_chunks", "content", token_estimate(F.col("content")).alias("tokens"), "page_source")
 
 
 def chunk_issues(tokens: Column, content: Column) -> Column:

@@ -89,30 +89,42 @@ def quality_counters(text: Column) -> dict[str, Column]:
     }
 
 
+def most_of_one(values: Column) -> Column:
+    """How often the most frequent value of an array occurs, 0 for an empty one: sorted, equal values are runs."""
+    starts = F.array_compact(
+        F.transform(with_previous(F.sort_array(values)), lambda p, i: F.when(p["previous"].isNull() | (p["previous"] != p["item"]), i))
+    )
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(values)), F.array(F.size(values)))
+    lengths = F.zip_with(starts, ends, lambda a, b: b - a)
+    return F.when(F.size(values) == 0, 0).otherwise(F.array_max(lengths)).cast("int")
+
+
+def neighbours(items: Column, n: int) -> Column:
+    """Each run of n neighbouring items as a struct with fields 0 to n - 1."""
+    runs = F.greatest(F.size(items) - (n - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(items, F.lit(k + 1), runs).alias(str(k)) for k in range(n)])
+
+
 def loop_flags(docs: DataFrame) -> DataFrame:
     """doc_id, max_ngram, max_piece, looping: repeated 4-word runs, repeated 30-character pieces, or long text without a closing brace.
 
     A run may repeat 20 times, a piece (every 10 characters, 20 characters or more without outer
-    spaces) 15 times; texts under 100 characters never loop. Pieces are counted by hash of
-    (document, piece) with map-side combining; doc_id must be unique.
+    spaces) 15 times; texts under 100 characters never loop. Runs and pieces are counted as
+    64-bit hashes within the row, so nothing is shuffled.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    tails = [F.slice("words", n, F.greatest(F.size("words") - 3, F.lit(0))) for n in (1, 2, 3, 4)]
-    grams = tails[0]
-    for tail in tails[1:]:
-        grams = F.zip_with(grams, tail, lambda a, b: F.concat_ws(" ", a, b))
-    places = F.when(F.col("n") > 30, F.sequence(F.lit(0), F.col("n") - 31, F.lit(10))).otherwise(F.array().cast("array<int>"))
-    counted = docs.select("doc_id", "text", words.alias("words"), F.char_length("text").alias("n"))
-    tagged = counted.select("doc_id", F.explode(grams).alias("piece"), F.lit(0).alias("sort")).unionByName(
-        counted.select("doc_id", F.explode(F.transform(places, lambda at: F.trim(F.substring("text", at + 1, F.lit(30))))).alias("piece"), F.lit(1).alias("sort"))
-        .where(F.char_length("piece") >= 20)
-    )
-    times = tagged.groupBy("doc_id", "sort", "piece").agg(F.count("*").alias("times")).groupBy("doc_id").agg(
-        F.max(F.when(F.col("sort") == 0, F.col("times"))).alias("ngram"), F.max(F.when(F.col("sort") == 1, F.col("times"))).alias("piece")
-    )
-    ends = docs.select("doc_id", F.char_length("text").alias("n"), F.endswith(F.rtrim("text"), F.lit("}")).alias("closed"))
-    found = ends.join(times, "doc_id", "left").select(
-        "doc_id", "n", "closed", F.coalesce("ngram", F.lit(0)).cast("int").alias("max_ngram"), F.coalesce("piece", F.lit(0)).cast("int").alias("max_piece")
-    )
-    many = (F.col("max_ngram") > 20) | (F.col("max_piece") > 15) | ((F.col("n") > 8000) & ~F.col("closed"))
-    return found.select("doc_id", "max_ngram", "max_piece", ((F.col("n") >= 100) & many).alias("looping"))
+    # A piece is three blocks of ten characters; the last one starts 31 characters or more before the end.
+    blocks = F.regexp_extract_all("text", F.lit(r"(?s)(.{1,10})"), F.lit(1))
+    n = F.char_length("text")
+    whole = F.slice(blocks, F.lit(1), F.greatest(F.floor((n - 31) / 10) + 3, F.lit(0)).cast("int"))
+    cut = docs.select("doc_id", "text", neighbours(words, 4).alias("grams"), neighbours(whole, 3).alias("pieces"))
+    hashed = cut.select(
+        "doc_id", "text",
+        F.transform("grams", lambda g: F.xxhash64(g["0"], g["1"], g["2"], g["3"])).alias("grams"),
+        F.transform(
+            F.filter(F.transform("pieces", lambda p: F.trim(F.concat(p["0"], p["1"], p["2"]))), lambda p: F.char_length(p) >= 20), lambda p: F.xxhash64(p)
+        ).alias("pieces"),
+    )
+    found = hashed.select("doc_id", "text", most_of_one(F.col("grams")).alias("max_ngram"), most_of_one(F.col("pieces")).alias("max_piece"))
+    many = (F.col("max_ngram") > 20) | (F.col("max_piece") > 15) | ((n > 8000) & ~F.endswith(F.rtrim("text"), F.lit("}")))
+    return found.select("doc_id", "max_ngram", "max_piece", ((n >= 100) & many).alias("looping"))

@@ -9,37 +9,40 @@ from quarrymill.operators import chunks as ck
 from quarrymill.session import table
 
 SMALL = 4000
+#: Consecutive doc_ids whose pages of one source make a site.
+CRAWL = 320
 
 
 def site_pages(spark: SparkSession, directory: str) -> DataFrame:
-    """Documents as pages of their source."""
+    """Documents as pages of crawls: a site is what a source has in a block of CRAWL doc_ids, so no site is larger than that."""
     url = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string"))
-    return table(spark, directory, "documents").select("source", F.col("doc_id").alias("pos"), url.alias("url"), F.coalesce("text", F.lit("")).alias("text"))
+    site = F.concat_ws("-", "source", F.floor(F.col("doc_id") / CRAWL).cast("string"))
+    return table(spark, directory, "documents").select(site.alias("site"), F.col("doc_id").alias("pos"), url.alias("url"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def marked_documents(spark: SparkSession, directory: str) -> DataFrame:
-    return ck.marked_documents(site_pages(spark, directory), "source").select("source", F.md5("text").alias("text_md5"), F.char_length("text").alias("chars"))
+    return ck.marked_documents(site_pages(spark, directory), "site").select("site", F.md5("text").alias("text_md5"), F.char_length("text").alias("chars"))
 
 
 def split_marked(spark: SparkSession, directory: str) -> DataFrame:
-    back = ck.split_marked(ck.marked_documents(site_pages(spark, directory), "source"), "source")
-    return back.select("source", "pos", "url", F.char_length("page").alias("chars"))
+    back = ck.split_marked(ck.marked_documents(site_pages(spark, directory), "site"), "site")
+    return back.select("site", "pos", "url", F.char_length("page").alias("chars"))
 
 
 def greedy_packing(spark: SparkSession, directory: str) -> DataFrame:
-    pieces = site_pages(spark, directory).select("source", "pos", F.lit(0).alias("part"), F.floor(F.char_length("text") / 3).alias("tokens"))
-    index = ck.greedy_chunks(pieces, "source", "tokens", SMALL)
-    return index.join(pieces, ["source", "pos", "part"]).groupBy("source", "chunk_index").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
+    pieces = site_pages(spark, directory).select("site", "pos", F.lit(0).alias("part"), F.floor(F.char_length("text") / 3).alias("tokens"))
+    index = ck.greedy_chunks(pieces, "site", "tokens", SMALL)
+    return index.join(pieces, ["site", "pos", "part"]).groupBy("site", "chunk_index").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
 def chunked_sites(spark: SparkSession, directory: str) -> DataFrame:
-    done = ck.chunk_pages(site_pages(spark, directory), "source")
-    return done.select("source", "chunk_index", "total_chunks", F.md5("content").alias("content_md5"), "tokens", "page_source", ck.chunk_issues(F.col("tokens"), F.col("content")).alias("issues"))
+    done = ck.chunk_pages(site_pages(spark, directory), "site")
+    return done.select("site", "chunk_index", "total_chunks", F.md5("content").alias("content_md5"), "tokens", "page_source", ck.chunk_issues(F.col("tokens"), F.col("content")).alias("issues"))
 
 
 def chunk_stats(spark: SparkSession, directory: str) -> DataFrame:
-    done = ck.chunk_pages(site_pages(spark, directory), "source", SMALL)
-    return done.groupBy("source").agg(F.count("*").alias("chunks"), F.max("tokens").alias("most"), F.sum(F.char_length("content")).alias("chars"))
+    done = ck.chunk_pages(site_pages(spark, directory), "site", SMALL)
+    return done.groupBy("site").agg(F.count("*").alias("chunks"), F.max("tokens").alias("most"), F.round(F.avg("tokens"), 4).alias("avg_tokens"), F.sum(F.char_length("content")).alias("chars"))
 
 
 def page_issues(spark: SparkSession, directory: str) -> DataFrame:
@@ -47,36 +50,54 @@ def page_issues(spark: SparkSession, directory: str) -> DataFrame:
     return pages.select(F.col("pos").alias("doc_id"), ck.chunk_issues(F.floor(F.char_length("text") / 3), F.col("text")).alias("issues"))
 
 
-PAGES = "(SELECT source, doc_id, 'https://' || source || '.example.com/' || doc_id AS url, coalesce(text, '') AS text FROM documents)"
+PAGES = f"(SELECT source || '-' || CAST(floor(doc_id / {CRAWL}) AS BIGINT) AS site, doc_id, 'https://' || source || '.example.com/' || doc_id AS url, coalesce(text, '') AS text FROM documents)"
+
+
+def _cut(at: str) -> str:
+    """Where a piece that starts at ``at`` ends: after the last paragraph, line or space of its second half."""
+    window = f"reverse(substr(text, {at} + {LIMIT // 2} + 1, {LIMIT - LIMIT // 2}))"
+    steps = " ".join(f"WHEN contains({window}, {mark}) THEN {at} + {LIMIT} - strpos({window}, {mark}) + 1" for mark in ("chr(10) || chr(10)", "chr(10)", "' '"))
+    return f"CASE WHEN length(text) - {at} <= {LIMIT} THEN length(text) {steps} ELSE {at} + {LIMIT} END"
+
+
+LIMIT = 3 * SMALL
+STATS_SQL = f"""WITH RECURSIVE cuts AS (SELECT site, doc_id, text, 0 AS part, 0 AS a, {_cut("0")} AS b FROM {PAGES}
+  UNION ALL SELECT site, doc_id, text, part + 1, b, {_cut("b")} FROM cuts WHERE b < length(text)),
+d AS (SELECT site, b - a AS n, row_number() OVER (PARTITION BY site ORDER BY doc_id, part) AS k FROM cuts),
+w AS (SELECT site, k, n, n AS used, 1 AS chunk_index FROM d WHERE k = 1
+  UNION ALL SELECT d.site, d.k, d.n, CASE WHEN w.used + 2 + d.n > {LIMIT + 2} THEN d.n ELSE w.used + 2 + d.n END, CASE WHEN w.used + 2 + d.n > {LIMIT + 2} THEN w.chunk_index + 1 ELSE w.chunk_index END FROM w JOIN d ON d.site = w.site AND d.k = w.k + 1),
+c AS (SELECT site, chunk_index, max(used) AS n FROM w GROUP BY 1, 2)
+SELECT site, count(*) AS chunks, max(n // 3)::BIGINT AS most, round(avg(n // 3), 4) AS avg_tokens, sum(n)::BIGINT AS chars FROM c GROUP BY 1"""
+
 
 QUERIES = {
     "marked_documents": (
         marked_documents,
-        f"""WITH m AS (SELECT source, string_agg('--- PAGE START: ' || url || ' ---' || chr(10) || text || chr(10) || '--- PAGE END ---', chr(10) || chr(10) ORDER BY doc_id) AS text FROM {PAGES} GROUP BY 1)
-        SELECT source, md5(text) AS text_md5, length(text)::INTEGER AS chars FROM m""",
+        f"""WITH m AS (SELECT site, string_agg('--- PAGE START: ' || url || ' ---' || chr(10) || text || chr(10) || '--- PAGE END ---', chr(10) || chr(10) ORDER BY doc_id) AS text FROM {PAGES} GROUP BY 1)
+        SELECT site, md5(text) AS text_md5, length(text)::INTEGER AS chars FROM m""",
     ),
     "split_marked": (
         split_marked,
-        f"""SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS pos, url,
-        (length('--- PAGE START: ' || url || ' ---' || text || '--- PAGE END ---') + 2 + CASE WHEN lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) IS NULL THEN 0 ELSE 2 END)::INTEGER AS chars FROM {PAGES}""",
+        f"""SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY doc_id) - 1 AS INTEGER) AS pos, url,
+        (length('--- PAGE START: ' || url || ' ---' || text || '--- PAGE END ---') + 2 + CASE WHEN lead(doc_id) OVER (PARTITION BY site ORDER BY doc_id) IS NULL THEN 0 ELSE 2 END)::INTEGER AS chars FROM {PAGES}""",
     ),
     "greedy_packing": (
         greedy_packing,
-        f"""WITH RECURSIVE d AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, length(text) // 3 AS n FROM {PAGES}),
-        w AS (SELECT source, k, n, n AS used, 1 AS chunk_index FROM d WHERE k = 1
-          UNION ALL SELECT d.source, d.k, d.n, CASE WHEN w.used + d.n > {SMALL} THEN d.n ELSE w.used + d.n END, CASE WHEN w.used + d.n > {SMALL} THEN w.chunk_index + 1 ELSE w.chunk_index END FROM w JOIN d ON d.source = w.source AND d.k = w.k + 1)
-        SELECT source, chunk_index, count(*) AS docs, sum(n)::BIGINT AS tokens FROM w GROUP BY 1, 2""",
+        f"""WITH RECURSIVE d AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY doc_id) AS k, length(text) // 3 AS n FROM {PAGES}),
+        w AS (SELECT site, k, n, n AS used, 1 AS chunk_index FROM d WHERE k = 1
+          UNION ALL SELECT d.site, d.k, d.n, CASE WHEN w.used + d.n > {SMALL} THEN d.n ELSE w.used + d.n END, CASE WHEN w.used + d.n > {SMALL} THEN w.chunk_index + 1 ELSE w.chunk_index END FROM w JOIN d ON d.site = w.site AND d.k = w.k + 1)
+        SELECT site, chunk_index, count(*) AS docs, sum(n)::BIGINT AS tokens FROM w GROUP BY 1, 2""",
     ),
     "chunked_sites": (
         chunked_sites,
-        f"""WITH RECURSIVE d AS (SELECT source, url, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, length(text) AS n FROM {PAGES}),
-        w AS (SELECT source, k, n AS used, 1 AS chunk_index FROM d WHERE k = 1
-          UNION ALL SELECT d.source, d.k, CASE WHEN w.used + 2 + d.n > 44117 THEN d.n ELSE w.used + 2 + d.n END, CASE WHEN w.used + 2 + d.n > 44117 THEN w.chunk_index + 1 ELSE w.chunk_index END FROM w JOIN d ON d.source = w.source AND d.k = w.k + 1),
-        c AS (SELECT source, chunk_index, string_agg(text, chr(10) || chr(10) ORDER BY k) AS content, array_to_string(list(url ORDER BY k)[:5], ',') AS page_source FROM w JOIN d USING (source, k) GROUP BY 1, 2)
-        SELECT source, chunk_index, CAST(count(*) OVER (PARTITION BY source) AS INTEGER) AS total_chunks, md5(content) AS content_md5, length(content) // 3 AS tokens, page_source,
+        f"""WITH RECURSIVE d AS (SELECT site, url, text, row_number() OVER (PARTITION BY site ORDER BY doc_id) AS k, length(text) AS n FROM {PAGES}),
+        w AS (SELECT site, k, n AS used, 1 AS chunk_index FROM d WHERE k = 1
+          UNION ALL SELECT d.site, d.k, CASE WHEN w.used + 2 + d.n > 44117 THEN d.n ELSE w.used + 2 + d.n END, CASE WHEN w.used + 2 + d.n > 44117 THEN w.chunk_index + 1 ELSE w.chunk_index END FROM w JOIN d ON d.site = w.site AND d.k = w.k + 1),
+        c AS (SELECT site, chunk_index, string_agg(text, chr(10) || chr(10) ORDER BY k) AS content, array_to_string(list(url ORDER BY k)[:5], ',') AS page_source FROM w JOIN d USING (site, k) GROUP BY 1, 2)
+        SELECT site, chunk_index, CAST(count(*) OVER (PARTITION BY site) AS INTEGER) AS total_chunks, md5(content) AS content_md5, length(content) // 3 AS tokens, page_source,
           concat_ws(',', CASE WHEN length(content) // 3 > 14705 THEN 'over_effective' END, CASE WHEN trim(content) = '' THEN 'empty' END, CASE WHEN length(trim(content)) < 500 THEN 'short' END) AS issues FROM c""",
     ),
-    "chunk_stats": (chunk_stats, None),
+    "chunk_stats": (chunk_stats, STATS_SQL),
     "page_issues": (
         page_issues,
         f"""SELECT doc_id, concat_ws(',', CASE WHEN length(text) // 3 > 14705 THEN 'over_effective' END, CASE WHEN length(text) // 3 > 20000 THEN 'over_max' END, CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN length(trim(text)) < 500 THEN 'short' END) AS issues FROM {PAGES}""",

@@ -43,8 +43,8 @@ def blacklist_filter(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, directory: str) -> DataFrame:
-    """Pages as search responses of 20 queries, each link twice."""
-    pages = table(spark, directory, "pages").select((F.col("page_id") % 20).alias("id"), "page_id", "url")
+    """Pages as search responses of queries with ten pages each, each link twice."""
+    pages = table(spark, directory, "pages").select(F.floor(F.col("page_id") / 10).alias("id"), "page_id", "url")
     twice = pages.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
     entry = F.struct(F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("title"), F.col("url").alias("link"), F.lit("s").alias("snippet"))
     grouped = twice.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("again", "page_id", entry.alias("e")))).alias("l"))
@@ -63,7 +63,7 @@ def search_result_filter(spark: SparkSession, directory: str) -> DataFrame:
 
 def _companies(spark: SparkSession, directory: str) -> DataFrame:
     nations = table(spark, directory, "nation").select("n_nationkey", "n_name")
-    joined = table(spark, directory, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    joined = table(spark, directory, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("s_suppkey") % 6 + 1).cast("int"))
     trade = F.when(F.col("s_suppkey") % 3 == 0, F.lower("s_name")).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("Loja "), F.col("s_suppkey").cast("string")))
     return joined.select("s_suppkey", F.upper(F.concat("s_name", suffix)).alias("name"), trade.alias("trade"), F.col("n_name").alias("city"))
@@ -95,7 +95,7 @@ def site_decisions(spark: SparkSession, directory: str) -> DataFrame:
 
 def chosen_links(spark: SparkSession, directory: str) -> DataFrame:
     """Links of each query at places that four shapes of answers give."""
-    grouped = table(spark, directory, "pages").select((F.col("page_id") % 20).alias("id"), "url").groupBy("id").agg(F.collect_list("url").alias("links"))
+    grouped = table(spark, directory, "pages").select(F.floor(F.col("page_id") / 10).alias("id"), "url").groupBy("id").agg(F.collect_list("url").alias("links"))
     answers = F.array(F.lit("[2, 1, 99]"), F.lit('{"links": [3]}'), F.lit('{"selected": [0, 1]}'), F.lit("none"))
     chosen = dc.chosen_links(F.col("links"), F.element_at(answers, (F.col("id") % 4 + 1).cast("int")))
     return grouped.select("id", F.array_join(chosen, " ").alias("chosen"))
@@ -122,7 +122,7 @@ LISTED = lambda host, domains: "(" + " OR ".join(f"{host} = '{d}' OR suffix({hos
 NAMES = """(SELECT s_suppkey, upper(s_name || [' LTDA', ' S.A.', ' EIRELI', ' ME', ' EPP', ' S/A'][s_suppkey % 6 + 1]) AS name,
   coalesce(trim(CASE s_suppkey % 3 WHEN 0 THEN lower(s_name) WHEN 1 THEN 'Loja ' || s_suppkey END), '') AS trade, n_name AS city FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey)"""
 CLEAN = "trim(replace(replace(replace(replace(replace(replace(name, ' LTDA', ''), ' S.A.', ''), ' EIRELI', ''), ' ME', ''), ' EPP', ''), ' S/A', ''))"
-FOUND = """(SELECT page_id % 20 AS id, CAST(row_number() OVER (PARTITION BY page_id % 20 ORDER BY again, page_id) - 1 AS INTEGER) AS position, 't' || page_id AS title, url AS link
+FOUND = """(SELECT page_id // 10 AS id, CAST(row_number() OVER (PARTITION BY page_id // 10 ORDER BY again, page_id) - 1 AS INTEGER) AS position, 't' || page_id AS title, url AS link
   FROM pages, (SELECT unnest([0, 1]) AS again))"""
 PATH = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
 NETLOC = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)"
@@ -164,7 +164,7 @@ QUERIES = {
     "site_decisions": (site_decisions, "SELECT page_id, CASE WHEN page_id % 4 IN (0, 2) AND regexp_matches(url, '^https?://') THEN url END AS site FROM pages"),
     "chosen_links": (
         chosen_links,
-        """WITH g AS (SELECT page_id % 20 AS id, list_sort(list(url)) AS l FROM pages GROUP BY 1)
+        """WITH g AS (SELECT page_id // 10 AS id, list_sort(list(url)) AS l FROM pages GROUP BY 1)
         SELECT id, CASE id % 4 WHEN 0 THEN array_to_string([l[2], l[1]], ' ') WHEN 1 THEN coalesce(l[3], '') WHEN 2 THEN l[1] ELSE '' END AS chosen FROM g""",
     ),
     "name_domain_match": (

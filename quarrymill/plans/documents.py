@@ -54,10 +54,12 @@ def loop_detector(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def normal_lines(spark: SparkSession, directory: str) -> DataFrame:
-    """Normal forms of each document's first line: generic, e-mail, phone, service label, cache key."""
-    line = F.substring_index("text", "\n", 1)
-    return _docs(spark, directory).select(
+    """Normal forms of each line of each document: generic, e-mail, phone, service label, cache key."""
+    lines = _docs(spark, directory).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    line = F.col("line")
+    return lines.select(
         "doc_id",
+        "pos",
         tx.collapse_spaces(line).alias("generic"),
         tx.normal_email(line).alias("email"),
         tx.normal_phone(line).alias("phone"),
@@ -149,8 +151,8 @@ QUERIES = {
     ),
     "normal_lines": (
         normal_lines,
-        f"""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM {DOCS}), g AS (SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS generic FROM l)
-        SELECT doc_id, generic, lower(trim(line)) AS email, regexp_replace(line, '[^0-9+]', '', 'g') AS phone,
+        f"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1)::INTEGER - 1 AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {DOCS})), g AS (SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS generic FROM l)
+        SELECT doc_id, pos, generic, lower(trim(line)) AS email, regexp_replace(line, '[^0-9+]', '', 'g') AS phone,
           trim(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(lower(generic), ' '), lambda w: w NOT IN ({", ".join(map(quote, tx.SERVICE_STOPWORDS))})), ' '),
             '\\bsistemas\\b', 'sistema', 'g'), '\\bserviços\\b', 'serviço', 'g'), '\\bsoluções\\b', 'solução', 'g')) AS service,
           CASE WHEN length(line) > 40 THEN substr(line, 1, 40) || '... [truncated, total ' || length(line) || ' chars]' ELSE line END AS short, md5(lower(trim(line)) || ':25') AS cache_key FROM g""",

@@ -47,8 +47,8 @@ def error_summaries(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def thought_bodies(spark: SparkSession, directory: str) -> DataFrame:
-    rows = table(spark, directory, "conversations").withColumn("answer", F.concat(F.lit("<think> a"), F.col("turn").cast("string"), F.lit(" </think>x<THINK>"), "role", F.lit("</think>"), "text"))
-    return rows.select("conv_id", "turn", ex.thoughts(F.col("answer"), 12).alias("thoughts"))
+    rows = table(spark, directory, "conversations").withColumn("answer", F.concat(F.lit("<think> a"), F.col("turn").cast("string"), F.lit(" </think>x<THINK>"), "text", F.lit("</think>"), "role"))
+    return rows.select("conv_id", "turn", ex.thoughts(F.col("answer")).alias("thoughts"))
 
 
 def tool_metrics(spark: SparkSession, directory: str) -> DataFrame:
@@ -85,10 +85,11 @@ def merged_counters(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def profile_upsert(spark: SparkSession, directory: str) -> DataFrame:
-    """Company profiles by key: suppliers, replaced by those of newer data, blank names filled in."""
+    """Company profiles by key: suppliers, those with open items replaced by their newer data, blank names filled in."""
     rows = table(spark, directory, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("name"), "s_acctbal")
-    newer = rows.where("s_suppkey % 4 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 1)
-    both = rel.upsert(rows.where("s_suppkey % 5 <> 0"), newer, "s_suppkey")
+    open_items = table(spark, directory, "lineitem").where("l_linestatus = 'O'").groupBy("l_suppkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("owed"))
+    newer = rows.join(open_items, F.col("s_suppkey") == F.col("l_suppkey")).select("s_suppkey", "name", F.round(F.col("s_acctbal") + F.col("owed"), 2).alias("s_acctbal"))
+    both = rel.upsert(rows, newer, "s_suppkey")
     return both.withColumn("name", tx.display_name(F.col("name"), F.lit(None).cast("string"), F.lit(""), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")))
 
 
@@ -137,7 +138,7 @@ QUERIES = {
         CASE WHEN reason IS NOT NULL THEN 'Main page falhou: ' || {outcomes.reason_bucket_sql("reason")} WHEN event_id % 3 = 0 THEN 'Main page ok mas conteúdo insuficiente'
           WHEN event_id % 5 > 0 THEN 'Main ok, ' || event_id % 3 || ' páginas ok, ' || (event_id % 5 - {SUB}) || '/' || event_id % 5 || ' subpages falharam' ELSE 'Connection reset' END AS resumo FROM {ATT}""",
     ),
-    "thought_bodies": (thought_bodies, "SELECT conv_id, turn, substr('a' || turn || chr(10) || trim(role), 1, 12) AS thoughts FROM conversations"),
+    "thought_bodies": (thought_bodies, "SELECT conv_id, turn, substr('a' || turn || chr(10) || trim(text), 1, 5000) AS thoughts FROM conversations"),
     "tool_metrics": (tool_metrics, "SELECT event_id, user_id, event_type, CAST(NULL AS VARCHAR) AS missing FROM events"),
     "repaired_links": (
         repaired_links,
@@ -154,8 +155,9 @@ QUERIES = {
     "merged_counters": (merged_counters, f"SELECT event_type, count(*) AS n, count(reason) AS failed FROM {ATT} GROUP BY 1"),
     "profile_upsert": (
         profile_upsert,
-        """SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_name ELSE 'Empresa CNPJ ' || lpad(s_suppkey::VARCHAR, 8, '0') END AS name, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal
-        FROM supplier WHERE s_suppkey % 5 <> 0 OR s_suppkey % 4 = 0""",
+        """WITH o AS (SELECT l_suppkey, round(sum(l_extendedprice), 2) AS owed FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
+        SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_name ELSE 'Empresa CNPJ ' || lpad(s_suppkey::VARCHAR, 8, '0') END AS name, CASE WHEN owed IS NULL THEN s_acctbal ELSE round(s_acctbal + owed, 2) END AS s_acctbal
+        FROM supplier LEFT JOIN o ON s_suppkey = l_suppkey""",
     ),
     "ordered_sources": (
         ordered_sources,

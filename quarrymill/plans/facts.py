@@ -64,7 +64,7 @@ def _profiles(spark: SparkSession, directory: str) -> DataFrame:
         F.array_sort(F.collect_set(F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")))).alias("products"),
         F.array_sort(F.collect_set(F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")))).alias("services"),
     )
-    orders = table(spark, directory, "orders").where("o_orderkey % 3 = 0")
+    orders = table(spark, directory, "orders")
     joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.select(
         F.col("o_custkey").alias("company"),
@@ -130,7 +130,7 @@ MERGED = """, one AS (SELECT company, field, {key} AS key, min_by(value, (chunk,
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY company, field ORDER BY place, key) AS INTEGER) AS rank FROM one)
 SELECT company, field, rank, value, evidence FROM ranked WHERE rank <= CASE WHEN field IN ('certifications', 'awards', 'partnerships') THEN 50 ELSE 80 END"""
 PROFILES = """p AS (SELECT o_custkey AS company, o_orderkey AS chunk, 'Customer ' || o_custkey AS name, o_orderpriority AS tagline, repeat(o_orderpriority || ' ' || o_orderstatus || ' ', 3) AS description, products, services,
-  ['u' || (o_orderkey % 4)] AS sources FROM orders JOIN (SELECT l_orderkey, list(DISTINCT 'p' || (l_partkey % 50)) AS products, list(DISTINCT 's' || (l_suppkey % 7)) AS services FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0),
+  ['u' || (o_orderkey % 4)] AS sources FROM orders JOIN (SELECT l_orderkey, list(DISTINCT 'p' || (l_partkey % 50)) AS products, list(DISTINCT 's' || (l_suppkey % 7)) AS services FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey),
 s AS (SELECT *, CAST(length(name) // 10 + length(tagline) // 10 + length(description) // 10 + len(products) + len(services) + 1 AS BIGINT) AS score FROM p)"""
 WORDS = "list_distinct(list_filter(string_split_regex(lower(trim({0})), '\\s+'), lambda w: w <> ''))"
 WORDS_OF = "list_distinct(list_filter(string_split_regex(lower(trim({0})), '\\s+'), lambda w: w <> ''))"

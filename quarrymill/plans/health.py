@@ -1,4 +1,8 @@
-"""Registered queries on provider health and limits."""
+"""Registered queries on provider health and limits.
+
+Sequential windows are keyed by user, so they spread with the input. Admissions, picks, waits and
+queue levels are replayed from event rows; the two-field bucket with refunds and the bounded
+cache are left out, since they are parts of a server and no data processing."""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ WEIGHTS = ((0, 10), (1, 20), (2, 5), (3, 50), (4, 15))
 
 
 def provider_events(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "events").select((F.col("user_id") % 5).alias("provider"), "event_id", "ts", "event_type", F.round(F.col("value") * 100, 4).alias("ms"))
+    return table(spark, directory, "events").select((F.col("user_id") % 5).alias("provider"), "user_id", "event_id", "ts", "event_type", F.round(F.col("value") * 100, 4).alias("ms"))
 
 
 EV = "(SELECT user_id % 5 AS provider, user_id, event_id, ts, event_type, round(value * 100, 4) AS ms FROM events)"
@@ -21,11 +25,11 @@ EV = "(SELECT user_id % 5 AS provider, user_id, event_id, ts, event_type, round(
 
 def moving_latency_50(spark: SparkSession, directory: str) -> DataFrame:
     ok = provider_events(spark, directory).where("event_type <> 'error'")
-    return hl.moving_average(ok, "provider", "ms", ["ts", "event_id"], 50).select("event_id", F.round("avg_recent", 4).alias("avg50"))
+    return hl.moving_average(ok, "user_id", "ms", ["ts", "event_id"], 50).select("event_id", F.round("avg_recent", 4).alias("avg50"))
 
 
 def last_failures(spark: SparkSession, directory: str) -> DataFrame:
-    found = hl.since_last_failure(provider_events(spark, directory), "provider", F.col("event_type") == "error", ["ts", "event_id"])
+    found = hl.since_last_failure(provider_events(spark, directory), "user_id", F.col("event_type") == "error", ["ts", "event_id"])
     return found.select("event_id", "last_failure")
 
 
@@ -57,8 +61,8 @@ def weighted_pick(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def cache_hits(spark: SparkSession, directory: str) -> DataFrame:
-    rows = table(spark, directory, "events").select("event_id", "ts", (F.col("user_id") % 50).alias("query"))
-    return hl.cache_hits(rows, "query", ["ts", "event_id"], TTL).select("event_id", "hit")
+    rows = table(spark, directory, "events").select("event_id", "ts", "user_id")
+    return hl.cache_hits(rows, "user_id", ["ts", "event_id"], TTL).select("event_id", "hit")
 
 
 def bucket_admissions(spark: SparkSession, directory: str) -> DataFrame:
@@ -96,11 +100,11 @@ SCORE = """CAST(floor(round(40 * rate + 0.3 * CASE WHEN ms <= 3000 THEN 100 WHEN
 QUERIES = {
     "moving_latency_50": (
         moving_latency_50,
-        f"SELECT event_id, round(avg(ms) OVER (PARTITION BY provider ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 4) AS avg50 FROM {EV} WHERE event_type <> 'error'",
+        f"SELECT event_id, round(avg(ms) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 4) AS avg50 FROM {EV} WHERE event_type <> 'error'",
     ),
     "last_failures": (
         last_failures,
-        f"SELECT event_id, max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY provider ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_failure FROM {EV}",
+        f"SELECT event_id, max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_failure FROM {EV}",
     ),
     "health_scores": (
         health_scores,
@@ -120,7 +124,7 @@ QUERIES = {
     ),
     "cache_hits": (
         cache_hits,
-        f"SELECT event_id, coalesce(epoch(ts)::BIGINT - epoch(lag(ts) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id))::BIGINT < {TTL}, false) AS hit FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events)",
+        f"SELECT event_id, coalesce(epoch(ts)::BIGINT - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT < {TTL}, false) AS hit FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events)",
     ),
     "bucket_admissions": (
         bucket_admissions,

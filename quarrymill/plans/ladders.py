@@ -58,7 +58,7 @@ def model_urls(spark: SparkSession, directory: str) -> DataFrame:
 
 def normal_prompts(spark: SparkSession, directory: str) -> DataFrame:
     prompt = F.concat(F.lit("  \n\t"), "text", F.lit(" \n\n "), "role", F.lit("\n"))
-    return table(spark, directory, "conversations").where("role = 'system'").select("conv_id", "turn", F.md5(ld.normal_prompt(prompt)).alias("prompt_md5"))
+    return table(spark, directory, "conversations").select("conv_id", "turn", F.md5(ld.normal_prompt(prompt)).alias("prompt_md5"))
 
 
 def available_providers(spark: SparkSession, directory: str) -> DataFrame:
@@ -107,7 +107,7 @@ QUERIES = {
     "model_urls": (model_urls, "SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'http://m' || s_suppkey || '/v1' END AS url FROM supplier"),
     "normal_prompts": (
         normal_prompts,
-        "SELECT conv_id, turn, md5(array_to_string(list_filter(list_transform(string_split(text || chr(10) || role, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS prompt_md5 FROM conversations WHERE role = 'system'",
+        "SELECT conv_id, turn, md5(array_to_string(list_filter(list_transform(string_split(text || chr(10) || role, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS prompt_md5 FROM conversations",
     ),
     "available_providers": (
         available_providers,

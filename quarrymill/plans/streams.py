@@ -9,17 +9,17 @@ from quarrymill.streaming import events as st
 
 
 def stream_hourly(spark: SparkSession, directory: str) -> DataFrame:
-    found = st.run_available(st.tumbling_counts(st.event_stream(spark, directory), "1 hour"), "hourly")
+    found = st.run_updates(st.tumbling_counts(st.event_stream(spark, directory), "1 hour"), ["start", "event_type"], "hourly")
     return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def stream_sliding(spark: SparkSession, directory: str) -> DataFrame:
-    found = st.run_available(st.sliding_counts(st.event_stream(spark, directory), "6 hours", "2 hours"), "sliding")
+    found = st.run_updates(st.sliding_counts(st.event_stream(spark, directory), "6 hours", "2 hours"), ["start"], "sliding")
     return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def stream_status(spark: SparkSession, directory: str) -> DataFrame:
-    return st.run_available(st.live_status(st.event_stream(spark, directory)), "status")
+    return st.run_updates(st.live_status(st.event_stream(spark, directory)), ["event_type"], "status")
 
 
 def stream_sessions(spark: SparkSession, directory: str) -> DataFrame:

@@ -43,10 +43,37 @@ def live_status(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
+def run_updates(result: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Runs a streaming aggregation over all present input and returns the last row of each of its groups.
+
+    In update mode a micro-batch gives only the groups that it changed, and groups that the
+    watermark has passed leave the state. Each micro-batch writes a folder of its own, which a
+    rerun after a failure replaces.
+    """
+    spark, folder = result.sparkSession, f"{shared_folder(result.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    query = (
+        result.writeStream.outputMode("update")
+        .foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/result/batch={number}"))
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    updates = spark.read.schema(f"{_ddl(result)}, batch int").parquet(f"{folder}/result")
+    others = [c for c in result.columns if c not in keys]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last"))
+    return last.select(*[c if c in keys else F.col(f"last.{c}").alias(c) for c in result.columns])
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+
+
 def run_available(result: DataFrame, name: str) -> DataFrame:
     """Runs a streaming aggregation over all present input and returns its last complete result.
 
-    Each micro-batch replaces the table as a whole, so a rerun after a failure leaves one result.
+    For session windows, which update mode does not take; all sessions stay in the state. Each
+    micro-batch replaces the table as a whole, so a rerun after a failure leaves one result.
     """
     folder = f"{shared_folder(result.sparkSession)}/{name}-{uuid.uuid4().hex}"
     query = (
