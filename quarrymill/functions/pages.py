@@ -46,9 +46,13 @@ def is_pdf(content_type: Column, body: Column) -> Column:
     return named | F.coalesce(F.substring(body, 1, 5) == "%PDF-", F.lit(False))
 
 
+#: Entities that the expressions decode, ampersand last; a page with others needs the parser.
+PLAIN_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+OTHER_ENTITY = "&(?!(?:" + "|".join(entity[1:-1] for entity, _ in PLAIN_ENTITIES) + ");)[#A-Za-z0-9]+"
+
+
 def unescape_html(text: Column) -> Column:
-    """The entities that pages of this kind use; ampersand last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    for entity, char in PLAIN_ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 

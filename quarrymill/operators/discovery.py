@@ -58,22 +58,34 @@ def first_of_each_link(results: DataFrame) -> DataFrame:
     return results.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+#: Fixed value: what a query asks for.
+ASKED = "site oficial"
+
+
+def _asked(*parts: Column) -> Column:
+    """The parts that are not blank and what is asked for, in one string."""
+    return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts], F.lit(ASKED))
+
+
+def _names(name: Column, trade_name: Column, city: Column) -> tuple[Column, Column, Column]:
+    """Trade name, company name without suffixes, and city; blank where absent."""
+    trade, full, place = (F.trim(F.coalesce(c, F.lit(""))) for c in (trade_name, name, city))
+    return trade, company_base_name(full), place
+
+
 def search_queries(name: Column, trade_name: Column, city: Column) -> Column:
-    """Up to two queries: by trade name, and by company name if that differs but for case."""
-    trade, base, place = (F.trim(F.coalesce(c, F.lit(""))) for c in (trade_name, name, city))
-    clean = company_base_name(base)
-    ask = lambda what: F.trim(F.concat(what, F.lit(" "), place, F.lit(" site oficial")))
-    first = F.when(trade != "", ask(trade))
-    second = F.when((clean != "") & ((trade == "") | (F.upper(clean) != F.upper(trade))), ask(clean))
-    return F.array_compact(F.array(first, second))
+    """Queries by trade name and by company name, unless the two are equal but for case; null city as blank."""
+    names = _names(name, trade_name, city)
+    distinct = F.filter(F.array(*names[:2]), lambda n: n != "")
+    distinct = F.when(F.upper(names[0]) == F.upper(names[1]), F.slice(distinct, 1, 1)).otherwise(distinct)
+    return F.transform(distinct, lambda n: _asked(n, names[2]))
 
 
 def search_query(name: Column, trade_name: Column, city: Column) -> Column:
-    """One query, falling back from trade name to company name, city and no name at all."""
-    trade, base, place = (F.trim(F.coalesce(c, F.lit(""))) for c in (trade_name, name, city))
-    clean = company_base_name(base)
-    ask = lambda what: F.trim(F.concat(what, F.lit(" "), place, F.lit(" site oficial")))
-    return F.when(trade != "", ask(trade)).when(clean != "", ask(clean)).when(place != "", F.concat(F.lit("site oficial "), place)).otherwise("site oficial")
+    """The first of ``search_queries``; by city alone, or by nothing, where there is no name."""
+    place = _names(name, trade_name, city)[2]
+    bare = F.concat_ws(" ", F.lit(ASKED), F.nullif(place, F.lit("")))
+    return F.coalesce(F.get(search_queries(name, trade_name, city), 0), bare)
 
 
 def site_decision(response: Column) -> Column:

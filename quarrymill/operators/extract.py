@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
@@ -30,19 +33,70 @@ def balanced_object(text: str | None) -> str | None:
     return None
 
 
-def _balanced(texts: pd.Series) -> pd.Series:
-    return texts.map(balanced_object)
+#: A comma before a closing bracket; a string in single quotes where JSON wants a double-quoted one.
+TRAILING_COMMA = re.compile(r",\s*([}\]])")
+SINGLE_QUOTED = re.compile(r"(?<=[{\[,:])\s*'([^'\"]*)'\s*(?=[,:}\]])")
 
 
-def json_object(answer: Column) -> Column:
-    """JSON text of the object in a model's answer: between fences, after other words, before trailing text.
+def closed(text: str) -> str:
+    """A cut-off object up to its last whole part, with the quotes and brackets that are missing."""
+    opened, quoted, escaped = [], False, False
+    for char in text:
+        if quoted:
+            quoted, escaped = escaped or char != '"', char == "\\" and not escaped
+        elif char == '"':
+            quoted, escaped = True, False
+        elif char in "{[":
+            opened.append("}" if char == "{" else "]")
+        elif char in "}]" and opened:
+            opened.pop()
+    return text + '"' * quoted + "".join(reversed(opened))
+
+
+def mended_object(text: str | None) -> str | None:
+    """The first object of a text as valid JSON, by the mildest of these that works: as it is, without
+    trailing commas and with double quotes, and closed where it is cut off; null if none does."""
+    if not text or "{" not in text:
+        return None
+    whole = balanced_object(text)
+    raw = whole or text[text.index("{") :].rstrip()
+    plain = SINGLE_QUOTED.sub(r'"\1"', TRAILING_COMMA.sub(r"\1", raw))
+    shut = closed(plain)
+    for tried in (raw, plain, shut, TRAILING_COMMA.sub(r"\1", shut)):
+        try:
+            json.loads(tried)
+        except ValueError:
+            continue
+        return tried
+    return None
+
 
-    Where the braces end with the text, a regular expression is enough; only other answers go
-    through the scan for the closing brace.
+def _mended(texts: pd.Series) -> pd.Series:
+    return texts.map(mended_object)
+
+
+def _some_in_python(rows: DataFrame, name: str, simple: Column, hard: Column, body: Column, function: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """``rows`` with ``name``: ``simple``, or where ``hard`` holds ``function`` of ``body``.
+
+    A Python function inside ``when`` would get every row, so the hard rows are a branch of
+    their own.
+    """
+    python = F.pandas_udf(function, "string")
+    return rows.where(~hard).withColumn(name, simple).unionByName(rows.where(hard).withColumn(name, python(body)))
+
+
+def with_json_object(rows: DataFrame, answer: str, name: str = "json") -> DataFrame:
+    """``rows`` with JSON text of the object in a model's answer, null without one.
+
+    Fences, words before and after, trailing commas, single quotes around keys and values, and
+    missing closing brackets are mended. Where the object ends with the text and is already
+    JSON, expressions are enough; only other answers leave the JVM.
     """
     body = F.regexp_replace(F.regexp_replace(answer, r"(?s)^.*?```(?:json)?\s*", ""), r"(?s)```.*$", "")
-    simple = F.regexp_extract(body, r"(?s)^[^{]*(\{[^{}]*\})\s*$", 1)
-    return F.when(simple != "", simple).when(F.contains(body, F.lit("{")), F.pandas_udf(_balanced, "string")(body))
+    simple = F.nullif(F.regexp_extract(body, r"(?s)^[^{]*(\{[^{}]*\})\s*$", 1), F.lit(""))
+    good = F.coalesce(F.try_parse_json(simple).isNotNull(), F.lit(False))
+    hard = F.coalesce(F.contains(body, F.lit("{")) & ~good, F.lit(False))
+    return _some_in_python(rows, name, F.when(good, simple), hard, body, _mended)
 
 
 def as_list(json: Column, field: str) -> Column:
@@ -106,10 +160,15 @@ def _repaired(urls: pd.Series) -> pd.Series:
     return urls.map(repaired_url)
 
 
-def repaired(url: Column) -> Column:
-    """As ``repaired_url``; clean URLs never leave the JVM."""
-    clean = url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#\"',%\s]+(/[A-Za-z0-9_.\-~]*)*(\?[A-Za-z0-9_.\-~]+=[A-Za-z0-9_.\-~]*(&[A-Za-z0-9_.\-~]+=[A-Za-z0-9_.\-~]*)*)?$")
-    return F.when(clean, url).otherwise(F.pandas_udf(_repaired, "string")(url))
+#: URLs that the repair would leave as they are.
+CLEAN_URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#\"',%\s]+(/[A-Za-z0-9_.\-~]*)*(\?[A-Za-z0-9_.\-~]+=[A-Za-z0-9_.\-~]*(&[A-Za-z0-9_.\-~]+=[A-Za-z0-9_.\-~]*)*)?$"
+
+
+def with_repaired(rows: DataFrame, url: str) -> DataFrame:
+    """``rows`` with ``url`` as ``repaired_url`` gives it; clean URLs never leave the JVM."""
+    raw = rows.withColumnRenamed(url, "_url")
+    hard = F.coalesce(~F.col("_url").rlike(CLEAN_URL), F.lit(False))
+    return _some_in_python(raw, url, F.col("_url"), hard, F.col("_url"), _repaired).drop("_url")
 
 
 def merged_counters(parts: DataFrame, keys: list[str], counters: list[str]) -> DataFrame:

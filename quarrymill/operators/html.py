@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quarrymill.functions.pages import HIDDEN_TAGS
+from quarrymill.functions.pages import HIDDEN_TAGS, OTHER_ENTITY, html_text
 
 
 class PageParser(HTMLParser):
@@ -50,4 +52,40 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             arrays = [batch.column(0), batch.column(1), pa.array([t for t, _ in found], pa.string()), pa.array([h for _, h in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "hrefs"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, hrefs array<string>")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, hrefs array<string>")
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """page_id, url, text of each page: by expressions, or by the parser where a page has other entities than those know."""
+    hard = F.coalesce(F.col("html").rlike(OTHER_ENTITY), F.lit(False))
+    plain = pages.where(~hard).select("page_id", "url", html_text(F.col("html")).alias("text"))
+    return plain.unionByName(parse_pages(pages.where(hard)).select("page_id", "url", "text"))
+
+
+def page_links(url: str | None, html: str | None) -> list[str]:
+    """Distinct absolute links of a page in order: href values in any quotes with entities decoded, dot segments resolved.
+
+    Trailing commas go; ``#`` and ``javascript:`` are skipped, as is what cannot be resolved.
+    """
+    found: dict[str, None] = {}
+    for href in parse_page(html)[1]:
+        href = href.strip().rstrip(",")
+        if not href.startswith("#") and not href.lower().startswith("javascript:"):
+            try:
+                found[urljoin(url or "", href).rstrip(",")] = None
+            except ValueError:  # such as an open bracket in the host
+                continue
+    return list(found)
+
+
+def parsed_links(pages: DataFrame) -> DataFrame:
+    """page_id, url, links of each page, by the parser."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = [page_links(url, html) for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(links, pa.list_(pa.string()))], ["page_id", "url", "links"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, links array<string>")

@@ -6,23 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import rules, urls
+from quarrymill.operators.html import parsed_links
 
 ANCHOR = r"""<a\s[^>]*?href\s*=\s*"([^"]*)\""""
+COMMENT = "(?s)<!--.*?-->"
+#: What the expression above does not read as a parser does, once comments are gone: other quotes or
+#: none, entities and dot segments in a value, no value, comments that don't end, scripts with anchors.
+NEEDS_PARSER = r"""(?i)<a\s[^>]*?href\s*=\s*(?!")|<a\s[^>]*?href\s*=\s*"(?:[^"]*&|(?:[^"?#]*/)?\.\.?(?:["/?#])|")|<!--|<script\b[^>]*>[^<]*<a\s"""
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """Distinct links of each page: page_id, url, link, kind ('document' or 'internal').
 
-    Anchors are double-quoted ``href`` values. Trailing commas go, ``#`` and ``javascript:``
+    Pages with plain double-quoted ``href`` values are read by an expression, all others by a
+    parser; only those leave the JVM. Trailing commas go, ``#`` and ``javascript:``
     are skipped, as are links to the page itself with another fragment, excluded file types,
     other hosts, and image names in the query. A null page has no links. Each row is a page.
     """
-    raw = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))
+    body = F.regexp_replace("html", COMMENT, "")
+    hard = F.coalesce(body.rlike(NEEDS_PARSER), F.lit(False))
+    raw = F.regexp_extract_all(body, F.lit(ANCHOR), F.lit(1))
     hrefs = F.transform(raw, lambda h: F.regexp_replace(F.trim(h), ",+$", ""))
     wanted = F.filter(hrefs, lambda h: ~F.startswith(h, F.lit("#")) & ~F.startswith(F.lower(h), F.lit("javascript:")))
     resolved = F.transform(wanted, lambda h: F.regexp_replace(urls.resolve(F.col("url"), h), ",+$", ""))
     # Links repeat within a page, so they are made distinct in its row: no shuffle.
-    found = pages.select("page_id", "url", F.explode(F.array_distinct(resolved)).alias("link"))
+    plain = pages.where(~hard).select("page_id", "url", F.array_distinct(resolved).alias("links"))
+    found = plain.unionByName(parsed_links(pages.where(hard))).select("page_id", "url", F.explode("links").alias("link"))
     same_page = F.contains("link", F.lit("#")) & (urls.without_fragment(F.col("link")) == urls.without_fragment(F.col("url")))
     path = F.lower(urls.path(F.col("link")))
     internal = (

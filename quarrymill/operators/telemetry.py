@@ -90,6 +90,27 @@ def stage_funnel(attempts: DataFrame) -> DataFrame:
     return counts.select(F.inline(stages))
 
 
+def funnel_stage(reason: Column) -> Column:
+    """The stage in which an attempt with this reason ended; null for one that failed in none."""
+    bucket = outcomes.reason_bucket(reason)
+    stage = F.when(F.startswith(bucket, F.lit("probe:")), "probe").when(F.startswith(bucket, F.lit("scrape:thin")), "subpages").otherwise("main")
+    return F.when(reason.isNotNull(), stage)
+
+
+def funnel_reasons(attempts: DataFrame) -> DataFrame:
+    """stage, bucket, n, rank: what attempts failed by in each stage, the most frequent first, ties by name."""
+    failed = attempts.where(F.col("reason").isNotNull())
+    counts = failed.groupBy(funnel_stage(F.col("reason")).alias("stage"), outcomes.reason_bucket(F.col("reason")).alias("bucket")).agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("stage").orderBy(F.desc("n"), "bucket")))
+
+
+def funnel_times(attempts: DataFrame, value: str, percents: list[int]) -> DataFrame:
+    """stage and percentiles of the times of all attempts that entered it."""
+    last = F.coalesce(funnel_stage(F.col("reason")), F.lit("subpages"))
+    entered = F.when(last == "probe", F.array(F.lit("probe"))).when(last == "main", F.array(F.lit("probe"), F.lit("main"))).otherwise(F.array(*map(F.lit, ("probe", "main", "subpages"))))
+    return rank_percentiles(attempts.select(F.explode(entered).alias("stage"), value), ["stage"], value, percents)
+
+
 def peak_concurrency(spans: DataFrame, start: str, end: str) -> DataFrame:
     """peak: the most spans open at once; a span ending where another starts does not meet it.
 

@@ -18,8 +18,7 @@ SUFFIXES = (" LTDA", " S.A.", " EIRELI", " ME", " EPP", " S/A")
 
 
 def page_text(spark: SparkSession, directory: str) -> DataFrame:
-    text = pg.html_text(F.col("html"))
-    return table(spark, directory, "pages").select("page_id", F.md5(text).alias("text_md5"), F.char_length(text).alias("chars"))
+    return ht.page_texts(table(spark, directory, "pages")).select("page_id", F.md5("text").alias("text_md5"), F.char_length("text").alias("chars"))
 
 
 def parsed_pages(spark: SparkSession, directory: str) -> DataFrame:
@@ -28,7 +27,7 @@ def parsed_pages(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def page_flags(spark: SparkSession, directory: str) -> DataFrame:
-    text = table(spark, directory, "pages").select("page_id", pg.html_text(F.col("html")).alias("text"), F.when(F.col("page_id") % 7 == 0, "blocked").alias("error"))
+    text = ht.page_texts(table(spark, directory, "pages")).select("page_id", "text", F.when(F.col("page_id") % 7 == 0, "blocked").alias("error"))
     ok, challenge, missing = pg.page_ok(F.col("text"), F.col("error")), pg.is_challenge(F.col("text")), pg.is_soft_404(F.col("text"))
     return text.select(
         "page_id", ok.alias("ok"), challenge.alias("challenge"), missing.alias("soft_404"), (ok & ~challenge & ~missing).alias("accepted"), pg.is_rejection(F.col("error")).alias("rejected"),
@@ -130,7 +129,10 @@ BARE_HOST = f"replace({NETLOC}, 'www.', '')"
 
 QUERIES = {
     "page_text": (page_text, f"SELECT page_id, md5(text) AS text_md5, length(text)::INTEGER AS chars FROM {TEXT}"),
-    "parsed_pages": (parsed_pages, None),
+    "parsed_pages": (
+        parsed_pages,
+        f"""SELECT page_id, md5(text) AS text_md5, len(regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<a\\s[^>]*?href\\s*=\\s*"[^"]+"'))::INTEGER AS links FROM {TEXT} JOIN pages USING (page_id)""",
+    ),
     "page_flags": (
         page_flags,
         f"""WITH t AS (SELECT page_id, text, page_id % 7 = 0 AS bad, lower(text) AS low FROM {TEXT}),

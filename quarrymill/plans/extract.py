@@ -18,15 +18,19 @@ PAGE_LINKS = 50
 
 
 def json_answers(spark: SparkSession, directory: str) -> DataFrame:
-    """The props of events inside answers of four shapes."""
-    kind = F.col("event_id") % 4
+    """The props of events inside answers of six shapes, some of them broken."""
+    kind = F.col("event_id") % 6
     answer = (
         F.when(kind == 0, F.col("props"))
         .when(kind == 1, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\ndone")))
         .when(kind == 2, F.concat(F.lit("Answer: "), "props", F.lit(" and more {")))
+        .when(kind == 3, F.replace("props", F.lit('"'), F.lit("'")))  # single quotes
+        .when(kind == 4, F.concat(F.lit('{"items": [1, 2,], "in": '), "props"))  # a trailing comma, not closed
         .otherwise(F.lit("no object"))
     )
-    return table(spark, directory, "events").select("event_id", F.get_json_object(ex.json_object(answer), "$.k").cast("int").alias("k"))
+    found = ex.with_json_object(table(spark, directory, "events").select("event_id", answer.alias("answer")), "answer")
+    k = F.coalesce(F.get_json_object("json", "$.k"), F.get_json_object("json", "$.in.k")).cast("int")
+    return found.select("event_id", k.alias("k"), F.json_array_length(F.get_json_object("json", "$.items")).alias("items"))
 
 
 def loose_lists(spark: SparkSession, directory: str) -> DataFrame:
@@ -62,7 +66,7 @@ def tool_metrics(spark: SparkSession, directory: str) -> DataFrame:
 def repaired_links(spark: SparkSession, directory: str) -> DataFrame:
     """Every link of every page as a URL that can be fetched."""
     found = links.extract_links(table(spark, directory, "pages"))
-    return found.select("page_id", ex.repaired(F.col("link")).alias("link")).distinct()
+    return ex.with_repaired(found.select("page_id", "link"), "link").distinct()
 
 
 def plain_links(spark: SparkSession, directory: str) -> DataFrame:
@@ -127,7 +131,7 @@ def _links_sql() -> str:
 
 
 QUERIES = {
-    "json_answers": (json_answers, "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events"),
+    "json_answers": (json_answers, "SELECT event_id, CASE WHEN event_id % 6 <> 5 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k, CASE WHEN event_id % 6 = 4 THEN 2 END AS items FROM events"),
     "loose_lists": (
         loose_lists,
         "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '|' || p_brand WHEN 1 THEN p_name WHEN 2 THEN p_name || '|' || p_brand ELSE '' END AS items FROM part",

@@ -48,6 +48,24 @@ def stage_funnel(spark: SparkSession, directory: str) -> DataFrame:
     return tel.stage_funnel(attempts(spark, directory))
 
 
+def funnel_reasons(spark: SparkSession, directory: str) -> DataFrame:
+    return tel.funnel_reasons(attempts(spark, directory))
+
+
+def funnel_times(spark: SparkSession, directory: str) -> DataFrame:
+    return tel.funnel_times(attempts(spark, directory), "ms", [50, 75, 90, 95, 99])
+
+
+def run_advice(spark: SparkSession, directory: str) -> DataFrame:
+    """What each day's run should change, by thresholds on its rates."""
+    runs = attempts(spark, directory).groupBy(F.to_date("ts").alias("day")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("reason").isNull()).alias("ok"), F.count_if(F.col("event_type") == "error").alias("proxy"), F.count_if(F.col("ms") > 20000).alias("slow")
+    )
+    share = lambda c: F.col(c) / F.col("n")
+    advice = F.array_compact(F.array(F.when(share("ok") < 0.2, "success"), F.when(share("proxy") > 0.2, "proxy"), F.when(share("slow") > 0.3, "timeout"), F.when(F.col("n") < 300, "load")))
+    return runs.select("day", F.array_join(advice, ",").alias("advice"))
+
+
 def latency_percentiles(spark: SparkSession, directory: str) -> DataFrame:
     return tel.rank_percentiles(attempts(spark, directory), ["event_type"], "ms", [50, 75, 90, 95, 99])
 
@@ -206,6 +224,24 @@ QUERIES = {
         t AS (SELECT 'probe' AS stage, n AS entered, p AS fail FROM c UNION ALL SELECT 'main', n - p, m FROM c UNION ALL SELECT 'subpages', n - p - m, s FROM c)
         SELECT stage, entered, entered - fail AS ok, fail, round(100 * (entered - fail) / entered, 1) AS rate FROM t""",
     ),
+    "funnel_reasons": (
+        funnel_reasons,
+        f"""WITH a AS (SELECT {outcomes.reason_bucket_sql("reason")} AS bucket FROM {ATT} WHERE reason IS NOT NULL),
+        c AS (SELECT CASE WHEN prefix(bucket, 'probe:') THEN 'probe' WHEN prefix(bucket, 'scrape:thin') THEN 'subpages' ELSE 'main' END AS stage, bucket, count(*) AS n FROM a GROUP BY 1, 2)
+        SELECT *, row_number() OVER (PARTITION BY stage ORDER BY n DESC, bucket)::INTEGER AS rank FROM c""",
+    ),
+    "funnel_times": (
+        funnel_times,
+        f"""WITH a AS (SELECT ms, CASE WHEN reason IS NULL THEN 'subpages' WHEN {PROBE} THEN 'probe' WHEN {THIN} THEN 'subpages' ELSE 'main' END AS last FROM (SELECT *, {outcomes.reason_bucket_sql("reason")} AS b FROM {ATT})),
+        s AS (SELECT 'probe' AS stage, ms FROM a UNION ALL SELECT 'main', ms FROM a WHERE last <> 'probe' UNION ALL SELECT 'subpages', ms FROM a WHERE last = 'subpages'),
+        k AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY ms) - 1 AS k, count(*) OVER (PARTITION BY stage) AS c FROM s)
+        SELECT stage, {", ".join(f"round(max(CASE WHEN k = least(floor(c * {p} / 100), c - 1) THEN ms END), 1) AS p{p}" for p in (50, 75, 90, 95, 99))} FROM k GROUP BY 1""",
+    ),
+    "run_advice": (
+        run_advice,
+        f"""WITH r AS (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (reason IS NULL) AS ok, count(*) FILTER (event_type = 'error') AS proxy, count(*) FILTER (ms > 20000) AS slow FROM {ATT} GROUP BY 1)
+        SELECT day, concat_ws(',', CASE WHEN ok / n < 0.2 THEN 'success' END, CASE WHEN proxy / n > 0.2 THEN 'proxy' END, CASE WHEN slow / n > 0.3 THEN 'timeout' END, CASE WHEN n < 300 THEN 'load' END) AS advice FROM r""",
+    ),
     "latency_percentiles": (latency_percentiles, _percentile_sql("event_type", ", ".join(_pick(p) for p in (50, 75, 90, 95, 99)))),
     "overall_percentiles": (overall_percentiles, _percentile_sql("", f"{_pick(50, None, 'floor(n / 2)')}, {_pick(90, None)}, {_pick(99, None)}")),
     "median_percentiles": (median_percentiles, _percentile_sql("event_type", f"{MEDIAN}, {_pick(95, 3)}")),

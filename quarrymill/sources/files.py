@@ -1,18 +1,24 @@
-"""File sources and sinks: JSON reports, chunk tables, debug dumps."""
+"""File sources and sinks: JSON reports, chunk tables, debug dumps, bytes of pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.functions import ladders
 from quarrymill.functions.text import EFFECTIVE_MAX_TOKENS
+from quarrymill.staging import with_position
+
+# Names of charsets that the JVM knows by another one; others that it knows.
+CHARSET_NAMES = {"iso8859-1": "iso-8859-1", "latin1": "iso-8859-1", "latin-1": "iso-8859-1", "cp1252": "windows-1252"}
+CHARSETS = ("us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32", "windows-1252")
 
 CHUNKS = "key string, discovery_id long, website_url string, chunk_index int, total_chunks int, chunk_content string, token_count int, page_source string, error string"
 
 
-def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON file that holds one array of objects."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_report(spark: SparkSession, path: str, schema: str, whole: bool = True) -> DataFrame:
+    """Rows of JSON files that hold one array of objects each, or, unless ``whole``, an object on each line."""
+    return spark.read.schema(schema).option("multiLine", whole).json(path)
 
 
 def write_report(rows: DataFrame, path: str) -> None:
@@ -34,3 +40,26 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def dump_chunks(chunks: DataFrame, path: str) -> None:
     """Debug copy, one folder per key, with the flag of chunks over the limit."""
     chunks.withColumn("exceeds_limit", F.col("token_count") > EFFECTIVE_MAX_TOKENS).write.mode("overwrite").partitionBy("key").json(path)
+
+
+def with_row_ids(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with row_id from 0 in the given order, without a window over the whole table."""
+    return with_position(rows, [], [F.col(c) for c in order], "row_id")
+
+
+def decoded(rows: DataFrame, body: str, content_type: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the text of a page's bytes. PDF gives an empty text.
+
+    The charset is that of the header, else of the markup, else UTF-8. Where the bytes are not
+    of that charset, or its name is unknown, UTF-8 is tried, and ISO-8859-1 takes what is left.
+    """
+    latin = F.decode(body, "iso-8859-1")
+    told = F.lower(ladders.charset(F.col(content_type), latin))
+    for other, own in CHARSET_NAMES.items():
+        told = F.when(told == other, own).otherwise(told)
+    in_utf8 = F.try_validate_utf8(F.col(body).cast("string"))
+    by_name = F.when(told == "utf-8", in_utf8)
+    for charset in CHARSETS:
+        by_name = by_name.when(told == charset, F.decode(body, charset))
+    pdf = F.coalesce(F.contains(F.lower(content_type), F.lit("application/pdf")), F.lit(False)) | F.startswith(latin, F.lit("%PDF-"))
+    return rows.withColumn(name, F.when(pdf, "").otherwise(F.coalesce(by_name, in_utf8, latin)))

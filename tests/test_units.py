@@ -1,5 +1,6 @@
 """Small literal cases of expressions and helpers, with the results that they must give."""
 
+import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,6 +38,31 @@ def test_extract_links(spark):
     assert got == {("https://e.com/a", "internal"), ("https://e.com/f.PDF", "document"), ("https://e.com/d/b/c?q=1", "internal")}
 
 
+def test_links_that_need_the_parser(spark):
+    base = "https://h.com/a/b?x=1"
+    cases = {
+        "<a href='/single'>": ["https://h.com/single"],
+        "<a class=x href=/bare>": ["https://h.com/bare"],
+        '<A HREF="/q?a=1&amp;b=2">': ["https://h.com/q?a=1&b=2"],
+        '<a href="../up/./x">': ["https://h.com/up/x"],
+        '<a href="https://h.com/c/../d">': ["https://h.com/c/../d"],
+        '<a href="/p&eacute;">': ["https://h.com/pé"],
+        '<!-- <a href="/gone"> --><a href="/here">': ["https://h.com/here"],
+        '<script>x = "<a href=\\"/no\\">"; y = "<a href=/no2>"</script><a href="/yes">': ["https://h.com/yes"],
+        '<a href="next">': ["https://h.com/a/next"],
+        '<a name="n"><b href="/not"></b>': [],
+        '<a href="http://[bad">x<a href=/ok>': ["https://h.com/ok"],
+        "<a href='#top'><a href='javascript:go()'>": [],
+    }
+    rows = spark.createDataFrame([(n, base, html) for n, html in enumerate(cases)] + [(99, base, None)], "page_id long, url string, html string")
+    got = {}
+    for r in links.extract_links(rows).collect():
+        got.setdefault(r.page_id, []).append(r.link)
+    assert {n: sorted(v) for n, v in got.items()} == {n: want for n, want in enumerate(cases.values()) if want}
+    for markup, want in cases.items():
+        assert [x for x in html.page_links(base, markup) if x.startswith("https://h.com/")] == want
+
+
 def test_link_scores(spark):
     rows = spark.createDataFrame([(1, "https://e.com/", f"https://e.com{p}") for p in ("/blog/produtos", "/blog", "/sobre", "/x?p=2", "/")], "page_id long, url string, link string")
     got = {r.link[13:]: r.score for r in links.score_links(rows).collect()}
@@ -177,15 +203,23 @@ def test_balanced_object():
 
 
 def test_json_object(spark):
-    cases = ['{"k": 1}', '```json\n{"k": {"l": 2}}\n```', 'say {"k": 3} then {', "none", None]
-    assert values(spark, cases, extract.json_object) == ['{"k": 1}', '{"k": {"l": 2}}', '{"k": 3}', None, None]
+    cases = {
+        '{"k": 1}': '{"k": 1}', '```json\n{"k": {"l": 2}}\n```': '{"k": {"l": 2}}', 'say {"k": 3} then {': '{"k": 3}', "none": None, None: None,
+        "{'k': 'v', 'l': [1, 2,],}": '{"k": "v", "l": [1, 2]}', '{"a": [{"b": 1}, {"c": "d': '{"a": [{"b": 1}, {"c": "d"}]}', '{"a": [1, ': '{"a": [1]}', "{]": None,
+        '{"it\'s": "he said \'x\'"}': '{"it\'s": "he said \'x\'"}',
+    }
+    rows = spark.createDataFrame([(n, c) for n, c in enumerate(cases)], "id long, answer string")
+    got = {r.id: r.json for r in extract.with_json_object(rows, "answer").collect()}
+    plain = lambda text: text and json.loads(text)
+    assert [plain(got[n]) for n in range(len(cases))] == [plain(want) for want in cases.values()]
 
 
 def test_repaired_urls(spark):
     cases = ['"http://h.com/a b,"', "http://h.com/é?q=a b&r=ü", "http://h.com/x%20%22y?z=1%22", "http://h.com/ok/p?a=1&b=2", "http://h.com/p?a=b=c&d", None]
     expected = ["http://h.com/a%20b", "http://h.com/%C3%A9?q=a%20b&r=%C3%BC", "http://h.com/x?z=1", "http://h.com/ok/p?a=1&b=2", "http://h.com/p?a=b%3Dc&d", None]
     assert [extract.repaired_url(u) for u in cases] == expected
-    assert values(spark, cases, extract.repaired) == expected
+    rows = spark.createDataFrame([(n, u) for n, u in enumerate(cases)], "id long, u string")
+    assert [r.u for r in sorted(extract.with_repaired(rows, "u").collect())] == expected
 
 
 def test_loose_lists(spark):
