@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions import ladders
@@ -11,7 +11,7 @@ from quarrymill.staging import with_position
 
 # Names of charsets that the JVM knows by another one; others that it knows.
 CHARSET_NAMES = {"iso8859-1": "iso-8859-1", "latin1": "iso-8859-1", "latin-1": "iso-8859-1", "cp1252": "windows-1252"}
-CHARSETS = ("us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32", "windows-1252")
+CHARSETS = ("us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
 
 CHUNKS = "key string, discovery_id long, website_url string, chunk_index int, total_chunks int, chunk_content string, token_count int, page_source string, error string"
 
@@ -53,13 +53,23 @@ def decoded(rows: DataFrame, body: str, content_type: str, name: str) -> DataFra
     The charset is that of the header, else of the markup, else UTF-8. Where the bytes are not
     of that charset, or its name is unknown, UTF-8 is tried, and ISO-8859-1 takes what is left.
     """
-    latin = F.decode(body, "iso-8859-1")
-    told = F.lower(ladders.charset(F.col(content_type), latin))
-    for other, own in CHARSET_NAMES.items():
-        told = F.when(told == other, own).otherwise(told)
+    names = F.create_map(*[F.lit(x) for pair in CHARSET_NAMES.items() for x in pair])
+    read = rows.withColumn("_latin", F.decode(body, "iso-8859-1"))
+    read = read.withColumn("_told", F.lower(ladders.charset(F.col(content_type), F.col("_latin"))))
+    read = read.withColumn("_charset", F.coalesce(names[F.col("_told")], "_told"))
     in_utf8 = F.try_validate_utf8(F.col(body).cast("string"))
-    by_name = F.when(told == "utf-8", in_utf8)
+    by_name = F.when(F.col("_charset") == "utf-8", in_utf8).when(F.col("_charset") == "windows-1252", _windows_1252(F.col("_latin")))
     for charset in CHARSETS:
-        by_name = by_name.when(told == charset, F.decode(body, charset))
-    pdf = F.coalesce(F.contains(F.lower(content_type), F.lit("application/pdf")), F.lit(False)) | F.startswith(latin, F.lit("%PDF-"))
-    return rows.withColumn(name, F.when(pdf, "").otherwise(F.coalesce(by_name, in_utf8, latin)))
+        by_name = by_name.when(F.col("_charset") == charset, F.decode(body, charset))
+    pdf = F.coalesce(F.contains(F.lower(content_type), F.lit("application/pdf")), F.lit(False)) | F.startswith("_latin", F.lit("%PDF-"))
+    text = F.when(pdf, "").otherwise(F.coalesce(by_name, in_utf8, "_latin"))
+    return read.withColumn(name, text).drop("_latin", "_told", "_charset")
+
+
+def _windows_1252(latin: Column) -> Column:
+    """Text read as ISO-8859-1, as what windows-1252 has for its control characters; null with bytes that this has not."""
+    controls = [chr(n) for n in range(0x80, 0xA0)]
+    told = {c: c.encode("latin-1").decode("windows-1252", "ignore") for c in controls}
+    known = "".join(c for c in controls if told[c])
+    unknown = "".join(c for c in controls if not told[c])
+    return F.when(latin == F.translate(latin, unknown, ""), F.translate(latin, known, "".join(told[c] for c in known)))

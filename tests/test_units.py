@@ -1,13 +1,15 @@
 """Small literal cases of expressions and helpers, with the results that they must give."""
 
 import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrymill.functions import outcomes, pages, text, urls
-from quarrymill.operators import chunks, discovery, extract, facts, health, html, links, relational, telemetry, text_lines
+from quarrymill.operators import chunks, discovery, extract, facts, health, html, links, relational, sections, telemetry, text_lines
+from quarrymill.sources import files
 from quarrymill.staging import with_position
 
 
@@ -226,3 +228,40 @@ def test_loose_lists(spark):
     cases = ['{"x": ["a", " ", "b"]}', '{"x": "a"}', '{"x": null}', "[]", None]
     assert values(spark, cases, lambda x: extract.as_list(x, "x")) == [["a", "b"], ["a"], [], [], []]
     assert values(spark, ['[{"x": 1}, {}]', '{"x": 2}'], extract.first_object) == ['{"x":1}', '{"x": 2}']
+
+
+def test_sections_merge_by_name(spark):
+    rows = [
+        (1, 1, "a", ["x", " ", " y "], "short", "first words here"), (1, 3, "a", ["z", "x"], "longer text", "something else entirely new"), (1, 2, "a", None, "equal leng1", "first words"),
+        (1, 4, " ", ["q"], "no name", "no name"), (1, 5, None, ["q"], None, None), (2, 1, "a", [], None, None), (1, 6, "b", ["y"], None, "only"),
+    ]
+    entries = spark.createDataFrame(rows, "company long, place long, name string, items array<string>, told string, said string")
+    got = {(r.company, r.name): (r["items"], r.told, r.said) for r in sections.merged_entries(entries, "name", "place", ["items"], ["told"], ["said"]).collect()}
+    assert got == {
+        (1, "a"): (["x", "y", "z"], "equal leng1", "first words here. something else entirely new"), (2, "a"): ([], None, None), (1, "b"): (["y"], None, "only"),
+    }
+
+
+def test_bytes_are_decoded(spark):
+    cases = [
+        ("é€".encode(), None, "é€"), ("é".encode("latin-1"), None, "é"), ("é".encode("latin-1"), "text/html; charset=Latin1", "é"), ("€".encode("cp1252"), "text/html; charset=cp1252", "€"),
+        (b'<meta charset="nosuch">' + "é".encode(), None, '<meta charset="nosuch">é'), (b"%PDF-1.4 x", None, ""), (b"x", "application/pdf", ""), (b"", None, ""),
+    ]
+    rows = spark.createDataFrame([(n, body, header) for n, (body, header, _) in enumerate(cases)], "id long, body binary, header string")
+    got = {r.id: r.html for r in files.decoded(rows, "body", "header", "html").collect()}
+    assert got == {n: want for n, (_, _, want) in enumerate(cases)}
+
+
+def test_most_of_one(spark):
+    rows = spark.createDataFrame([(0, []), (1, [5]), (2, [1, 2, 1, 3, 1, 2]), (3, [7] * 9)], "id long, v array<long>")
+    assert {r.id: r.n for r in rows.select("id", text_lines.most_of_one(F.col("v")).alias("n")).collect()} == {0: 0, 1: 1, 2: 3, 3: 9}
+
+
+def test_row_ids_have_no_gaps(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    assert sorted((r.row_id, r.k) for r in files.with_row_ids(rows, ["k"]).collect()) == [(n, n) for n in range(1000)]
+
+
+def test_pages_with_other_entities_go_to_the_parser(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>caf&eacute; &amp; p&#227;o</p>"), (2, "u", "<p>a &amp; b</p>"), (3, "u", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.page_texts(rows).collect()} == {1: "café & pão", 2: "a & b", 3: None}
