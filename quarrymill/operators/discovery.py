@@ -99,11 +99,12 @@ def site_decision(response: Column) -> Column:
 def chosen_links(links: Column, answer: Column) -> Column:
     """Links at the 1-based places that a model's answer lists, in its order; others are dropped.
 
-    The answer is a JSON list, or an object with one under links, selected or indices.
+    The answer is a JSON list, or an object with one under links, selected or indices, or else under its first name.
     """
     lists = F.coalesce(
         F.from_json(answer, "array<int>"),
         *[F.from_json(answer, f"{key} array<int>")[key] for key in ("links", "selected", "indices")],
+        F.get(F.map_values(F.from_json(answer, "map<string, array<int>>")), 0),
         F.array().cast("array<int>"),
     )
     ordered = F.array_sort(links)

@@ -72,3 +72,31 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
     )
     so_far = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(so_far)).where("_side = 1").select(key, "id", time, value)
+
+
+def latest_unused(asks: DataFrame, offers: DataFrame, most: int) -> DataFrame:
+    """id, value of the first ``most`` asks (id, time, order): each takes the latest offer (time, value) at or
+    before it whose value no earlier ask has taken, ties to the larger value; null where none is left.
+
+    This is a report on the top of a list. An ask can need no more than its ``most`` latest
+    values, so what meets in one row is bounded by the square of ``most``.
+    """
+    first = asks.orderBy("order", "id").limit(most).select("id", "order", F.col("time").alias("until"))
+    met = F.broadcast(first).join(offers, F.col("time") <= F.col("until"))  # at most ``most`` rows are broadcast
+    latest = met.groupBy("id", "order", "value").agg(F.max("time").alias("time"))
+    order = Window.partitionBy("id").orderBy(F.desc("time"), F.desc("value"))
+    some = latest.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    lists = some.groupBy("id", "order").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("values"))
+    one = lists.agg(F.array_sort(F.collect_list(F.struct("order", "id", "values"))).alias("asks"))
+    kind = dict(offers.dtypes)["value"]
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("used"), F.array().cast(f"array<struct<id: {dict(asks.dtypes)['id']}, value: {kind}>>").alias("out"))
+
+    def take(acc: Column, ask: Column) -> Column:
+        value = F.get(F.array_except(ask["values"], acc["used"]), 0)  # keeps the order of the first
+        return F.struct(
+            F.when(value.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], value)).alias("used"),
+            F.array_append(acc["out"], F.struct(ask["id"].alias("id"), value.alias("value"))).alias("out"),
+        )
+
+    taken = one.select(F.inline(F.aggregate("asks", start, take, lambda acc: acc["out"])))
+    return first.select("id").join(taken, "id", "left")

@@ -93,10 +93,10 @@ def site_decisions(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def chosen_links(spark: SparkSession, directory: str) -> DataFrame:
-    """Links of each query at places that four shapes of answers give."""
+    """Links of each query at places that five shapes of answers give."""
     grouped = table(spark, directory, "pages").select(F.floor(F.col("page_id") / 10).alias("id"), "url").groupBy("id").agg(F.collect_list("url").alias("links"))
-    answers = F.array(F.lit("[2, 1, 99]"), F.lit('{"links": [3]}'), F.lit('{"selected": [0, 1]}'), F.lit("none"))
-    chosen = dc.chosen_links(F.col("links"), F.element_at(answers, (F.col("id") % 4 + 1).cast("int")))
+    answers = F.array(F.lit("[2, 1, 99]"), F.lit('{"links": [3]}'), F.lit('{"selected": [0, 1]}'), F.lit("none"), F.lit('{"picked": [3, 2]}'))
+    chosen = dc.chosen_links(F.col("links"), F.element_at(answers, (F.col("id") % 5 + 1).cast("int")))
     return grouped.select("id", F.array_join(chosen, " ").alias("chosen"))
 
 
@@ -167,7 +167,7 @@ QUERIES = {
     "chosen_links": (
         chosen_links,
         """WITH g AS (SELECT page_id // 10 AS id, list_sort(list(url)) AS l FROM pages GROUP BY 1)
-        SELECT id, CASE id % 4 WHEN 0 THEN array_to_string([l[2], l[1]], ' ') WHEN 1 THEN coalesce(l[3], '') WHEN 2 THEN l[1] ELSE '' END AS chosen FROM g""",
+        SELECT id, CASE id % 5 WHEN 0 THEN array_to_string([l[2], l[1]], ' ') WHEN 1 THEN coalesce(l[3], '') WHEN 2 THEN l[1] WHEN 4 THEN array_to_string([l[3], l[2]], ' ') ELSE '' END AS chosen FROM g""",
     ),
     "name_domain_match": (
         name_domain_match,

@@ -65,6 +65,17 @@ def as_of_view(spark: SparkSession, directory: str) -> DataFrame:
     return lg.as_of(bought, seen, "user_id", "ts", "value")
 
 
+SLOWEST = 30
+
+
+def slowest_with_viewer(spark: SparkSession, directory: str) -> DataFrame:
+    """The 30 largest purchases, each with the user of the latest view until then whom no larger purchase has taken."""
+    events = table(spark, directory, "events")
+    asks = events.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.col("ts").alias("time"), (-F.col("value")).alias("order"))
+    views = events.where("event_type = 'view'").select(F.col("ts").alias("time"), F.col("user_id").alias("value"))
+    return lg.latest_unused(asks, views, SLOWEST).select("id", F.col("value").alias("user_id"))
+
+
 QUERIES = {
     "log_extract": (
         log_extract,
@@ -88,6 +99,14 @@ QUERIES = {
     "main_failures": (main_failures, "SELECT CASE event_id % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'ssl_error' ELSE 'other_main_page_fail' END AS main_reason, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1"),
     "latest_batch": (latest_batch, "SELECT 'b' || event_id % 7 AS batch FROM events WHERE event_type = 'signup' ORDER BY ts DESC LIMIT 1"),
     "top_circuits": (top_circuits, "SELECT 'h' || user_id % 20 || '.com' AS circuit, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1 ORDER BY n DESC, circuit LIMIT 10"),
+    "slowest_with_viewer": (
+        slowest_with_viewer,
+        f"""WITH RECURSIVE c AS (SELECT event_id AS id, ts, row_number() OVER (ORDER BY value DESC, event_id) AS k FROM events WHERE event_type = 'purchase' QUALIFY k <= {SLOWEST}),
+        v AS (SELECT k, user_id AS u, max(e.ts) AS t FROM c JOIN events e ON e.event_type = 'view' AND e.ts <= c.ts GROUP BY 1, 2),
+        r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used UNION ALL
+          SELECT r.k + 1, list_append(r.used, arg_max(u, (t, u)) FILTER (NOT list_contains(r.used, u))) FROM r LEFT JOIN v ON v.k = r.k + 1 WHERE r.k < {SLOWEST} GROUP BY r.k, r.used)
+        SELECT id, used[-1] AS user_id FROM c JOIN r USING (k)""",
+    ),
     "as_of_view": (
         as_of_view,
         """SELECT p.user_id, p.event_id AS id, p.ts, v.value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
