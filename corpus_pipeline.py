@@ -2,6 +2,11 @@
 
 quality rules -> line dedup -> near-duplicates -> secret scans -> packing. All stages but the
 last return the columns of documents; the last returns the packed pieces.
+
+Null text counts as empty. Repeated rows and rows without doc_id pass every stage as rows of
+their own, but for the near-duplicate stage, where wholly equal rows of a doc_id are one. Texts
+have no length limit. Empty tables give empty results. Columns beyond those of documents,
+whatever their names, are carried along by all stages but the last.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
-    """Documents that the quality rules reject, by themselves or with their host, go."""
+    """Documents that the quality rules reject, by themselves or with their host, go; so do null and empty texts, which are too short."""
     return quality_rules.keep_good(docs)
 
 
@@ -34,12 +39,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, directory: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
-    """Of each group of texts linked by a five-word Jaccard similarity of 0.8 or more that of the smallest doc_id stays."""
+    """Of each group of texts linked by a five-word Jaccard similarity of 0.8 or more that of the smallest doc_id stays; candidates come from SimHash."""
     return similar.drop_similar(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
-    """Every found secret becomes [SECRET]."""
+    """Every found secret becomes [SECRET]; overlapping ones become one."""
     return _with_text(docs, secret_scan.redact_secrets(secret_scan.scan_secrets(docs)))
 
 
