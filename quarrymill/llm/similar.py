@@ -221,7 +221,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     nearest = staged(both.groupBy("a").agg(_nearest("a", "b").alias("pair")).select("pair.a", "pair.b").distinct(), "nearest-pairs")
     members = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "members")
     wanted = staged(nodes.join(members, "node", "left_semi").select("node", "at.doc_id", "at.row"), "compared")
-    sets = staged(shingle_sets(rows.join(wanted, ["doc_id", "row"])).dropDuplicates(["node"]), "shingle-sets")  # wholly equal rows give a node twice
+    texts = rows.join(wanted.hint("shuffle_hash"), ["doc_id", "row"])  # the same join at every size, without sorting texts
+    sets = staged(shingle_sets(texts).dropDuplicates(["node"]), "shingle-sets")  # wholly equal rows give a node twice
     near = verified(nearest, sets)
     families = staged(_named(_named(members, pairs, "family"), near, "label"), "families")
     links = near.unionByName(links_in_families(families, sets))
