@@ -138,8 +138,8 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     """
     ledger = ledger or f"{shared_folder(docs.sparkSession)}/secret-ledger-{uuid.uuid4().hex}"
     found = findings_by_blob(update_ledger(docs, ledger, rules, version))
-    # Staged, so that the join is one that can split a hot blob's rows, or broadcasts what is small.
-    found = staged(found.select(F.col("blob").alias("_blob"), "findings"), "blob-findings")
+    # Staged, so that both sides of the join are plain shuffles and a hot blob's rows can be split there.
+    found = staged(found.select(F.col("blob").alias("_blob"), "findings"), "blob-findings").hint("shuffle_hash")
     # Paths go to the join as they are read, so that a hot blob's rows can be split there.
     paths = docs.drop("findings").withColumn("_id", blob_id(text_or_empty()))
     joined = paths.join(found, F.col("_id") == F.col("_blob"), "left").drop("_id", "_blob")
@@ -165,6 +165,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     reach into it, so the work is linear in texts and findings. Texts without stay where they
     are. Column findings is dropped. Cases as in ``scan_secrets``.
     """
+    docs = staged(docs, "scanned")  # read twice, scanned once
     clean = docs.where(F.size("findings") == 0).drop("findings")
     hit = staged(docs.where(F.size("findings") > 0).withColumn("_row", F.monotonically_increasing_id()), "with-secrets")
     cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{REDACT_CHARS}}}"), F.lit(0))
