@@ -140,11 +140,12 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, with the columns of ``docs``.
 
-    Cases as there. Each text is measured once and written with its measures; it stays where it
-    is unless the flagged hosts are too many to broadcast.
+    Cases as there. Texts are measured once for the hosts and again for their own verdicts, which
+    is cheaper than writing and reading every text between. They stay where they are unless the
+    flagged hosts are too many to broadcast.
     """
     names = {name: f"_own_{name}" for name in docs.columns if name in (*MEASURES, "base_failed", "kept", "flags")}
     own = docs.withColumnsRenamed(names)
-    full = staged(measured(own, own.columns), "measured")
-    kept = judged(full, host_verdicts(full)).where("kept").select(*own.columns)
+    verdicts = host_verdicts(staged(measured(docs, ["source"]), "measures"))
+    kept = judged(measured(own, own.columns), verdicts).where("kept").select(*own.columns)
     return kept.withColumnsRenamed({new: old for old, new in names.items()})
