@@ -21,31 +21,38 @@ from quarrymill.llm.common import staged
 from quarrymill.session import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """``changed`` in the columns of ``docs``, with n_chars as the text now has."""
-    return changed.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+def _applied(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The operator's rows in the columns of ``docs``, with n_chars as the text now has.
+
+    Columns beyond those of documents have names that no operator uses while it runs.
+    """
+    aside = {name: f"_aside_{n}" for n, name in enumerate(docs.columns) if name not in DOCUMENT}
+    own = docs.withColumnsRenamed(aside)
+    done = operator(own).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*own.columns)
+    return done.withColumnsRenamed({new: old for old, new in aside.items()})
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """Documents that the quality rules reject, by themselves or with their host, go; so do null and empty texts, which are too short."""
-    return quality_rules.keep_good(docs)
+    return _applied(docs, quality_rules.keep_good)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """Lines that a smaller doc_id has go; documents stay, even those with no line left."""
-    return _with_text(docs, line_dedup.dedup_lines(docs))
+    return _applied(docs, line_dedup.dedup_lines)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """Of each group of texts linked by a five-word Jaccard similarity of 0.8 or more that of the smallest doc_id stays; candidates come from SimHash."""
-    return similar.drop_similar(docs)
+    return _applied(docs, similar.drop_similar)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """Every found secret becomes [SECRET]; overlapping ones become one."""
-    return _with_text(docs, secret_scan.redact_secrets(secret_scan.scan_secrets(docs)))
+    return _applied(docs, lambda own: secret_scan.redact_secrets(secret_scan.scan_secrets(own)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
