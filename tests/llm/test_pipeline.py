@@ -56,3 +56,25 @@ def test_stages(docs_of, spark):
 def test_run(spark, small_dir):
     packed = corpus_pipeline.run(spark, small_dir)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(packed.columns) and packed.count() > 0
+
+
+def test_odd_rows_pass_all_stages(docs_of, spark):
+    rows = [(1, clean(60, 1), "a"), (1, clean(60, 1), "a"), (1, clean(60, 2), "a"), (None, clean(60, 1), None), (None, clean(60, 1), None), (2, None, "a"), (3, "", None)]
+    docs = docs_of(rows).selectExpr("*", "1 AS n_words", "2 AS findings", "3 AS _row", "4 AS row", "5 AS n_lines", "6 AS kept", "7 AS words", "8 AS length")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    left = docs.collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([(1, clean(60, 1)), (1, clean(60, 2)), (None, clean(60, 1)), (None, clean(60, 1))], key=str)
+    assert {tuple(r)[5:] for r in left} == {(1, 2, 3, 4, 5, 6, 7, 8)}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 4
+
+
+def test_empty_table_passes_all_stages(docs_of, spark):
+    docs = docs_of([])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0
+        docs = spark.createDataFrame([], docs.schema)
