@@ -112,6 +112,10 @@ def allowed() -> np.ndarray:
 FORBIDDEN = np.where(allowed(), 0.0, -1e4).astype(np.float32)
 
 
+#: Emissions of what is outside any span for certain.
+OUTSIDE = np.where(np.arange(TAGS) == 0, 0, -1e4).astype(np.float32)
+
+
 def log_total(a: np.ndarray) -> np.ndarray:
     """log of the summed exponentials over the second axis."""
     most = a.max(axis=1)
@@ -157,20 +161,20 @@ class Tagger:
         self.values["in"][:, :, HIDDEN : 2 * HIDDEN] += 1  # the forget gate starts open
 
     def lstm(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """time x directions x batch x hidden: states after each character of x (directions x time x batch)."""
+        """time x directions x hidden x batch: states after each character of x (directions x time x batch)."""
         scale = np.repeat([0.5, 1], [3 * HIDDEN, HIDDEN]).astype(self.values["own"].dtype)  # sigmoid(z) is tanh(z / 2) / 2 + 1/2
-        given, own = (self.values["in"] * scale).reshape(2 * CHARS, -1), self.values["own"] * scale
-        places = x.astype(np.intp) + np.array([0, CHARS])[:, None, None]
-        h = c = np.zeros((2, x.shape[2], HIDDEN), own.dtype)
+        given, own = (np.ascontiguousarray((self.values[name] * scale).transpose(0, 2, 1)) for name in ("in", "own"))
+        h = c = np.zeros((2, HIDDEN, x.shape[2]), own.dtype)
         out = np.empty((x.shape[1], *h.shape), own.dtype)
         for t in range(x.shape[1]):
-            z = given[places[:, t]]
-            z += h @ own
+            z = own @ h
+            for way in (0, 1):
+                z[way] += given[way].take(x[way, t], axis=1, mode="clip")
             np.tanh(z, out=z)
-            gates = z[..., : 3 * HIDDEN]
+            gates = z[:, : 3 * HIDDEN]
             gates *= 0.5
             gates += 0.5
-            i, f, o, g = (z[..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+            i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
             before = c
             c = f * before
             c += i * g
@@ -186,33 +190,36 @@ class Tagger:
         out = self.lstm(both_ways(x, lengths), None if keep is None else keep.setdefault("steps", []))
         ahead, behind = out[:, 0], out[::-1, 1]
         if lengths is not None:
-            behind = np.take_along_axis(out[:, 1], turned(lengths, x.shape[1]).T[:, :, None], axis=0)
+            behind = np.take_along_axis(out[:, 1], turned(lengths, x.shape[1]).T[:, None, :], axis=0)
         if keep is not None:
-            keep["states"] = np.concatenate([ahead, behind], axis=2)
-        emit = self.values["emit"]
-        return ahead @ emit[:HIDDEN] + behind @ emit[HIDDEN:] + self.values["bias"]
+            keep["states"] = np.concatenate([ahead, behind], axis=1)
+        emit = np.ascontiguousarray(self.values["emit"].T)
+        e = emit[:, :HIDDEN] @ ahead
+        e += emit[:, HIDDEN:] @ behind
+        return e.transpose(0, 2, 1) + self.values["bias"]
 
     def surely_outside(self, e: np.ndarray) -> np.ndarray:
         """Rows whose best path is proven to be outside any span throughout.
 
-        A path gains or loses against that one span by span. The scan finds for each kind the
-        most that any span can gain, with the best transition into it and out of it; if no span
-        gains, no path does.
+        A path gains or loses against that one span by span, and ``most`` is the most that any
+        span can gain, with the best transition into it and out of it: the gain up to its end
+        less that before its inside, a running sum and a running maximum. If no span gains, no
+        path does.
         """
         move = self.values["move"] + FORBIDDEN
-        begin, inside = slice(1, TAGS, 2), slice(2, TAGS, 2)
-        into = np.maximum((move[:TAGS, begin] - move[0, 0]).max(axis=0), move[TAGS, begin] - move[TAGS, 0])
-        out = np.maximum(move[1:TAGS, 0] - move[0, 0], 0)
-        first, further = (np.array([move[k + shift, k + 1] - move[0, 0] for k in range(1, TAGS, 2)]) for shift in (0, 1))
-        gain = e - e[:, :, :1]
-        begun = into + gain[0, :, begin]
-        within = np.full_like(begun, -np.inf)
-        most = begun + out[::2]
-        for t in range(1, len(e)):
-            within = np.maximum(begun + first, within + further) + gain[t, :, inside]
-            begun = into + gain[t, :, begin]
-            most = np.maximum(most, np.maximum(begun + out[::2], within + out[1::2]))
-        return most.max(axis=1) < 0
+        most = np.full(e.shape[1], -np.inf, e.dtype)
+        for begin in range(1, TAGS, 2):
+            inside = begin + 1
+            into = max(float((move[:TAGS, begin] - move[0, 0]).max()), float(move[TAGS, begin] - move[TAGS, 0]))
+            out = [max(float(move[tag, 0] - move[0, 0]), 0.0) for tag in (begin, inside)]
+            first, further = (float(move[tag, inside] - move[0, 0]) for tag in (begin, inside))
+            begun = e[:, :, begin] - e[:, :, 0] + into
+            most = np.maximum(most, begun.max(axis=0) + out[0])
+            so_far = np.cumsum(e[:, :, inside] - e[:, :, 0] + further, axis=0)
+            opened = np.maximum.accumulate(begun[:-1] - so_far[:-1], axis=0)
+            ended = (opened + so_far[1:]).max(axis=0, initial=-np.inf)
+            most = np.maximum(most, ended + first - further + out[1])
+        return most < -1e-3  # sums in another order than the decoder's
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """Best tags (batch x time) for emissions (time x batch x tags)."""
@@ -237,20 +244,29 @@ class Tagger:
         kinds = np.concatenate([odds[:, :, :1], odds[:, :, 1::2] + odds[:, :, 2::2]], axis=2)
         return np.take_along_axis(kinds, ((tags + 1) // 2).T[:, :, None], axis=2)[:, :, 0].T
 
-    def decode(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags (batch x time) and how sure each is; what is beyond a row's length is outside any span."""
-        outside = np.where(np.arange(TAGS) == 0, 0, -1e4).astype(np.float32)
+    def open_windows(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x (batch x time) that are not proven to be outside any span, and their emissions."""
         whole = lengths.min(initial=x.shape[1]) == x.shape[1]
         e = self.emissions(x, None if whole else lengths)
-        if not whole:
-            e = np.where((np.arange(x.shape[1])[:, None] < lengths)[:, :, None], e, outside)
+        if not whole:  # what is beyond a row's length is outside any span
+            e = np.where((np.arange(x.shape[1])[:, None] < lengths)[:, :, None], e, OUTSIDE)
+        rows = np.flatnonzero(~self.surely_outside(e))
+        return rows, e[:, rows]
+
+    def read(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags (batch x time) for emissions, and how sure each is."""
+        tags = self.viterbi(e)
+        sure, told = np.ones(tags.shape, np.float32), np.flatnonzero(tags.any(axis=1))
+        if len(told):
+            sure[told] = self.certainty(e[:, told], tags[told])
+        return tags, sure
+
+    def decode(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags (batch x time) of x and how sure each is."""
         tags, sure = np.zeros(x.shape, np.int64), np.ones(x.shape, np.float32)
-        open_rows = np.flatnonzero(~self.surely_outside(e))
-        if len(open_rows):
-            tags[open_rows] = self.viterbi(e[:, open_rows])
-            told = np.flatnonzero(tags.any(axis=1))
-            if len(told):
-                sure[told] = self.certainty(e[:, told], tags[told])
+        rows, e = self.open_windows(x, lengths)
+        if len(rows):
+            tags[rows], sure[rows] = self.read(e)
         return tags, sure
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -272,22 +288,22 @@ class Tagger:
         np.subtract.at(grad_move, (np.full(len(y), TAGS), y[:, 0]), 1)
         slope[np.arange(n)[:, None], rows, y.T] -= 1
         slope /= len(x)
-        grads = {"emit": np.einsum("tbh,tbk->hk", keep["states"], slope), "bias": slope.sum(axis=(0, 1)), "move": grad_move / len(x)}
+        grads = {"emit": np.einsum("thb,tbk->hk", keep["states"], slope), "bias": slope.sum(axis=(0, 1)), "move": grad_move / len(x)}
         back = slope @ self.values["emit"].T
-        ways = np.stack([back[:, :, :HIDDEN], back[::-1, :, HIDDEN:]], axis=1)
+        ways = np.stack([back[:, :, :HIDDEN], back[::-1, :, HIDDEN:]], axis=1).transpose(0, 1, 3, 2)
         return float((norm - seen).mean()), grads | self._lstm_gradients(both_ways(x), ways, keep["steps"])
 
     def _lstm_gradients(self, x: np.ndarray, slope: np.ndarray, steps: list) -> dict[str, np.ndarray]:
         own = self.values["own"]
-        every, grad_own = np.empty((*x.shape, 4 * HIDDEN), own.dtype), np.zeros_like(own)
+        every, grad_own = np.empty((2, x.shape[1], x.shape[2], 4 * HIDDEN), own.dtype), np.zeros_like(own)
         dh = dc = np.zeros(slope.shape[1:], own.dtype)
         for t, i, f, o, g, c, squashed, h in reversed(steps):
             dh = dh + slope[t]
             dc = dc + dh * o * (1 - squashed * squashed)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - g * g)], axis=2)
-            every[:, t] = dz
-            grad_own += h.transpose(0, 2, 1) @ dz
-            dh, dc = dz @ own.transpose(0, 2, 1), dc * f
+            dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - g * g)], axis=1)
+            every[:, t] = dz.transpose(0, 2, 1)
+            grad_own += h @ every[:, t]
+            dh, dc = own @ dz, dc * f
         marks = (x.reshape(2, 1, -1) == np.arange(CHARS)[:, None]).astype(own.dtype)  # by direction and code, where it stands
         return {"in": marks @ every.reshape(2, -1, 4 * HIDDEN), "own": grad_own}
 
@@ -415,6 +431,17 @@ def find_all(texts: list[str], tagger: Tagger) -> list[tuple[list[tuple[int, int
     places = [(min(len(own), WINDOW), row, start) for row, own in enumerate(coded) for start in windows(len(own))]
     places.sort(reverse=True)  # windows of like lengths together
     found: list[list] = [[] for _ in texts]
+    waiting: list[tuple[tuple[int, int, int], np.ndarray]] = []
+
+    def read_waiting() -> None:
+        e = np.broadcast_to(OUTSIDE, (waiting[0][1].shape[0], len(waiting), TAGS)).copy()
+        for number, (_, own) in enumerate(waiting):
+            e[: len(own), number] = own
+        tags, sure = tagger.read(e)
+        for number, ((n, row, start), _) in enumerate(waiting):
+            found[row] += [(kind, start + a, start + b, c) for kind, a, b, c in tagged_spans(tags[number, :n], sure[number, :n])]
+        waiting.clear()
+
     for at in range(0, len(places), BATCH):
         part = places[at : at + BATCH]
         lengths = np.array([n for n, _, _ in part])
@@ -423,10 +450,12 @@ def find_all(texts: list[str], tagger: Tagger) -> list[tuple[list[tuple[int, int
         x = np.zeros((len(part), lengths[0]), np.uint8)
         for number, (n, row, start) in enumerate(part):
             x[number, :n] = coded[row][start : start + n]
-        tags, sure = tagger.decode(x, lengths)
-        for number in np.flatnonzero(tags.any(axis=1)):
-            n, row, start = part[number]
-            found[row] += [(kind, start + a, start + b, c) for kind, a, b, c in tagged_spans(tags[number, :n], sure[number, :n])]
+        rows, e = tagger.open_windows(x, lengths)
+        waiting += [(part[row], e[:, number]) for number, row in enumerate(rows)]
+        if len(waiting) >= BATCH:
+            read_waiting()
+    if waiting:
+        read_waiting()
     return [(b, sorted(b + reconcile(text, own, b))) for text, own, b in zip(texts, found, base, strict=True)]
 
 
