@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.rules import quote
-from quarrymill.llm import byte_bpe, chat, line_dedup, packing, pii, quality_cnn, quality_rules, secret_scan, simhash, topk
+from quarrymill.llm import byte_bpe, chat, fim, line_dedup, packing, pii, quality_cnn, quality_rules, secret_scan, simhash, topk
 from quarrymill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +193,34 @@ def op10_pii_bilstm_crf(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
 
 
+def op11_fill_in_middle(spark: SparkSession, directory: str) -> DataFrame:
+    found = fim.fill_in_middle(table(spark, directory, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP11_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+    sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, units, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR h3 % 100 >= {fim.TRANSFORMED} OR contains(text, '{fim.PREFIX}') OR contains(text, '{fim.SUFFIX}') OR contains(text, '{fim.MIDDLE}') THEN 'plain'
+      WHEN h4 % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:n], '') AS suf FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{fim.PREFIX}' || pre || '{fim.SUFFIX}' || suf || '{fim.MIDDLE}' || mid
+    ELSE '{fim.SUFFIX}' || suf || '{fim.PREFIX}' || pre || '{fim.MIDDLE}' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -205,8 +233,9 @@ def queries() -> dict[str, Query]:
         "op8_topk_threshold": op8_topk_threshold,
         "op9_chat_format": op9_chat_format,
         "op10_pii_bilstm_crf": op10_pii_bilstm_crf,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": _op2_sql(), "op4_quality_rules": _op4_sql(), "op6_line_dedup": OP6_SQL, "op8_topk_threshold": OP8_SQL, "op9_chat_format": OP9_SQL}
+    return {"op2_secret_scan": _op2_sql(), "op4_quality_rules": _op4_sql(), "op6_line_dedup": OP6_SQL, "op8_topk_threshold": OP8_SQL, "op9_chat_format": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
