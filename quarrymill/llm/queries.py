@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.rules import quote
-from quarrymill.llm import byte_bpe, chat, fim, line_dedup, packing, pii, quality_cnn, quality_rules, secret_scan, simhash, topk
+from quarrymill.llm import byte_bpe, chat, fim, line_dedup, packing, pii, quality_cnn, quality_rules, repair, secret_scan, simhash, topk
 from quarrymill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +221,61 @@ FROM parts
 """
 
 
+def op13_conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
+    found = repair.repair_conversations(repair.damaged(table(spark, directory, "conversations")))
+    lines = F.transform("repaired", lambda turn: F.concat(turn["role"], F.lit(":"), turn["text"]))
+    return found.withColumn("repaired_sha256", F.sha2(F.array_join(lines, "\n"), 256)).drop("repaired")
+
+
+def _op13_sql() -> str:
+    """All four states' best edits, row by row, each with its cost, audit and text."""
+    r = repair
+    far = f"{{'c': {1 << 40}::BIGINT, 'w': '', 't': ''}}"
+    insert = lambda state, role: f"{{'c': {state}.c + {r.INSERT_COST}, 'w': {state}.w || '{r.INSERT}', 't': {state}.t || '{role}:' || chr(10)}}"
+    turn = lambda state, cost, letter, role: f"{{'c': {state}.c + {cost} + extra, 'w': {state}.w || '{letter}', 't': {state}.t || {role} || ':' || text || chr(10)}}"
+    gone = lambda state: f"{{'c': {state}.c + {r.DELETE_COST}, 'w': {state}.w || '{r.DELETE}', 't': {state}.t}}"
+    least = lambda *options: f"list_min([{', '.join(options)}])"
+
+    def taken(states: str, initial: str, role: str | None) -> list[str]:
+        when = lambda test, option: f"CASE WHEN {test} THEN {option} ELSE {far} END"
+        kept = [when(f"NOT doomed AND initial = '{initial}'", turn(x, r.KEEP_COST, r.KEEP, "role")) for x in states]
+        return kept + ([when("NOT doomed", turn(x, r.REROLE_COST, r.REROLE, f"'{role}'")) for x in states] if role else [])
+
+    with_users = f"SELECT *, {least('u', insert('z', 'user'), insert('s', 'user'), insert('a', 'user'))} AS u1"
+    with_both = f"SELECT * REPLACE (u1 AS u, {least('a', insert('u1', 'assistant'))} AS a)"
+    return f"""
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+named AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name, dense_rank() OVER (ORDER BY conv_id) AS conv FROM conversations),
+parted AS (SELECT conv_id, conv, turn, role, text, xor(list_reduce(list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT),
+    lambda p, x: xor(tab[(xor(p, x) & 255) + 1], p >> 8), 4294967295), 4294967295) % {r.PARTS} AS part FROM named, crc),
+damaged AS (SELECT conv, turn, CASE part WHEN {r.TAKEN} THEN 'user' ELSE role END AS role,
+    CASE part WHEN {r.EMPTIED} THEN '' WHEN {r.CUT} THEN regexp_replace(text, '[{r.ENDS}]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE part WHEN {r.REPEATED} THEN 2 ELSE 1 END)) AS copy FROM parted WHERE part <> {r.DROPPED}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM damaged),
+judged AS (SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS again,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut,
+    lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY pos) AS before FROM placed),
+rows AS MATERIALIZED (SELECT *, blank OR again AS doomed, CASE WHEN cut THEN {r.TRUNCATED_COST} ELSE 0 END AS extra FROM judged),
+run(conv, pos, z, s, u, a) AS (
+  SELECT DISTINCT conv, 0::BIGINT, {{'c': 0::BIGINT, 'w': '', 't': ''}}, {far}, {far}, {far} FROM named
+  UNION ALL
+  SELECT conv, pos, {gone('z')}, {least(gone('s'), *taken('z', 's', None))}, {least(gone('u'), *taken('zsa', 'u', 'user'))}, {least(gone('a'), *taken('u', 'a', 'assistant'))}
+  FROM ({with_both} FROM ({with_users} FROM (SELECT p.conv, p.z, p.s, p.u, p.a, w.pos, w.role, w.text, w.initial, w.doomed, w.extra FROM run p JOIN rows w ON w.conv = p.conv AND w.pos = p.pos + 1)))
+),
+ends AS (SELECT conv, list_min([z, a]) AS won FROM ({with_both} FROM ({with_users} FROM run)) QUALIFY row_number() OVER (PARTITION BY conv ORDER BY pos DESC) = 1),
+faults AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, won.c AS cost, won.w AS audit, sha256(left(won.t, length(won.t) - 1)) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM named) JOIN ends USING (conv) LEFT JOIN faults USING (conv)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -234,8 +289,9 @@ def queries() -> dict[str, Query]:
         "op9_chat_format": op9_chat_format,
         "op10_pii_bilstm_crf": op10_pii_bilstm_crf,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": _op2_sql(), "op4_quality_rules": _op4_sql(), "op6_line_dedup": OP6_SQL, "op8_topk_threshold": OP8_SQL, "op9_chat_format": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op2_secret_scan": _op2_sql(), "op4_quality_rules": _op4_sql(), "op6_line_dedup": OP6_SQL, "op8_topk_threshold": OP8_SQL, "op9_chat_format": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op13_conversation_repair": _op13_sql()}
