@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.rules import quote
-from quarrymill.llm import byte_bpe, chat, fim, line_dedup, packing, pii, quality_cnn, quality_rules, repair, secret_scan, simhash, topk
+from quarrymill.llm import byte_bpe, chat, fim, line_dedup, packing, pii, quality_cnn, quality_rules, repair, secret_scan, simhash, style_tree, topk
 from quarrymill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +221,10 @@ FROM parts
 """
 
 
+def op12_site_style_tree(spark: SparkSession, directory: str) -> DataFrame:
+    return style_tree.extract_main_text(table(spark, directory, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
     found = repair.repair_conversations(repair.damaged(table(spark, directory, "conversations")))
     lines = F.transform("repaired", lambda turn: F.concat(turn["role"], F.lit(":"), turn["text"]))
@@ -289,6 +293,7 @@ def queries() -> dict[str, Query]:
         "op9_chat_format": op9_chat_format,
         "op10_pii_bilstm_crf": op10_pii_bilstm_crf,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_site_style_tree": op12_site_style_tree,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
