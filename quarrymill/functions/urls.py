@@ -40,16 +40,38 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """Absolute form of ``href`` seen on page ``base``; dot segments are left as written."""
+def without_dots(path: Column) -> Column:
+    """``path`` with ``.`` and ``..`` segments resolved; always absolute."""
+    done = F.aggregate(
+        F.split(path, "/", -1),
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.array_append(done, part)),
+    )
+    joined = F.concat(F.array_join(done, "/"), F.when(path.rlike(r"(?:^|/)\.\.?$"), "/").otherwise(""))
+    return F.when(F.contains(path, F.lit(".")) & path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.regexp_replace(F.concat(F.lit("/"), joined), "^/+", "/")).otherwise(path)
+
+
+def base_parts(base: Column) -> Column:
+    """What `resolve_from` needs of a page's URL; as a column it is computed once for all links of a page."""
+    folder = F.when(path(base) == "", "/").otherwise(F.regexp_replace(path(base), "[^/]*$", ""))
     bare = F.regexp_replace(base, "[?#].*$", "")
-    directory = F.when(path(base) == "", F.concat(bare, F.lit("/"))).otherwise(F.regexp_replace(bare, "[^/]*$", ""))
+    return F.struct(base.alias("url"), bare.alias("bare"), folder.alias("folder"), origin(base).alias("origin"), scheme(base).alias("scheme"))
+
+
+def resolve_from(at: Column, href: Column) -> Column:
+    """Absolute form of ``href`` seen on the page of `base_parts`, as RFC 3986 has it; absolute ones stay as written."""
+    own, rest = F.regexp_extract(href, "^[^?#]*", 0), F.regexp_extract(href, "[?#].*$", 0)
     return (
-        F.when(href == "", base)
+        F.when(href == "", at["url"])
+        .when(F.startswith(href, F.lit("//")), F.concat(at["scheme"], F.lit(":"), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(at["origin"], without_dots(own), rest))
+        .when(F.startswith(href, F.lit("?")), F.concat(at["bare"], href))
+        .when(F.startswith(href, F.lit("#")), F.concat(without_fragment(at["url"]), href))
         .when(href.rlike(SCHEME), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(scheme(base), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin(base), href))
-        .when(F.startswith(href, F.lit("?")), F.concat(bare, href))
-        .when(F.startswith(href, F.lit("#")), F.concat(without_fragment(base), href))
-        .otherwise(F.concat(directory, href))
+        .otherwise(F.concat(at["origin"], without_dots(F.regexp_replace(F.concat(at["folder"], own), "/{2,}", "/")), rest))
     )
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """Absolute form of one ``href`` seen on page ``base``."""
+    return resolve_from(base_parts(base), href)

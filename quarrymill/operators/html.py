@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quarrymill.functions.pages import HIDDEN_TAGS, OTHER_ENTITY, html_text
 
@@ -24,7 +28,7 @@ class PageParser(HTMLParser):
         if tag in HIDDEN_TAGS:
             self.hidden += 1
         elif tag == "a":
-            self.hrefs += [value for name, value in attrs if name == "href" and value]
+            self.hrefs += [value or "" for name, value in attrs if name == "href"][-1:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in HIDDEN_TAGS and self.hidden:
@@ -63,29 +67,27 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return plain.unionByName(parse_pages(pages.where(hard)).select("page_id", "url", "text"))
 
 
-def page_links(url: str | None, html: str | None) -> list[str]:
-    """Distinct absolute links of a page in order: href values in any quotes with entities decoded, dot segments resolved.
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9=]))")
 
-    Trailing commas go; ``#`` and ``javascript:`` are skipped, as is what cannot be resolved.
+
+def resolved(url: str | None, values: list[str]) -> list[str]:
+    """Absolute links of href values as written: references decoded, dot segments resolved; what can't be resolved is left out.
+
+    A reference without its semicolon counts only where no ``=`` or letter follows, so that
+    ``?a=1&copy=2`` stays as it is.
     """
-    found: dict[str, None] = {}
-    for href in parse_page(html)[1]:
-        href = href.strip().rstrip(",")
+    links = []
+    for value in values:
+        href = REFERENCE.sub(lambda found: unescape(found.group()), value).strip().rstrip(",")
         if not href.startswith("#") and not href.lower().startswith("javascript:"):
             try:
-                found[urljoin(url or "", href).rstrip(",")] = None
+                links.append(urljoin(url or "", href).rstrip(","))
             except ValueError:  # such as an open bracket in the host
                 continue
-    return list(found)
+    return links
 
 
-def parsed_links(pages: DataFrame) -> DataFrame:
-    """page_id, url, links of each page, by the parser."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = [page_links(url, html) for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(links, pa.list_(pa.string()))], ["page_id", "url", "links"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, links array<string>")
+@F.pandas_udf(ArrayType(StringType()))
+def resolved_by_parser(url: pd.Series, values: pd.Series) -> pd.Series:
+    """`resolved` for the rows that have values; null for the others, which cost next to nothing."""
+    return pd.Series([None if some is None else resolved(base, list(some)) for base, some in zip(url, values)], dtype=object)

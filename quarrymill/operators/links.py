@@ -5,33 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.functions import rules, urls
-from quarrymill.operators.html import parsed_links
+from quarrymill.functions import markup, rules, urls
+from quarrymill.operators.html import resolved_by_parser
 
-ANCHOR = r"""<a\s[^>]*?href\s*=\s*"([^"]*)\""""
-COMMENT = "(?s)<!--.*?-->"
-#: What the expression above does not read as a parser does, once comments are gone: other quotes or
-#: none, entities and dot segments in a value, no value, comments that don't end, scripts with anchors.
-NEEDS_PARSER = r"""(?i)<a\s[^>]*?href\s*=\s*(?!")|<a\s[^>]*?href\s*=\s*"(?:[^"]*&|(?:[^"?#]*/)?\.\.?(?:["/?#])|")|<!--|<script\b[^>]*>[^<]*<a\s"""
+#: Values whose resolution needs more than the expressions know: other references, white space and control
+#: characters inside, brackets, parameters, a host that is not ASCII, schemes in odd case or without a host,
+#: empty queries and fragments. And the bases that the expressions know.
+ODD_HREF = (
+    rf"{markup.OTHER_REFERENCE}|[\x00-\x20\x7f-\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\[\]\\]|^[^?#]*;"
+    r"|^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*[^\x00-\x7f]|^(?i:https?):(?!//)|^(?!https?:)(?i:https?):|[?#]$|\?#"
+)
+PLAIN_BASE = r"^https?://[!-:<-Z^-~]+$"
+STRIP = r"(?U)^\s+|\s+$"
+
+
+def hrefs(pages: DataFrame) -> DataFrame:
+    """page_id, url, hrefs (values to resolve by expressions), odd (values for Python) of each page.
+
+    All tags are read by the JVM tokenizer. Trailing commas go; ``#`` and ``javascript:`` are
+    skipped. An anchor with an empty href links to the page itself; one without has no link.
+    """
+    pages = pages.select("page_id", "url", markup.without_raw_text(F.col("html")).alias("body"))
+    values = F.transform(markup.tags(F.col("body"), "a"), lambda tag: markup.attribute(tag, "href"))
+    found = F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.regexp_replace(F.regexp_replace(v, STRIP, ""), ",+$", ""))
+    wanted = F.filter(found, lambda v: ~F.startswith(v, F.lit("#")) & ~F.startswith(F.lower(v), F.lit("javascript:")))
+    rows = pages.select("page_id", "url", F.array_distinct(wanted).alias("all"), F.coalesce(F.col("url").rlike(PLAIN_BASE), F.lit(False)).alias("plain"))
+    is_odd = lambda v: ~F.col("plain") | v.rlike(ODD_HREF)
+    easy = F.transform(F.filter("all", lambda v: ~is_odd(v)), lambda v: markup.decoded(v))
+    return rows.select("page_id", "url", easy.alias("hrefs"), F.filter("all", is_odd).alias("odd"))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """Distinct links of each page: page_id, url, link, kind ('document' or 'internal').
 
-    Pages with plain double-quoted ``href`` values are read by an expression, all others by a
-    parser; only those leave the JVM. Trailing commas go, ``#`` and ``javascript:``
-    are skipped, as are links to the page itself with another fragment, excluded file types,
-    other hosts, and image names in the query. A null page has no links. Each row is a page.
+    The tokenizer reads tags in any form that a parser reads, and expressions resolve their
+    values; only odd values (`ODD_HREF`) go to Python, none on most pages. Skipped are links to
+    the page itself with another fragment, excluded file types, other hosts, and image names in
+    the query. A null page has no links. Each row is a page.
     """
-    body = F.regexp_replace("html", COMMENT, "")
-    hard = F.coalesce(body.rlike(NEEDS_PARSER), F.lit(False))
-    raw = F.regexp_extract_all(body, F.lit(ANCHOR), F.lit(1))
-    hrefs = F.transform(raw, lambda h: F.regexp_replace(F.trim(h), ",+$", ""))
-    wanted = F.filter(hrefs, lambda h: ~F.startswith(h, F.lit("#")) & ~F.startswith(F.lower(h), F.lit("javascript:")))
-    resolved = F.transform(wanted, lambda h: F.regexp_replace(urls.resolve(F.col("url"), h), ",+$", ""))
+    easy = F.transform("hrefs", lambda h: F.regexp_replace(urls.resolve_from(F.col("at"), h), ",+$", ""))
+    odd = resolved_by_parser(F.when(F.size("odd") > 0, F.col("url")), F.when(F.size("odd") > 0, F.col("odd")))
     # Links repeat within a page, so they are made distinct in its row: no shuffle.
-    plain = pages.where(~hard).select("page_id", "url", F.array_distinct(resolved).alias("links"))
-    found = plain.unionByName(parsed_links(pages.where(hard))).select("page_id", "url", F.explode("links").alias("link"))
+    links = F.array_distinct(F.concat(easy, F.coalesce(odd, F.array().cast("array<string>"))))
+    values = hrefs(pages).withColumn("at", urls.base_parts(F.col("url")))
+    found = values.select("page_id", "url", F.explode(links).alias("link"))
     same_page = F.contains("link", F.lit("#")) & (urls.without_fragment(F.col("link")) == urls.without_fragment(F.col("url")))
     path = F.lower(urls.path(F.col("link")))
     internal = (
@@ -43,6 +60,13 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return found.where(~same_page).withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
+def link_routes(pages: DataFrame) -> DataFrame:
+    """One row: pages, pages with odd values, values, and odd values, which alone leave the JVM."""
+    sizes = hrefs(pages).select(F.size("hrefs").alias("n"), F.size("odd").alias("odd"))
+    counts = F.count("*").alias("pages"), F.count_if(F.col("odd") > 0).alias("odd_pages"), F.sum(F.col("n") + F.col("odd")).alias("hrefs"), F.sum("odd").alias("odd_hrefs")
+    return sizes.where(F.col("n") >= 0).agg(*counts)
+
+
 def html_links(links: DataFrame) -> DataFrame:
     """Only links that can hold HTML: no documents, excluded types or image names in the query."""
     path = F.lower(urls.path(F.col("link")))

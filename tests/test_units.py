@@ -1,6 +1,8 @@
 """Small literal cases of expressions and helpers, with the results that they must give."""
 
 import json
+import random
+from urllib.parse import urlsplit
 
 import pytest
 from hypothesis import given, settings
@@ -40,29 +42,72 @@ def test_extract_links(spark):
     assert got == {("https://e.com/a", "internal"), ("https://e.com/f.PDF", "document"), ("https://e.com/d/b/c?q=1", "internal")}
 
 
-def test_links_that_need_the_parser(spark):
+def by_parser(base, markup):
+    """Links of a page by the library's parser and urljoin alone."""
+    hrefs = html.parse_page(markup)[1]
+    whole = lambda x: x.split("#")[0]
+    found = html.resolved(base, [h.replace("&", "&amp;") for h in hrefs])
+    return sorted({x for x in found if urlsplit(x).netloc == urlsplit(base).netloc and not ("#" in x and whole(x) == whole(base))})
+
+
+def extracted(spark, base, pages):
+    got = {n: [] for n in range(len(pages))}
+    rows = spark.createDataFrame([(n, base, markup) for n, markup in enumerate(pages)], "page_id long, url string, html string")
+    for r in links.extract_links(rows).collect():
+        got[r.page_id].append(r.link)
+    return [sorted(found) for found in got.values()]
+
+
+def test_links_in_any_markup(spark):
     base = "https://h.com/a/b?x=1"
     cases = {
         "<a href='/single'>": ["https://h.com/single"],
         "<a class=x href=/bare>": ["https://h.com/bare"],
         '<A HREF="/q?a=1&amp;b=2">': ["https://h.com/q?a=1&b=2"],
-        '<a href="../up/./x">': ["https://h.com/up/x"],
-        '<a href="https://h.com/c/../d">': ["https://h.com/c/../d"],
-        '<a href="/p&eacute;">': ["https://h.com/pé"],
+        '<a data-href="/wrong" href="/right">': ["https://h.com/right"],
+        '<a title="a>b" href="/gt"><a title=\'<a href="/in">\' href=/out>': ["https://h.com/gt", "https://h.com/out"],
+        '<img alt="<a href=/not>"><a\nhref = "/line"\n>': ["https://h.com/line"],
+        '<a href="/one" href="/two"><area href="/area"><abbr href=/abbr>': ["https://h.com/two"],
+        "<a href><a href=''>x": [base],
+        '<a name="n"><b href="/not"></b><a>': [],
+        '<a href="../up/./x"><a href="./"><a href="..">': ["https://h.com/", "https://h.com/a/", "https://h.com/up/x"],
+        '<a href="https://h.com/c/../d"><a href="//h.com/e"><a href="c//d">': ["https://h.com/a/c/d", "https://h.com/c/../d", "https://h.com/e"],
+        '<a href="/p&eacute;"><a href="/r?a=1&copy=2&region=3">': ["https://h.com/p\u00e9", "https://h.com/r?a=1&copy=2&region=3"],
         '<!-- <a href="/gone"> --><a href="/here">': ["https://h.com/here"],
         '<script>x = "<a href=\\"/no\\">"; y = "<a href=/no2>"</script><a href="/yes">': ["https://h.com/yes"],
-        '<a href="next">': ["https://h.com/a/next"],
-        '<a name="n"><b href="/not"></b>': [],
         '<a href="http://[bad">x<a href=/ok>': ["https://h.com/ok"],
-        "<a href='#top'><a href='javascript:go()'>": [],
+        "<a href='#top'><a href='javascript:go()'><a href=' /space '>": ["https://h.com/space"],
+        '<a href="HTTPS://h.com/case"><a href="/empty?">': ["https://h.com/case", "https://h.com/empty"],
+        '<a href="/whole"><a href="/cut': ["https://h.com/whole"],
+        "<a href=/slash/><a/href=/after>": ["https://h.com/after", "https://h.com/slash/"],
+        "text > <a href=/x>y</a > 'quote": ["https://h.com/x"],
     }
-    rows = spark.createDataFrame([(n, base, html) for n, html in enumerate(cases)] + [(99, base, None)], "page_id long, url string, html string")
-    got = {}
-    for r in links.extract_links(rows).collect():
-        got.setdefault(r.page_id, []).append(r.link)
-    assert {n: sorted(v) for n, v in got.items()} == {n: want for n, want in enumerate(cases.values()) if want}
-    for markup, want in cases.items():
-        assert [x for x in html.page_links(base, markup) if x.startswith("https://h.com/")] == want
+    assert extracted(spark, base, list(cases)) == list(cases.values())
+    assert extracted(spark, base, [None]) == [[]]
+    rows = spark.createDataFrame([(1, base, "<a href=/a><a href='/&eacute;'>"), (2, base, "<a href=/a>"), (3, base, None)], "page_id long, url string, html string")
+    assert tuple(links.link_routes(rows).first()) == (2, 1, 3, 1)
+
+
+def test_links_equal_the_parsers_on_generated_pages(spark):
+    rng = random.Random(8)
+    values = ["/a", "b/c.html", "../d", "./e/../f?q=1&amp;r=2", "?page=2", "//h.com/g", "https://h.com/h", "https://o.com/i", "/j?k=%20l", "/&#109;", "/caf&eacute;", "/a//b", "x;y/../z", "/m,", "mailto:n@h.com", "http:o", "", "/p?q#r", "../../../s"]
+    bases = ["https://h.com/a/b/c?x=1", "https://h.com", "https://h.com/d/", "https://h.com/e;f/g"]
+
+    def quoted(value):
+        style = rng.choice(["double", "single", "bare"]) if value else "double"
+        return {"double": f'"{value}"', "single": f"'{value}'", "bare": value}[style]
+
+    def tag():
+        name = rng.choice(["a", "A", "a", "area", "p", "img"])
+        attrs = [rng.choice(["href", "HREF", "Href"]) + rng.choice(["=", " = ", "=\n"]) + quoted(rng.choice(values)) for _ in range(rng.choice([0, 1, 1, 1, 2]))]
+        attrs += rng.sample(['data-href="/wrong"', 'title="x > y"', "title='<a href=/w>'", "disabled", 'alt="it\'s"', "class=k", "href2=/v", 'x="a = b"', "hreflang=en"], rng.randrange(3))
+        rng.shuffle(attrs)
+        return f"<{name}{rng.choice([' ', chr(10), '  '])}{' '.join(attrs)}{rng.choice(['', ' ', ''])}>" + rng.choice(["text ", "</a>", "<!-- <a href=/c> -->", "<script>if (a<b) '<a href=/s>'</script>", "1 > 0 "])
+
+    for base in bases:
+        pages = ["".join(tag() for _ in range(rng.randrange(1, 12))) for _ in range(250)]
+        want = [sorted(set(by_parser(base, page))) for page in pages]
+        assert extracted(spark, base, pages) == want
 
 
 def test_link_scores(spark):
