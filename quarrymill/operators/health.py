@@ -15,18 +15,6 @@ RECENCY = ((10, 30), (60, 60), (300, 80))
 DEGRADED, UNHEALTHY = 60, 30
 
 
-def moving_average(events: DataFrame, key: str, value: str, order: list[str], rows: int) -> DataFrame:
-    """``events`` with avg_recent: the mean over the last ``rows`` of a key."""
-    recent = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - rows, 0)
-    return events.withColumn("avg_recent", F.avg(value).over(recent))
-
-
-def since_last_failure(events: DataFrame, key: str, failed: Column, order: list[str]) -> DataFrame:
-    """``events`` with last_failure: the time of the latest failure of the key so far."""
-    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("last_failure", F.max(F.when(failed, F.col(order[0]))).over(so_far))
-
-
 def health_score(success_rate: Column, avg_ms: Column, limited: Column, total: Column, idle_seconds: Column) -> Column:
     """0 to 100 from success, latency, rate limits and time since the last failure (null: none)."""
     latency = F.when(avg_ms <= IDEAL_MS, 100.0).when(avg_ms >= MAX_MS, 0.0).otherwise(100 * (1 - (avg_ms - IDEAL_MS) / (MAX_MS - IDEAL_MS)))

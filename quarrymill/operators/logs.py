@@ -61,24 +61,12 @@ def latest_batch(logs: DataFrame) -> DataFrame:
     return logs.agg(F.max_by(F.when(started.isNotNull(), started), F.when(started.isNotNull(), F.col("timestamp"))).alias("batch"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """``left`` (key, id, time) with the value of the key's latest ``right`` row at or before it.
-
-    One union sorted within the key, so each side is shuffled once; right rows come first at
-    equal times.
-    """
-    both = left.select(key, "id", time, F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"), F.lit(1).alias("_side")).unionByName(
-        right.select(key, F.lit(None).cast("long").alias("id"), time, F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    )
-    so_far = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(so_far)).where("_side = 1").select(key, "id", time, value)
-
-
 def latest_unused(asks: DataFrame, offers: DataFrame, most: int) -> DataFrame:
     """id, value of the first ``most`` asks (id, time, order): each takes the latest offer (time, value) at or
     before it whose value no earlier ask has taken, ties to the larger value; null where none is left.
 
-    This is a report on the top of a list. An ask can need no more than its ``most`` latest
+    This is a report on the top of a list, served in an order of its own; `ordered.take_latest_unused`
+    serves all asks in order of time. An ask can need no more than its ``most`` latest
     values, so what meets in one row is bounded by the square of ``most``.
     """
     first = asks.orderBy("order", "id").limit(most).select("id", "order", F.col("time").alias("until"))

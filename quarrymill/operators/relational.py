@@ -27,10 +27,17 @@ def pending_count(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return one.withColumn("pending", F.greatest(F.lit(0), F.col("total") - F.col("scraped")))
 
 
-def latest_per_key(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The first row of each key in ``order``."""
-    newest = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+def latest_per_key(rows: DataFrame, key: str, order: list[Column], salts: int = 64) -> DataFrame:
+    """The first row of each key in ``order``.
+
+    A key's rows are dealt by a salt first, so that of a hot key no task sorts more than its
+    share; the winners, at most ``salts`` of a key, meet in the end.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    for keys in ([key, "_salt"], [key]):
+        newest = Window.partitionBy(*keys).orderBy(*order)
+        salted = salted.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    return salted.drop("_salt")
 
 
 def latest_value(rows: DataFrame, key: str, by: list[str]) -> DataFrame:

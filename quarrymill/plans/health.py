@@ -1,6 +1,7 @@
 """Registered queries on provider health and limits.
 
-Sequential windows are keyed by user, so they spread with the input. Admissions, picks, waits and
+Windows over the few providers run on range partitions, so that no provider's rows meet in one
+task. Admissions, picks, waits and
 queue levels are replayed from event rows; the two-field bucket with refunds and the bounded
 cache are left out, since they are parts of a server and no data processing."""
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.operators import health as hl
+from quarrymill.operators import ordered as od
 from quarrymill.session import table
 
 RATE, BURST, TTL = 0.0002, 3.0, 3600
@@ -25,11 +27,11 @@ EV = "(SELECT user_id % 5 AS provider, user_id, event_id, ts, event_type, round(
 
 def moving_latency_50(spark: SparkSession, directory: str) -> DataFrame:
     ok = provider_events(spark, directory).where("event_type <> 'error'")
-    return hl.moving_average(ok, "user_id", "ms", ["ts", "event_id"], 50).select("event_id", F.round("avg_recent", 4).alias("avg50"))
+    return od.moving_average(ok, ["provider"], "ms", ["ts", "event_id"], 50).select("event_id", F.round("avg_recent", 4).alias("avg50"))
 
 
 def last_failures(spark: SparkSession, directory: str) -> DataFrame:
-    found = hl.since_last_failure(provider_events(spark, directory), "user_id", F.col("event_type") == "error", ["ts", "event_id"])
+    found = od.since_last(provider_events(spark, directory), ["provider"], F.col("event_type") == "error", ["ts", "event_id"], "last_failure")
     return found.select("event_id", "last_failure")
 
 
@@ -100,11 +102,11 @@ SCORE = """CAST(floor(round(40 * rate + 0.3 * CASE WHEN ms <= 3000 THEN 100 WHEN
 QUERIES = {
     "moving_latency_50": (
         moving_latency_50,
-        f"SELECT event_id, round(avg(ms) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 4) AS avg50 FROM {EV} WHERE event_type <> 'error'",
+        f"SELECT event_id, round(avg(ms) OVER (PARTITION BY provider ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 4) AS avg50 FROM {EV} WHERE event_type <> 'error'",
     ),
     "last_failures": (
         last_failures,
-        f"SELECT event_id, max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_failure FROM {EV}",
+        f"SELECT event_id, max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY provider ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_failure FROM {EV}",
     ),
     "health_scores": (
         health_scores,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.operators import logs as lg
+from quarrymill.operators import ordered as od
 from quarrymill.operators.telemetry import rank_percentiles
 from quarrymill.session import table
 
@@ -62,7 +63,7 @@ def as_of_view(spark: SparkSession, directory: str) -> DataFrame:
     events = table(spark, directory, "events")
     bought = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("id"), "ts")
     seen = events.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
-    return lg.as_of(bought, seen, "user_id", "ts", "value")
+    return od.as_of(bought, seen, "user_id", "ts", "value")
 
 
 SLOWEST = 30
@@ -76,7 +77,32 @@ def slowest_with_viewer(spark: SparkSession, directory: str) -> DataFrame:
     return lg.latest_unused(asks, views, SLOWEST).select("id", F.col("value").alias("user_id"))
 
 
+def _purchases_and_views(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, directory, "events").select((F.col("user_id") % 5).alias("provider"), F.col("event_id").alias("id"), F.col("ts").alias("time"), "event_type")
+    return events.where("event_type = 'purchase'"), events.where("event_type = 'view'")
+
+
+def latest_unused_views(spark: SparkSession, directory: str) -> DataFrame:
+    """Every purchase, in order of time, with the latest view of anyone that no earlier purchase took."""
+    return od.take_latest_unused(*_purchases_and_views(spark, directory), []).select("id", F.col("offer_id").alias("view_id"))
+
+
+def latest_unused_provider_views(spark: SparkSession, directory: str) -> DataFrame:
+    """The same within each of five providers."""
+    return od.take_latest_unused(*_purchases_and_views(spark, directory), ["provider"]).select("provider", "id", F.col("offer_id").alias("view_id"), F.col("offer_time").alias("view_ts"))
+
+
+def _unused_sql(keys: str, columns: str) -> str:
+    return f"""WITH e AS (SELECT user_id % 5 AS provider, event_id, ts, event_type = 'view' AS offer FROM events WHERE event_type IN ('view', 'purchase')),
+        s AS (SELECT *, sum(CASE WHEN offer THEN 1 ELSE -1 END) OVER ({keys} ORDER BY ts, NOT offer, event_id) - CASE WHEN offer THEN 1 ELSE 0 END AS depth FROM e),
+        m AS (SELECT *, lag(CASE WHEN offer THEN event_id END) OVER w AS view_id, lag(CASE WHEN offer THEN ts END) OVER w AS view_ts FROM s
+          WINDOW w AS (PARTITION BY {keys.replace("PARTITION BY", "").strip() or "1"}, depth ORDER BY ts, NOT offer, event_id))
+        SELECT {columns} FROM m WHERE NOT offer"""
+
+
 QUERIES = {
+    "latest_unused_views": (latest_unused_views, _unused_sql("", "event_id AS id, view_id")),
+    "latest_unused_provider_views": (latest_unused_provider_views, _unused_sql("PARTITION BY provider", "provider, event_id AS id, view_id, view_ts")),
     "log_extract": (
         log_extract,
         f"""SELECT event_id, try_cast(regexp_extract(message, '([0-9]+) páginas \\(([0-9]+) sucesso\\) em ([0-9.]+)ms', 1) AS INTEGER) AS pages, try_cast(regexp_extract(message, '([0-9]+) páginas \\(([0-9]+) sucesso\\) em ([0-9.]+)ms', 2) AS INTEGER) AS pages_ok,
