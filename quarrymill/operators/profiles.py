@@ -1,8 +1,8 @@
 """Partial profiles of a company merged into one.
 
 A partial profile is a row: company, chunk, name, tagline, description, products, services,
-emails, sources. Scores and lists merge by built-in aggregates; text fields merge by an ordered
-fold that is not associative, so a company's few texts meet in one array and fold there.
+emails, sources. Scores, lists and longest texts merge by built-in aggregates; joined texts merge
+by an ordered fold that is not associative, streamed over sorted rows.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators.folds import folded_texts
+from quarrymill.staging import staged
+
 # Characters of text worth one list entry; overlap from which texts tell the same.
 TEXT_DIVISOR, SIMILAR = 10, 0.3
 TEXTS, LISTS = ("name", "tagline", "description"), ("products", "services", "emails", "sources")
@@ -45,31 +48,30 @@ def complementary(a: Column, b: Column) -> Column:
 
 def merged_lists(profiles: DataFrame) -> DataFrame:
     """company and the sorted union of each list over its profiles; blank entries go."""
-    columns = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(c, lambda x: F.trim(x) != ""))))).alias(c) for c in LISTS]
-    return profiles.groupBy("company").agg(*columns)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("list"), F.col(c).alias("values")) for c in LISTS])).alias("_l")
+    long = profiles.select("company", each).select("company", "_l.list", F.explode_outer("_l.values").alias("_value"))
+    distinct = long.withColumn("_value", F.when(F.trim("_value") != "", F.col("_value"))).distinct()  # before any company meets
+    return distinct.groupBy("company").agg(*[F.array_sort(F.collect_list(F.when(F.col("list") == c, F.col("_value")))).alias(c) for c in LISTS])
 
 
-def tell_more(current: Column, new: Column, joined: bool) -> Column:
-    """The text that stays: the longer, or both where a joined field's texts complement each other."""
-    longer = F.when(F.char_length(new) > F.char_length(current), new).otherwise(current)
-    out = F.when(new == "", current).when(current == "", new)
-    if joined:
-        out = out.when(complementary(current, new), F.concat(F.trim(current), F.lit(". "), F.trim(new)))
-    return out.otherwise(longer)
+def in_fold_order(profiles: DataFrame) -> DataFrame:
+    """``profiles`` (company, chunk, score, ...) with rank: the company's base profile first, the others by chunk."""
+    best = profiles.groupBy("company").agg(F.max_by("chunk", F.struct("score", -F.col("chunk"))).alias("_base"))
+    return profiles.join(best, "company").withColumn("rank", F.struct((F.col("chunk") != F.col("_base")).alias("other"), "chunk")).drop("_base")
 
 
 def merged_texts(profiles: DataFrame) -> DataFrame:
     """company and its texts, folded from the most complete profile (the first of equals) over the others in order of chunks."""
-    texts = F.struct(*[F.coalesce(t, F.lit("")).alias(t) for t in TEXTS])
-    rows = scored(profiles).select("company", F.struct("chunk", "score", texts.alias("t")).alias("p"))
-    grouped = rows.groupBy("company").agg(F.array_sort(F.collect_list("p")).alias("ps"), F.max_by("p", F.struct("p.score", -F.col("p.chunk"))).alias("base"))
-    others = grouped.select("company", "base", F.filter("ps", lambda p: p["chunk"] != F.col("base.chunk")).alias("others"))
-    step = lambda acc, p: F.struct(*[tell_more(acc[t], p["t"][t], t in JOINED).alias(t) for t in TEXTS])
-    return others.select("company", F.aggregate("others", F.col("base.t"), step).alias("t")).select("company", "t.*")
+    ranked = in_fold_order(scored(profiles).select("company", "chunk", "score", *TEXTS))
+    alone = [t for t in TEXTS if t not in JOINED]
+    longest = [F.min_by(t, F.struct(-F.char_length(t), F.col("rank"))).alias(t) for t in alone]
+    merged = ranked.groupBy("company").agg(*longest).join(folded_texts(ranked, ["company"], ["rank"], list(JOINED)), "company")
+    return merged.select("company", *[F.coalesce(t, F.lit("")).alias(t) for t in TEXTS])
 
 
 def merge_profiles(profiles: DataFrame) -> DataFrame:
-    return merged_texts(profiles).join(merged_lists(profiles), "company")
+    whole = staged(profiles, "profiles")  # read for texts and for lists
+    return merged_texts(whole).join(merged_lists(whole), "company")
 
 
 def named_categories(rows: DataFrame, name: str) -> DataFrame:

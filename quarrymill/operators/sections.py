@@ -13,39 +13,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.operators.profiles import tell_more
+from quarrymill.operators.folds import folded_texts, ordered_unions
+from quarrymill.staging import staged
 
 
-def ordered_union(entries: DataFrame, keys: list[str], values: str, place: str) -> DataFrame:
-    """``keys`` and ``values``: the distinct trimmed values of their lists, in first-seen order; blanks go."""
-    each = entries.select(*keys, F.col(place).alias("_place"), F.posexplode(values).alias("_pos", "_value"))
-    each = each.withColumn("_value", F.trim("_value")).where("_value <> ''")
-    first = each.groupBy(*keys, "_value").agg(F.min(F.struct("_place", "_pos")).alias("_at"))
-    united = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_value"))).alias("_all"))
-    return united.select(*keys, F.transform("_all", lambda x: x["_value"]).alias(values))
-
-
-def _longest(text: str, place: str) -> Column:
+def longest(text: str, place: str) -> Column:
+    """The longest text of a group that is not blank, the first of equals by ``place``."""
     filled = F.when(F.coalesce(F.trim(text), F.lit("")) != "", F.col(text))
-    return F.max_by(filled, F.when(filled.isNotNull(), F.struct(F.char_length(text), -F.col(place)))).alias(text)
+    return F.min_by(filled, F.when(filled.isNotNull(), F.struct(-F.char_length(text), F.col(place)))).alias(text)
 
 
-def merged_entries(entries: DataFrame, name: str, place: str, lists: list[str], longest: list[str], joined: list[str]) -> DataFrame:
-    """One row for each company and name: ``lists`` united, ``longest`` texts (the first of equals), ``joined`` texts folded in order.
+def merged_entries(entries: DataFrame, name: str, place: str, lists: list[str], longest_of: list[str], joined: list[str]) -> DataFrame:
+    """One row for each company and name: ``lists`` united, ``longest_of`` texts (the first of equals), ``joined`` texts folded in order, and ``seen``, the first place.
 
     Entries without a name go. A text that no entry has is null, a list that none has is empty.
+    ``place`` is of any type that can be ordered. Entries are staged, so that what they come
+    from is computed once.
     """
     keys = ["company", name]
-    named = entries.where(F.coalesce(F.trim(name), F.lit("")) != "")
-    texts = F.struct(place, *[F.coalesce(t, F.lit("")).alias(t) for t in joined])
-    grouped = named.groupBy(*keys).agg(*[_longest(t, place) for t in longest], F.array_sort(F.collect_list(texts)).alias("_texts"))
-    step = lambda acc, x: F.struct(*[tell_more(acc[t], x[t], True).alias(t) for t in joined])
-    start = F.struct(*[F.lit("").alias(t) for t in joined])
-    folded = grouped.withColumn("_folded", F.aggregate("_texts", start, step)) if joined else grouped
-    flat = folded.select(*keys, *longest, *[F.nullif(F.col(f"_folded.{t}"), F.lit("")).alias(t) for t in joined])
+    named = staged(entries.where(F.coalesce(F.trim(name), F.lit("")) != ""), "entries")
+    full = named.groupBy(*keys).agg(*[longest(t, place) for t in longest_of], F.min(place).alias("seen"))
+    if joined:
+        full = full.join(folded_texts(named, keys, [place], joined), keys)
+    if lists:
+        full = full.join(ordered_unions(named, keys, lists, place), keys, "left")
     empty = F.array().cast("array<string>")
-    unions = [ordered_union(named, keys, values, place) for values in lists]
-    full = reduce(lambda a, b: a.join(b, keys, "left"), unions, flat)
     return full.withColumns({values: F.coalesce(values, empty) for values in lists})
 
 

@@ -15,10 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 @cache
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from quarrymill.plans import chunks, discovery, documents, extract, facts, health, ladders, links, logs, relational, sections, sinks, streams, telemetry
+    from quarrymill.plans import bundles, chunks, discovery, documents, extract, facts, health, ladders, links, logs, relational, sections, sinks, streams, telemetry
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (links, relational, telemetry, documents, discovery, facts, sections, health, logs, chunks, streams, sinks, extract, ladders):
+    for module in (links, relational, telemetry, documents, discovery, facts, sections, bundles, health, logs, chunks, streams, sinks, extract, ladders):
         clash = found.keys() & module.QUERIES.keys()
         if clash:
             raise ValueError(f"registered twice: {sorted(clash)}")

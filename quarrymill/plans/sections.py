@@ -38,7 +38,7 @@ def merged_services(spark: SparkSession, directory: str) -> DataFrame:
         F.when(F.col("place") % 3 != 0, F.col("p_brand")).alias("ideal_client_profile"), F.array("p_brand", F.lit("")).alias("deliverables"),
     )
     merged = sc.merged_entries(entries, "name", "place", ["deliverables"], ["ideal_client_profile"], ["description", "methodology"])
-    return merged.withColumn("deliverables", F.array_join("deliverables", "|"))
+    return merged.withColumn("deliverables", F.array_join("deliverables", "|")).drop("seen")
 
 
 def merged_cases(spark: SparkSession, directory: str) -> DataFrame:
@@ -46,7 +46,7 @@ def merged_cases(spark: SparkSession, directory: str) -> DataFrame:
     entries = _supplied(spark, directory).select(
         "company", "place", F.col("p_brand").alias("title"), F.col("p_name").alias("challenge"), F.when(F.col("place") % 2 == 0, F.col("p_type")).alias("outcome"), F.concat_ws(" ", "p_type", "p_name").alias("client_name")
     )
-    return sc.merged_entries(entries, "title", "place", [], ["challenge", "outcome", "client_name"], [])
+    return sc.merged_entries(entries, "title", "place", [], ["challenge", "outcome", "client_name"], []).drop("seen")
 
 
 def section_fill_rates(spark: SparkSession, directory: str) -> DataFrame:
