@@ -6,7 +6,7 @@ for each kind takes whatever value is there and gives the field's type; nothing
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,29 +19,30 @@ UNTITLED, TITLE_CHARS = "Estudo de Caso (Sem Título)", 50
 Rewriter = Callable[[Column], Column]
 
 
-def _is(value: Column, kind: str) -> Column:
-    """Whether a variant is an OBJECT, ARRAY or STRING; false for none and for null."""
-    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+def parts(value: Column, fields: Iterable[str]) -> Column:
+    """An object's fields as a struct of variants, in one step; null for anything else."""
+    return F.try_variant_get(value, "$", f"struct<{', '.join(f'{field}: variant' for field in fields)}>")
 
 
-def at(value: Column, field: str) -> Column:
-    """A field of an object as a variant; null where there is none or ``value`` is no object."""
-    return F.try_variant_get(value, f"$.{field}", "variant")
+def elements(value: Column) -> Column:
+    """The elements of a list as variants; null for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def items(value: Column) -> Column:
-    """The elements of a list as variants; empty for anything else."""
-    return F.coalesce(F.when(_is(value, "ARRAY"), F.try_variant_get(value, "$", "array<variant>")), F.expr("array()").cast("array<variant>"))
+    """As `elements`; empty for anything else."""
+    return F.coalesce(elements(value), F.array().cast("array<variant>"))
 
 
 def string(value: Column) -> Column:
     """The text of a string; null for anything else."""
-    return F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def text(value: Column) -> Column:
     """A scalar as text; null for none, blank text, lists and objects."""
-    plain = F.when(~_is(value, "ARRAY") & ~_is(value, "OBJECT"), F.try_variant_get(value, "$", "string"))
+    kind = F.substring(F.schema_of_variant(value), 1, 5)
+    plain = F.when((kind != "ARRAY") & (kind != "OBJEC"), F.try_variant_get(value, "$", "string"))
     return F.when(F.trim(plain) != "", plain)
 
 
@@ -57,13 +58,15 @@ def texts(value: Column) -> Column:
 
 def texts_or_one(value: Column) -> Column:
     """As `texts`; one string is a list of one."""
-    return F.when(_is(value, "STRING"), stripped(F.array(string(value)))).otherwise(texts(value))
+    return F.when(elements(value).isNull(), stripped(F.array(string(value)))).otherwise(texts(value))
 
 
 def names(value: Column) -> Column:
     """As `texts_or_one`; an object in the list stands for the first of its fields that may name it."""
-    name = lambda x: F.coalesce(string(x), F.coalesce(*[F.when(F.trim(string(at(x, f))) != "", string(at(x, f))) for f in NAMING_FIELDS]))
-    return F.when(_is(value, "STRING"), stripped(F.array(string(value)))).otherwise(stripped(F.transform(items(value), name)))
+    both = F.transform(items(value), lambda x: F.struct(string(x).alias("own"), parts(x, NAMING_FIELDS).alias("of")))
+    told = F.transform(both, lambda x: F.concat(F.array(x["own"]), F.array(*[string(x["of"][f]) for f in NAMING_FIELDS])))
+    names = F.transform(told, lambda x: F.get(F.filter(x, lambda name: F.trim(name) != ""), 0))
+    return F.when(elements(value).isNull(), stripped(F.array(string(value)))).otherwise(stripped(names))
 
 
 def first_url(mark: Callable[[Column], Column]) -> Rewriter:
@@ -71,7 +74,7 @@ def first_url(mark: Callable[[Column], Column]) -> Rewriter:
 
     def rewrite(value: Column) -> Column:
         some = F.filter(F.transform(items(value), string), lambda x: F.coalesce((F.trim(x) != "") & mark(x), F.lit(False)))
-        one = F.trim(F.when(_is(value, "ARRAY"), F.get(some, 0)).otherwise(string(value)))
+        one = F.trim(F.when(elements(value).isNotNull(), F.get(some, 0)).otherwise(string(value)))
         return F.when(one != "", one)
 
     return rewrite
@@ -79,13 +82,18 @@ def first_url(mark: Callable[[Column], Column]) -> Rewriter:
 
 def address(value: Column) -> Column:
     """A string, or the first element of a list as text."""
-    return F.when(_is(value, "ARRAY"), text(F.get(items(value), 0))).otherwise(string(value))
+    return F.when(elements(value).isNotNull(), text(F.get(elements(value), 0))).otherwise(string(value))
 
 
 def objects(fields: dict[str, Rewriter], keep: str) -> Rewriter:
     """The objects of a list whose field ``keep`` is not null once rewritten."""
-    shaped = lambda x: F.struct(*[rewrite(at(x, f)).alias(f) for f, rewrite in fields.items()])
-    return lambda value: F.filter(F.transform(F.filter(items(value), lambda x: _is(x, "OBJECT")), shaped), lambda x: x[keep].isNotNull())
+    shaped = lambda x: F.struct(*[rewrite(x[f]).alias(f) for f, rewrite in fields.items()])
+
+    def rewrite(value: Column) -> Column:
+        taken = F.filter(F.transform(items(value), lambda x: parts(x, fields)), lambda x: x.isNotNull())
+        return F.filter(F.transform(taken, shaped), lambda x: x[keep].isNotNull())
+
+    return rewrite
 
 
 def named(value: Column) -> Column:
@@ -139,9 +147,13 @@ def normal_profiles(answers: DataFrame, body: str) -> DataFrame:
     """
     whole = F.try_parse_json(body)
     rest = [c for c in answers.columns if c != body]
-    rows = answers.select(*rest, F.when(_is(whole, "ARRAY"), F.get(items(whole), 0)).otherwise(whole).alias("_answer"))
-    section = {name: F.struct(*[rewrite(at(at(F.col("_answer"), name), f)).alias(f) for f, rewrite in fields.items()]) for name, fields in PROFILE.items()}
-    return rows.select(*rest, *[struct.alias(name) for name, struct in section.items()], texts(at(F.col("_answer"), "sources")).alias("sources"))
+    parsed = answers.select(*rest, whole.alias("_whole"))
+    one = parsed.select(*rest, F.when(elements(F.col("_whole")).isNotNull(), F.get(elements(F.col("_whole")), 0)).otherwise(F.col("_whole")).alias("_answer"))
+    # Each step is a projection of its own, so that an object is taken apart once and not for each of its fields.
+    whole = one.select(*rest, parts(F.col("_answer"), SECTIONS).alias("_parts"))
+    taken = whole.select(*rest, *[parts(F.col(f"_parts.{name}"), kinds).alias(f"_{name}") for name, kinds in PROFILE.items()], texts(F.col("_parts.sources")).alias("sources"))
+    sections = [F.struct(*[rewrite(F.col(f"_{name}.{f}")).alias(f) for f, rewrite in kinds.items()]).alias(name) for name, kinds in PROFILE.items()]
+    return taken.select(*rest, *sections, "sources")
 
 
 def profile_json(profiles: DataFrame) -> Column:
