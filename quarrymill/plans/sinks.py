@@ -1,4 +1,4 @@
-"""Registered queries on sources and sinks: each writes to the shared folder and gives what is read back."""
+"""Registered queries on sources and sinks: each writes to the shared folder and gives what is read back."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions.text import EFFECTIVE_MAX_TOKENS
 from quarrymill.operators import logs as lg
 from quarrymill.session import table
-from quarrymill.sources import files
+from quarrymill.sources import files, versions
 from quarrymill.staging import shared_folder
 from quarrymill.streaming import events as st
 
@@ -82,9 +82,55 @@ def decoded_pages(spark: SparkSession, directory: str) -> DataFrame:
     return files.decoded(rows, "body", "content_type", "html").select("page_id", F.md5("html").alias("html_md5"))
 
 
+def versioned_upsert(spark: SparkSession, directory: str) -> DataFrame:
+    """Orders kept in buckets: two thirds at first, then every fiftieth again or anew, by version."""
+    orders = table(spark, directory, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    kept = versions.VersionedTable(spark, _folder(spark, "orders"), "o_orderkey", orders.schema, buckets=16)
+    kept.upsert(orders.where("o_orderkey % 3 < 2"))
+    kept.upsert(orders.where("o_orderkey % 50 = 0").withColumn("o_totalprice", -F.col("o_totalprice")))
+    return kept.read(0).withColumn("version", F.lit(0)).unionByName(kept.read().withColumn("version", F.lit(1)))
+
+
+def versioned_refresh(spark: SparkSession, directory: str) -> DataFrame:
+    """Part names as children of brands; brands whose new names are all blank keep the old ones."""
+    parts = table(spark, directory, "part").select("p_brand", "p_name", "p_partkey")
+    children = parts.where("p_partkey % 2 = 0").select("p_brand", "p_name").distinct()
+    kept = versions.VersionedTable(spark, _folder(spark, "children"), "p_brand", children.schema, buckets=8)
+    kept.refresh(children, "p_name")
+    name = F.when(F.col("p_brand").endswith("1"), " ").otherwise(F.concat(F.lit(" new "), "p_type"))
+    kept.refresh(table(spark, directory, "part").where("p_partkey % 5 = 0").select("p_brand", name.alias("p_name")).distinct(), "p_name")
+    return kept.read()
+
+
+def lasting_ids(spark: SparkSession, directory: str) -> DataFrame:
+    """Events appended in two jobs, with ids that stay: how many, from which to which."""
+    path, rows = _folder(spark, "lasting-ids"), table(spark, directory, "events").select("event_id", "event_type")
+    for part in ("event_type = 'error'", "event_type <> 'error'"):
+        versions.append_with_ids(rows.where(part).repartition(5), path)
+    kept = versions.read_with_ids(spark, path, rows.schema)
+    return kept.groupBy((F.col("event_type") == "error").alias("first")).agg(
+        F.count("*").alias("n"), F.countDistinct("row_id").alias("ids"), F.min("row_id").alias("least"), F.max("row_id").alias("most"), F.sum("event_id").alias("events")
+    )
+
+
 DOCS = "(SELECT source AS key, doc_id, coalesce(text, '') AS t FROM documents)"
 
 QUERIES = {
+    "versioned_upsert": (
+        versioned_upsert,
+        """SELECT o_orderkey, o_orderstatus, o_totalprice, 0 AS version FROM orders WHERE o_orderkey % 3 < 2
+        UNION ALL SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 50 = 0 THEN -o_totalprice ELSE o_totalprice END, 1 FROM orders WHERE o_orderkey % 3 < 2 OR o_orderkey % 50 = 0""",
+    ),
+    "versioned_refresh": (
+        versioned_refresh,
+        """WITH fresh AS (SELECT DISTINCT p_brand, 'new ' || p_type AS p_name FROM part WHERE p_partkey % 5 = 0 AND NOT suffix(p_brand, '1'))
+        SELECT DISTINCT p_brand, p_name FROM part WHERE p_partkey % 2 = 0 AND p_brand NOT IN (SELECT p_brand FROM fresh) UNION ALL SELECT * FROM fresh""",
+    ),
+    "lasting_ids": (
+        lasting_ids,
+        """WITH n AS (SELECT event_type = 'error' AS first, count(*) AS n, sum(event_id)::BIGINT AS events FROM events GROUP BY 1)
+        SELECT first, n, n AS ids, CASE WHEN first THEN 0 ELSE (SELECT n FROM n WHERE first) END::BIGINT AS least, (CASE WHEN first THEN n ELSE (SELECT sum(n) FROM n) END - 1)::BIGINT AS most, events FROM n""",
+    ),
     "chunk_sink": (
         chunk_sink,
         f"SELECT row_number() OVER (ORDER BY key, doc_id) - 1 AS row_id, key, doc_id AS discovery_id, (length(t) // 3)::INTEGER AS token_count, CASE WHEN trim(t) = '' THEN 'empty' END AS error FROM {DOCS}",
