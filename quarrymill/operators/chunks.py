@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import CHARS_PER_TOKEN, EFFECTIVE_MAX_TOKENS, token_estimate
+from quarrymill.operators.text_lines import preprocess
 
 # Page markers, separator, shortest useful chunk, urls kept of a chunk, hard limit.
 START, END, JOINER = "--- PAGE START: ", "--- PAGE END ---", "\n\n"
@@ -122,6 +123,43 @@ def chunk_pages(pages: DataFrame, site: str, max_tokens: int = EFFECTIVE_MAX_TOK
     return shaped.select(site, "chunk_index", "total_chunks", "content", token_estimate(F.col("content")).alias("tokens"), "page_source")
 
 
+def validated_chunks(chunks: DataFrame, site: str, max_tokens: int = EFFECTIVE_MAX_TOKENS) -> DataFrame:
+    """site, chunk_index, total_chunks, content, tokens, page_source, issues: chunks over the limit split, all numbered anew.
+
+    Chunks may come from anywhere. Good ones stay in the JVM; one over the limit becomes several
+    with its sources, of which blank ones go, and nothing else is lost. Indices count on over
+    the pieces of earlier chunks of the site. ``issues`` is what is still wrong, such as a chunk
+    too short.
+    """
+    names = [site, "chunk_index", "part", "content", "page_source"]
+    sized = chunks.select(site, "chunk_index", F.lit(0).alias("part"), F.coalesce("content", F.lit("")).alias("content"), "page_source")
+    is_over = token_estimate(F.col("content")) > max_tokens
+    kinds = dict(sized.dtypes)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = [[p for p in split_text(text, max_tokens * CHARS_PER_TOKEN) if p.strip()] for text in batch.column(3).to_pylist()]
+            rows = pa.array([row for row, found in enumerate(pieces) for _ in found], pa.int64())
+            part = pa.array([n for found in pieces for n in range(len(found))], pa.int32())
+            text = pa.array([p for found in pieces for p in found], pa.string())
+            taken = [batch.column(c).take(rows) for c in (0, 1, 4)]
+            yield pa.RecordBatch.from_arrays([*taken[:2], part, text, taken[2]], names)
+
+    cut = sized.where(is_over).mapInArrow(split, ", ".join(f"{name} {kinds[name]}" for name in names))
+    whole = sized.where(~is_over).unionByName(cut)
+    of_site = Window.partitionBy(site)  # a site is one crawl
+    numbered = whole.withColumn("total_chunks", F.count("*").over(of_site).cast("int")).withColumn("chunk_index", F.row_number().over(of_site.orderBy("chunk_index", "part")))
+    tokens = token_estimate(F.col("content"))
+    return numbered.select(site, "chunk_index", "total_chunks", "content", tokens.alias("tokens"), "page_source", chunk_issues(tokens, F.col("content")).alias("issues"))
+
+
+def process_content(docs: DataFrame, site: str, max_tokens: int = EFFECTIVE_MAX_TOKENS) -> DataFrame:
+    """From the raw marked text of each site (site, text) to valid chunks: repeated lines and loose white space go, pages are packed, chunks validated."""
+    clean = preprocess(docs.select(F.col(site).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).select(F.col("doc_id").alias(site), "text")
+    pages = split_marked(clean, site).withColumnRenamed("page", "text")
+    return validated_chunks(chunk_pages(pages, site, max_tokens), site, max_tokens)
+
+
 def chunk_issues(tokens: Column, content: Column) -> Column:
     """What is wrong with a chunk, comma-joined; empty for a good one."""
     stripped = F.trim(F.coalesce(content, F.lit("")))

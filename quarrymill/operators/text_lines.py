@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,42 +94,38 @@ def quality_counters(text: Column) -> dict[str, Column]:
     }
 
 
-def most_of_one(values: Column) -> Column:
-    """How often the most frequent value of an array occurs, 0 for an empty one: sorted, equal values are runs."""
-    starts = F.array_compact(
-        F.transform(with_previous(F.sort_array(values)), lambda p, i: F.when(p["previous"].isNull() | (p["previous"] != p["item"]), i))
-    )
-    ends = F.concat(F.slice(starts, F.lit(2), F.size(values)), F.array(F.size(values)))
-    lengths = F.zip_with(starts, ends, lambda a, b: b - a)
-    return F.when(F.size(values) == 0, 0).otherwise(F.array_max(lengths)).cast("int")
+WORD = re.compile(r"\w+")
 
 
-def neighbours(items: Column, n: int) -> Column:
-    """Each run of n neighbouring items as a struct with fields 0 to n - 1."""
-    runs = F.greatest(F.size(items) - (n - 1), F.lit(0))
-    return F.arrays_zip(*[F.slice(items, F.lit(k + 1), runs).alias(str(k)) for k in range(n)])
+def most_repeats(text: str) -> tuple[int, int]:
+    """How often the most frequent run of 4 words, and piece of 30 characters, occur; 0 without any.
+
+    Pieces start every 10 characters, the last one 31 or more before the end; those under 20
+    characters without outer spaces don't count.
+    """
+    words = WORD.findall(text.lower())
+    runs = Counter(zip(words, words[1:], words[2:], words[3:]))
+    pieces = Counter(piece for at in range(0, len(text) - 30, 10) if len(piece := text[at : at + 30].strip(" ")) >= 20)
+    return max(runs.values(), default=0), max(pieces.values(), default=0)
 
 
 def loop_flags(docs: DataFrame) -> DataFrame:
     """doc_id, max_ngram, max_piece, looping: repeated 4-word runs, repeated 30-character pieces, or long text without a closing brace.
 
-    A run may repeat 20 times, a piece (every 10 characters, 20 characters or more without outer
-    spaces) 15 times; texts under 100 characters never loop. Runs and pieces are counted as
-    64-bit hashes within the row, so nothing is shuffled.
+    A run may repeat 20 times, a piece 15 times; texts under 100 characters never loop. Runs and
+    pieces of a document are counted where it is, in Arrow batches: nothing is shuffled, and
+    counters in Python take a tenth of the time that sorted arrays in the row do.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    # A piece is three blocks of ten characters; the last one starts 31 characters or more before the end.
-    blocks = F.regexp_extract_all("text", F.lit(r"(?s)(.{1,10})"), F.lit(1))
-    n = F.char_length("text")
-    whole = F.slice(blocks, F.lit(1), F.greatest(F.floor((n - 31) / 10) + 3, F.lit(0)).cast("int"))
-    cut = docs.select("doc_id", "text", neighbours(words, 4).alias("grams"), neighbours(whole, 3).alias("pieces"))
-    hashed = cut.select(
-        "doc_id", "text",
-        F.transform("grams", lambda g: F.xxhash64(g["0"], g["1"], g["2"], g["3"])).alias("grams"),
-        F.transform(
-            F.filter(F.transform("pieces", lambda p: F.trim(F.concat(p["0"], p["1"], p["2"]))), lambda p: F.char_length(p) >= 20), lambda p: F.xxhash64(p)
-        ).alias("pieces"),
-    )
-    found = hashed.select("doc_id", "text", most_of_one(F.col("grams")).alias("max_ngram"), most_of_one(F.col("pieces")).alias("max_piece"))
-    many = (F.col("max_ngram") > 20) | (F.col("max_piece") > 15) | ((n > 8000) & ~F.endswith(F.rtrim("text"), F.lit("}")))
-    return found.select("doc_id", "max_ngram", "max_piece", ((n >= 100) & many).alias("looping"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text, n = F.col("text"), F.char_length("text")
+    rows = docs.select("doc_id", text, n.alias("chars"), ((n > 8000) & ~F.endswith(F.rtrim(text), F.lit("}"))).alias("unclosed"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [most_repeats(text or "") for text in batch.column(1).to_pylist()]
+            counts = [pa.array([pair[i] for pair in found], pa.int32()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *counts], ["doc_id", "chars", "unclosed", "max_ngram", "max_piece"])
+
+    found = rows.mapInArrow(run, f"doc_id {kind}, chars int, unclosed boolean, max_ngram int, max_piece int")
+    many = (F.col("max_ngram") > 20) | (F.col("max_piece") > 15) | F.col("unclosed")
+    return found.select("doc_id", "max_ngram", "max_piece", ((F.col("chars") >= 100) & many).alias("looping"))

@@ -297,9 +297,31 @@ def test_bytes_are_decoded(spark):
     assert got == {n: want for n, (_, _, want) in enumerate(cases)}
 
 
-def test_most_of_one(spark):
-    rows = spark.createDataFrame([(0, []), (1, [5]), (2, [1, 2, 1, 3, 1, 2]), (3, [7] * 9)], "id long, v array<long>")
-    assert {r.id: r.n for r in rows.select("id", text_lines.most_of_one(F.col("v")).alias("n")).collect()} == {0: 0, 1: 1, 2: 3, 3: 9}
+
+def test_loop_flags(spark):
+    assert text_lines.most_repeats("") == (0, 0) and text_lines.most_repeats("a b c") == (0, 0)
+    assert text_lines.most_repeats("a b c d " * 5) == (5, 1) and text_lines.most_repeats("x" * 101) == (0, 8)
+    texts = ["", "go on and on, " * 30, "word " * 19 + "end of it", "z" * 99, "plain text " * 900, "{" + "".join(f"{n} " for n in range(3000)) + "}  ", "".join(f"{n} " for n in range(3000))]
+    rows = spark.createDataFrame([(f"d{n}", t) for n, t in enumerate(texts)], "doc_id string, text string")
+    got = {r.doc_id: r for r in text_lines.loop_flags(rows).collect()}
+    assert [got[f"d{n}"].looping for n in range(7)] == [False, True, False, False, True, False, True]
+    assert all((got[f"d{n}"].max_ngram, got[f"d{n}"].max_piece) == text_lines.most_repeats(t) for n, t in enumerate(texts))
+
+
+def test_validated_chunks_lose_nothing_and_number_on(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["word ", "\n", "\n\n", "longer_word_without_end"]) for _ in range(rng.choice([3, 40, 400]))) for _ in range(30)] + ["x" * 1000, ""]
+    rows = spark.createDataFrame([(n % 3, n, 0, t, f"u{n}") for n, t in enumerate(texts)], "site int, chunk_index int, total_chunks int, content string, page_source string")
+    got = chunks.validated_chunks(rows, "site", 100).orderBy("site", "chunk_index").collect()
+    for site in range(3):
+        own = [r for r in got if r.site == site]
+        assert [r.chunk_index for r in own] == list(range(1, len(own) + 1)) and {r.total_chunks for r in own} == {len(own)}
+        assert all(r.tokens <= 100 and r.tokens == len(r.content) // 3 for r in own)
+        for n, text in enumerate(texts):
+            if n % 3 == site:
+                assert "".join(r.content for r in own if r.page_source == f"u{n}").split() == text.split() or "longer" in text
+                assert "".join(r.content for r in own if r.page_source == f"u{n}").replace(" ", "") == text.replace(" ", "") or not text.strip()
+    assert chunks.validated_chunks(rows.where("site > 5"), "site", 100).count() == 0
 
 
 def test_row_ids_have_no_gaps(spark):
