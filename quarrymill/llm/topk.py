@@ -23,10 +23,19 @@ from quarrymill.llm.common import staged
 VECTOR_ROWS, QUERY_ROWS, SHARD_BLOCKS, FIRST_DEPTH = 4096, 65_536, 8, 16
 
 
+#: Components must be smaller than this once scaled, so that they are exact as long integers.
+LIMIT = float(1 << 63)
+
+
 def to_integers(vector: Column, scale: int) -> Column:
-    """Each component as floor(scale * x); null if the vector or a component is null, NaN or infinite."""
+    """Each component as floor(scale * x); null if the vector or a component is null, NaN or infinite.
+
+    A finite component that passes a long integer stops the job rather than being cut to its bounds.
+    """
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
+    scaled = lambda x: F.lit(scale) * x.cast("double")
+    whole = lambda x: F.when(F.abs(scaled(x)) < LIMIT, F.floor(scaled(x)).cast("long")).otherwise(F.raise_error(F.lit("a scaled component passes a long integer")).cast("long"))
+    return F.when(vector.isNotNull() & ~bad, F.transform(vector, whole))
 
 
 #: No ids and no scores yet.
@@ -38,8 +47,8 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray):
         self.ids, self.vectors, self.sorted = ids, vectors, order  # order: for each dimension its rows by component
-        self.most = int(np.abs(vectors).max(initial=0))
         self.doubles = self.vectors.astype(np.float64)
+        self.most = float(np.abs(self.doubles).max(initial=0))
         self.values = np.ascontiguousarray(np.take_along_axis(self.vectors.T, self.sorted, axis=1))
 
     @classmethod
@@ -56,14 +65,29 @@ class Lists:
         n = len(ids) // 8
         return cls(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(n, -1), np.frombuffer(order, np.uint16).reshape(-1, n))
 
+    def bound(self, query: np.ndarray) -> float:
+        """What no sum in a score can pass, rounded up."""
+        return self.most * float(np.abs(query.astype(np.float64)).sum()) * (1 + 1e-9)
+
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Inner products; in doubles, which are exact up to 2^53, wherever no sum can pass that."""
-        if self.most * int(np.abs(query).sum()) < 1 << 53:
+        if self.bound(query) < 1 << 53:
             return (self.doubles[rows] @ query.astype(np.float64)).astype(np.int64)
         return self.vectors[rows] @ query
 
+    def top_of_large(self, own: int, query: np.ndarray, k: int, before: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """As `top`, by Python's integers over all rows, where sums may pass a long integer."""
+        found = self.vectors.astype(object) @ query.astype(object)
+        rows = [(-score, vec_id) for score, vec_id in zip(found, self.ids.tolist()) if vec_id != own]
+        best = sorted([*rows, *((-int(score), vec_id) for vec_id, score in zip(*(part.tolist() for part in before), strict=True))])[:k]
+        if any(not -LIMIT <= -score < LIMIT for score, _ in best):
+            raise OverflowError(f"a score of query {own} passes a long integer")
+        return np.array([vec_id for _, vec_id in best], np.int64), np.array([-score for score, _ in best], np.int64)
+
     def top(self, own: int, query: np.ndarray, k: int, before: tuple[np.ndarray, np.ndarray] = NONE) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best of this block and ``before``, ties to smaller ids; never the id ``own``."""
+        if self.bound(query) >= LIMIT:
+            return self.top_of_large(own, query, k, before)
         n = len(self.ids)
         best, scores = before
         if not query.any():  # every row scores 0: the lists say nothing, the smallest ids win
@@ -124,7 +148,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256) -> D
     its own id; ties go to the smaller vec_id. Vectors that are null or hold null or non-finite
     components, and rows without id, take no part; a query meets only vectors of its own length,
     and empty vectors none. Repeated vector rows count once per (id, vector), repeated queries
-    likewise. Empty tables give an empty result. Other columns are left out.
+    likewise. Empty tables give an empty result. Other columns are left out. Sums that may pass
+    a long integer are taken in Python's integers; a component or one of the k best scores of a
+    block that does pass one stops the job with an error.
 
     A task holds a shard of SHARD_BLOCKS blocks or fewer and QUERY_ROWS queries. Vectors are read
     once for each block of queries, queries once for each shard.

@@ -65,3 +65,20 @@ def test_stops_early_with_right_result(monkeypatch):
     later = Lists.of(np.arange(5000, 9000), rng.integers(-5, 6, (4000, 3)))
     scored.clear()
     assert later.top(-1, np.array([1, 2, 3]), 1, (ids, scores)) == (ids, scores) and not scored  # the bound came from the block before
+
+
+def test_large_components_are_exact_or_an_error(spark):
+    schema = "vec_id long, embedding array<double>"
+    big = 2.0**54  # times 256 it passes no long integer, but sums of products do unless they cancel
+    rows = [(1, [big, 1.0]), (2, [2.0**-8, 3.0]), (3, [-(2.0**-8), -5.0]), (4, [0.0, 2.0**40])]
+    table = spark.createDataFrame(rows, schema)
+    asked = table.where("vec_id = 1").withColumnRenamed("vec_id", "query_id")
+    got = [(r["rank"], r.vec_id, r.score) for r in top_k(table, asked, 5).orderBy("rank").collect()]
+    ints = {n: [int(256 * x // 1) for x in v] for n, v in rows}
+    score = lambda n: sum(a * b for a, b in zip(ints[1], ints[n]))
+    want = sorted([(-score(n), n) for n in (2, 3, 4)])
+    assert got == [(rank + 1, n, -s) for rank, (s, n) in enumerate(want)]
+    for vectors in ([[1e17, 1.0], [1e17, 2.0]], [[2.0**54, 1.0], [2.0**54, 2.0]]):
+        wrong = spark.createDataFrame(list(enumerate(vectors)), schema)
+        with pytest.raises(Exception, match="long integer"):
+            top_k(wrong, wrong.withColumnRenamed("vec_id", "query_id"), 1).collect()
