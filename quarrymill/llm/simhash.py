@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
         found = pa.array([fingerprint(text, words_each) for text in batch.column(1).to_pylist()], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(by_slices(work), "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(by_slices(work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> list[int]:
@@ -334,16 +334,19 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFra
 
     Null or empty text has fingerprint 0 and links like any other. Rows without doc_id get a
     null component and link nothing. Repeated rows share a component. Texts have no length
-    limit; an empty table gives an empty result. Other columns are left out, so clashing names
-    do no harm.
+    limit; an empty table gives an empty result. Ids are of any type that has an order. Other
+    columns are left out, so clashing names do no harm.
     """
     prints = staged(fingerprints(docs, words_each), "fingerprints")
-    reps = staged(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    labels = staged(components(link_edges(reps)), "components")
-    named = reps.join(labels, F.col("rep") == F.col("node"), "left")
-    named = staged(named.select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component")), "classes")
+    # Fingerprints are the nodes, so that ids may be of any type that has an order.
+    least = staged(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")), "least-ids")
+    labels = staged(components(link_edges(least.select("fp", F.col("fp").alias("rep")))), "components")
+    rooted = least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
+    rooted = staged(rooted, "roots")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
+    named = staged(rooted.join(smallest, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id"), "classes")
     joined = prints.join(named, F.col("fp") == F.col("_fp"), "left")
-    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def hex_fingerprint(fp: Column) -> Column:

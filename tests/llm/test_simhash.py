@@ -145,3 +145,9 @@ def test_empty_table_and_clashing_columns(docs_of):
     assert near_duplicates(docs_of([])).count() == 0
     clash = docs_of([(1, "a b c d"), (2, "a b c d")]).selectExpr("*", "1 AS fp", "2 AS component_id", "3 AS rep")
     assert {r.component_id for r in near_duplicates(clash).collect()} == {1}
+
+
+def test_ids_of_other_types(spark):
+    same, other = "one two three four five six", "quite another text with words of its own"
+    rows = spark.createDataFrame([("b", same), ("a", same), ("c", other), (None, same), ("d", None)], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(rows).collect()} == {("b", "a"), ("a", "a"), ("c", "c"), (None, None), ("d", "d")}
