@@ -59,30 +59,29 @@ def repeated_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataF
     return local.where("later").select(columns).unionByName(firsts.where(F.col("doc_id") > F.col("first")).select(columns))
 
 
-def _between(dropped: Column, n_lines: Column, make: Callable[[Column, Column], Column]) -> Column:
-    """``make`` of each dropped position and the next one, with -1 before the first and n_lines after the last; linear."""
-    return F.zip_with(F.concat(F.array(F.lit(-1)), dropped), F.concat(dropped, F.array(n_lines)), make)
+RUNS = "array<struct<start: int, length: int>>"
 
 
-def kept_runs(dropped: Column, n_lines: Column) -> Column:
-    """Run-length form of the keep bitmap: (start, length) of each run of kept lines."""
-    gaps = _between(dropped, n_lines, lambda a, b: F.struct((a + 1).alias("start"), (b - a - 1).alias("length")))
-    return F.filter(gaps, lambda run: run["length"] > 0)
+def runs_of(positions: Column) -> Column:
+    """Sorted distinct positions as runs (start, length) of neighbours."""
+    before = F.concat(F.array(F.lit(-2)), F.slice(positions, F.lit(1), F.size(positions) - 1))
+    after = F.concat(F.slice(positions, F.lit(2), F.size(positions)), F.array(F.lit(-2)))
+    starts = F.array_compact(F.zip_with(positions, before, lambda at, last: F.when(at != last + 1, at)))
+    ends = F.array_compact(F.zip_with(positions, after, lambda at, following: F.when(following != at + 1, at)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length")))
 
 
-def kept_lines(lines: Column, dropped: Column, n_lines: Column) -> Column:
-    """The lines that are not dropped, joined. Each line meets its flag, and the join leaves out nulls."""
-    keep = F.flatten(_between(dropped, n_lines, lambda a, b: F.concat(F.array_repeat(F.lit(True), b - a - 1), F.array(F.lit(False)))))
-    return F.array_join(F.zip_with(lines, keep, lambda line, kept: F.when(kept, line)), "\n")
+def runs_between(runs: Column, n_lines: Column) -> Column:
+    """The runs of lines that ``runs`` leave: the one form of a keep bitmap from the other."""
+    edge = lambda at: F.array(F.struct(at.alias("start"), F.lit(0).alias("length")))
+    gap = lambda a, b: F.struct((a["start"] + a["length"]).alias("start"), (b["start"] - a["start"] - a["length"]).alias("length"))
+    return F.filter(F.zip_with(F.concat(edge(F.lit(0)), runs), F.concat(runs, edge(n_lines)), gap), lambda run: run["length"] > 0)
 
 
 def keep_bitmaps(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
-    """Documents that lose lines: doc_id, version, dropped (sorted positions from 0).
-
-    ``kept_runs`` turns ``dropped`` into the run-length bitmap once the number of lines is known.
-    """
-    lost = repeated_lines(docs, min_key_chars)
-    return lost.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    """Documents that lose lines: doc_id, version, drop_runs, the run-length form of the bitmap of their dropped lines."""
+    lost = repeated_lines(docs, min_key_chars).groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("pos")).alias("_dropped"))
+    return lost.select("doc_id", "version", runs_of(F.col("_dropped")).alias("drop_runs"))
 
 
 def dedup_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
@@ -98,24 +97,18 @@ def dedup_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFram
     have no length limit. Empty tables give empty results. Columns named n_lines, n_dropped or
     keep_runs are replaced, all others stay.
     """
-    bitmaps = keep_bitmaps(docs, min_key_chars).select(
-        F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("dropped").alias("_dropped")
-    )
+    bitmaps = keep_bitmaps(docs, min_key_chars).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("drop_runs").alias("_runs"))
     own = docs.drop("n_lines", "n_dropped", "keep_runs").withColumn("text", text_or_empty())
     joined = own.join(
         bitmaps.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_version")), "left"
     )
-    lines = F.split("text", "\n", -1)
-    n_lines = F.size(lines)
-    runs = F.when(F.col("_dropped").isNull(), F.array(F.struct(F.lit(0).alias("start"), n_lines.alias("length")))).otherwise(
-        kept_runs(F.col("_dropped"), n_lines)
-    )
-    rebuilt = kept_lines(lines, F.col("_dropped"), n_lines)
+    # Lines and runs are columns of their own, so that cutting out a run looks nothing up anew.
+    cut = joined.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_runs", F.coalesce("_runs", F.array().cast(RUNS)))
+    cut = cut.withColumn("keep_runs", runs_between(F.col("_runs"), F.size("_lines")))
+    kept = F.array_join(F.flatten(F.transform("keep_runs", lambda run: F.slice("_lines", run["start"] + 1, run["length"]))), "\n")
     return (
-        joined.withColumn("n_lines", n_lines.cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
-        .withColumn("keep_runs", runs)
-        .withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(rebuilt))
-        .drop("_doc", "_version", "_dropped")
+        cut.withColumn("n_lines", F.size("_lines").cast("long"))
+        .withColumn("n_dropped", F.aggregate("_runs", F.lit(0), lambda n, run: n + run["length"]).cast("long"))
+        .withColumn("text", F.when(F.size("_runs") == 0, F.col("text")).otherwise(kept))
+        .select(*[c for c in own.columns], "n_lines", "n_dropped", "keep_runs")
     )
