@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from quarrymill.staging import with_position
 
 
+def open_work(work: DataFrame, done: DataFrame, key: str, statuses: list[str]) -> DataFrame:
+    """Rows of ``work`` (key, status, url) with a wanted status and a url that ``done`` lacks, in no order."""
+    wanted = work.where(F.col("status").isin(statuses) & F.col("url").isNotNull() & (F.col("url") != ""))
+    return wanted.join(done.select(key), key, "left_anti")
+
+
 def pending_work(work: DataFrame, done: DataFrame, key: str, statuses: list[str], after: int, limit: int | None) -> DataFrame:
     """Rows of ``work`` (id, key, status, url) with a wanted status and a url that ``done`` lacks.
 
     Keyset page: ids above ``after`` in order, ``limit`` of them, or all without a limit.
     """
-    wanted = work.where(F.col("status").isin(statuses) & F.col("url").isNotNull() & (F.col("url") != "") & (F.col("id") > after))
-    open_rows = wanted.join(done.select(key), key, "left_anti").orderBy("id")
+    open_rows = open_work(work.where(F.col("id") > after), done, key, statuses).orderBy("id")
     return open_rows if limit is None else open_rows.limit(limit)
 
 

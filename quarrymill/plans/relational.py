@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import relational as rel
 from quarrymill.session import table
+from quarrymill.staging import in_buckets
 
 STATUSES = ["BUILDING", "MACHINERY", "AUTOMOBILE"]
 AFTER, LIMIT, PARTS = 100, 500, 5
@@ -42,6 +43,12 @@ def all_pending_work(spark: SparkSession, directory: str) -> DataFrame:
     return rel.pending_work(discovery(spark, directory), scraped(spark, directory), "key", STATUSES, 0, None).select("id", "key")
 
 
+def pending_in_buckets(spark: SparkSession, directory: str) -> DataFrame:
+    """As all_pending_work, from work and done keys that are stored in equal buckets: asked again and again, it shuffles neither."""
+    work, done = in_buckets(discovery(spark, directory), "work", "key", 16), in_buckets(scraped(spark, directory), "done", "key", 16)
+    return rel.open_work(work, done, "key", STATUSES).select("id", "key")
+
+
 def pending_count(spark: SparkSession, directory: str) -> DataFrame:
     return rel.pending_count(discovery(spark, directory), scraped(spark, directory), "key")
 
@@ -124,6 +131,7 @@ QUERIES = {
         f"SELECT id, key, status FROM {D} d WHERE {IN} AND id > {AFTER} AND NOT EXISTS (SELECT 1 FROM {S} s WHERE s.key = d.key) ORDER BY id LIMIT {LIMIT}",
     ),
     "all_pending_work": (all_pending_work, f"SELECT id, key FROM {D} d WHERE {IN} AND key NOT IN (SELECT key FROM {S})"),
+    "pending_in_buckets": (pending_in_buckets, f"SELECT id, key FROM {D} d WHERE {IN} AND key NOT IN (SELECT key FROM {S})"),
     "pending_count": (
         pending_count,
         f"""SELECT total, scraped, greatest(0, total - scraped) AS pending, pending_by_key FROM (SELECT count(*) AS total FROM {D}),

@@ -9,6 +9,7 @@ from quarrymill.functions import outcomes
 from quarrymill.operators import telemetry as tel
 from quarrymill.plans.links import LINKS_SQL
 from quarrymill.session import table
+from quarrymill.staging import staged
 
 # Stand-in: event types as failure reasons; a purchase is a success.
 REASONS = {"click": "probe_dns_error", "error": "proxy_fail:proxy_timeout", "view": "scrape_blocked_cloudflare", "signup": "scrape_thin_content"}
@@ -78,6 +79,16 @@ def median_percentiles(spark: SparkSession, directory: str) -> DataFrame:
     return tel.rank_percentiles(attempts(spark, directory), ["event_type"], "ms", [50, 95], "median", 3)
 
 
+def percentile_states(spark: SparkSession, directory: str) -> DataFrame:
+    """States of sixteen instances, stored and merged: counts, means, and whether each percentile's true rank is within twice the stated error."""
+    rows = attempts(spark, directory).select("event_type", "user_id", "ms").where("ms IS NOT NULL")
+    stored = staged(tel.value_states(rows.withColumn("instance", F.col("user_id") % 16), ["event_type", "instance"], "ms"), "latency-states")
+    merged = staged(tel.state_percentiles(tel.merged_states(stored, ["event_type"]), ["event_type"], [50, 95, 99]), "percentiles")
+    ranked, error = rows.join(merged, "event_type"), 2 * tel.RANK_ERROR  # twice what 99 of 100 keep to
+    within = lambda p: (F.count_if(F.col("ms") < F.col(f"p{p}")) / F.count("*") <= p / 100 + error) & (F.count_if(F.col("ms") <= F.col(f"p{p}")) / F.count("*") >= p / 100 - error)
+    return ranked.groupBy("event_type").agg(F.first("n").alias("n"), F.round(F.first("mean"), 4).alias("mean"), *[within(p).alias(f"p{p}_within") for p in (50, 95, 99)])
+
+
 def latency_stats(spark: SparkSession, directory: str) -> DataFrame:
     rows = attempts(spark, directory).groupBy("event_type")
     return rows.agg(
@@ -245,6 +256,10 @@ QUERIES = {
     "latency_percentiles": (latency_percentiles, _percentile_sql("event_type", ", ".join(_pick(p) for p in (50, 75, 90, 95, 99)))),
     "overall_percentiles": (overall_percentiles, _percentile_sql("", f"{_pick(50, None, 'floor(n / 2)')}, {_pick(90, None)}, {_pick(99, None)}")),
     "median_percentiles": (median_percentiles, _percentile_sql("event_type", f"{MEDIAN}, {_pick(95, 3)}")),
+    "percentile_states": (
+        percentile_states,
+        f"SELECT event_type, count(*) AS n, round(avg(ms), 4) AS mean, true AS p50_within, true AS p95_within, true AS p99_within FROM {ATT} WHERE ms IS NOT NULL GROUP BY 1",
+    ),
     "latency_stats": (
         latency_stats,
         f"SELECT event_type, round(avg(ms), 4) AS avg_ms, min(ms) AS min_ms, max(ms) AS max_ms, round(coalesce(stddev_samp(ms), 0), 4) AS stdev_ms FROM {ATT} GROUP BY 1",

@@ -37,6 +37,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written once as a table in ``buckets`` parts by the key's hash, in the shared folder.
+
+    Tables with equal buckets of a key join on it without a shuffle on either side.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_folder(spark)}/{table}"
+    # Rows of a bucket meet before they are written, so that each bucket is one file.
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def with_position(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "position") -> DataFrame:
     """``df`` with each row's place (from 0) within its keys in the given order.
 

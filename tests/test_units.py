@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import outcomes, pages, text, urls
 from quarrymill.operators import chunks, discovery, extract, facts, health, html, links, relational, sections, telemetry, text_lines
 from quarrymill.sources import files
-from quarrymill.staging import with_position
+from quarrymill.staging import in_buckets, with_position
 
 
 def values(spark, inputs, expression, kind="string"):
@@ -332,3 +332,28 @@ def test_row_ids_have_no_gaps(spark):
 def test_pages_with_other_entities_go_to_the_parser(spark):
     rows = spark.createDataFrame([(1, "u", "<p>caf&eacute; &amp; p&#227;o</p>"), (2, "u", "<p>a &amp; b</p>"), (3, "u", None)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html.page_texts(rows).collect()} == {1: "café & pão", 2: "a & b", 3: None}
+
+
+def test_equal_buckets_join_without_a_shuffle(spark):
+    rows = spark.range(5000).select("id", F.col("id").cast("string").alias("key"), F.lit("new").alias("status"), F.lit("u").alias("url"))
+    work, done = in_buckets(rows, "work", "key", 8), in_buckets(rows.where("id % 3 = 0").select("key"), "done", "key", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = relational.open_work(work, done, "key", ["new"])
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 5000 - 1667
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_percentiles_from_merged_states(spark):
+    rows = spark.range(200_000).select((F.col("id") % 37).alias("instance"), F.pow(F.lit(1.0001), F.col("id")).alias("v"), F.lit("k").alias("key"))  # skewed by far
+    states = telemetry.value_states(rows, ["key", "instance"], "v")
+    assert states.agg(F.max(F.octet_length("summary"))).first()[0] < 60_000
+    steps = telemetry.merged_states(states.withColumn("half", F.col("instance") % 2), ["key", "half"])
+    for merged in (telemetry.merged_states(states, ["key"]), telemetry.merged_states(steps.orderBy(F.desc("half")), ["key"])):
+        row = telemetry.state_percentiles(merged, ["key"], [1, 50, 95, 99.9]).first()
+        assert row.n == 200_000 and row.mean == pytest.approx(rows.agg(F.avg("v")).first()[0])
+        for p, name in ((1, "p1"), (50, "p50"), (95, "p95"), (99.9, "p99.9")):
+            assert abs(rows.where(F.col("v") <= row[name]).count() / 200_000 - p / 100) < 2 * telemetry.RANK_ERROR
+    assert telemetry.value_states(rows.where("v < 0"), ["key"], "v").count() == 0
