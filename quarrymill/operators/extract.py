@@ -93,7 +93,7 @@ def with_json_object(rows: DataFrame, answer: str, name: str = "json") -> DataFr
     JSON, expressions are enough; only other answers leave the JVM.
     """
     body = F.regexp_replace(F.regexp_replace(answer, r"(?s)^.*?```(?:json)?\s*", ""), r"(?s)```.*$", "")
-    simple = F.nullif(F.regexp_extract(body, r"(?s)^[^{]*(\{[^{}]*\})\s*$", 1), F.lit(""))
+    simple = F.nullif(F.regexp_extract(body, r"(?s)^[^{]*(\{.*\})\s*$", 1), F.lit(""))  # nested objects too
     good = F.coalesce(F.try_parse_json(simple).isNotNull(), F.lit(False))
     hard = F.coalesce(F.contains(body, F.lit("{")) & ~good, F.lit(False))
     return _some_in_python(rows, name, F.when(good, simple), hard, body, _mended)

@@ -156,6 +156,11 @@ def normal_profiles(answers: DataFrame, body: str) -> DataFrame:
     return taken.select(*rest, *sections, "sources")
 
 
+def founding_year(told: Column) -> Column:
+    """A year told as a whole number, null for any other text."""
+    return F.when(told.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.regexp_replace(told, r"\s", "").try_cast("int"))
+
+
 def profile_json(profiles: DataFrame) -> Column:
     """The nested profile as one JSON text, null fields included, as it is stored."""
     return F.to_json(F.struct(*SECTIONS), {"ignoreNullFields": "false"})

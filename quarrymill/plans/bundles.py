@@ -1,4 +1,4 @@
-"""Registered queries on whole nested profiles: normalised answers and their merge."""
+"""Registered queries on whole nested profiles: normalised answers and their merge (J02, J07, M07, M11, M12, D02, AR9)."""
 
 from __future__ import annotations
 
@@ -35,6 +35,16 @@ def normal_profiles(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("k", nm.completeness(found).alias("score"), F.md5(nm.profile_json(found)).alias("json_md5"))
 
 
+def founding_years(spark: SparkSession, directory: str) -> DataFrame:
+    """Founding years as answers tell them: numbers, numbers as text, and other text."""
+    k = F.col("p_partkey")
+    year = (1950 + k % 70).cast("string")
+    told = F.when(k % 5 == 0, year).when(k % 5 == 1, F.concat(F.lit('" '), year, F.lit('"'))).when(k % 5 == 2, F.concat(F.lit('"desde '), year, F.lit('"'))).when(k % 5 == 3, F.concat(year, F.lit(".5"))).otherwise(F.lit("null"))
+    body = F.concat(F.lit('{"identity": {"founding_year": '), told, F.lit("}}"))
+    found = nm.normal_profiles(table(spark, directory, "part").select("p_partkey", body.alias("body")), "body")
+    return found.select("p_partkey", nm.founding_year(F.col("identity.founding_year")).alias("founding_year"))
+
+
 def upserted_profile_json(spark: SparkSession, directory: str) -> DataFrame:
     """Profiles stored as JSON; answers of brands' later parts replace the earlier ones."""
     found = nm.normal_profiles(answers(spark, directory).where("k % 13 <> 0"), "body")
@@ -89,6 +99,7 @@ QUERIES = {
         normal_profiles,
         f"SELECT k, CASE WHEN k % 13 = 0 THEN 0 ELSE {SCORE} END AS score, md5(CASE WHEN k % 13 = 0 THEN '{EMPTY_JSON}' ELSE {JSON} END) AS json_md5 FROM {PARTS}",
     ),
+    "founding_years": (founding_years, "SELECT p_partkey, CASE WHEN p_partkey % 5 < 2 THEN (1950 + p_partkey % 70)::INTEGER END AS founding_year FROM part"),
     "upserted_profile_json": (
         upserted_profile_json,
         f"""SELECT p_brand AS key, max_by(k, (k % 2, k)) AS k, md5(max_by({JSON}, (k % 2, k))) AS json_md5 FROM {PARTS} WHERE k % 13 <> 0 AND k % 4 <> 0 GROUP BY p_brand""",
