@@ -28,7 +28,8 @@ CHUNK, OVERLAP, WIDTH, FILTERS = 512, 64, 6, 16
 SYMBOLS, GRAM, LAGS = 512, 8, range(2, 33)
 #: Chunks that go through the filters together.
 SLICE = 64
-EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.01, 1e-5
+#: Passes over the sample, more where they are fewer than STEPS steps; batch, rate of learning, decay of weights.
+EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 192, 64, 0.01, 1e-5
 THRESHOLD = 0.7
 
 
@@ -115,7 +116,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 0) -> Network | Non
     values = [net.filters, net.bias, net.weights, np.array([net.offset], np.float32)]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS // -(-len(texts) // BATCH)))):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             docs, step = order[at : at + BATCH], step + 1
