@@ -169,6 +169,13 @@ def test_card_numbers_need_their_check_digit():
     assert pii.reconcile(f"{good} {bad}", found, []) == [(2, 0, 19)]
 
 
+def test_model_emails_need_an_at_sign_and_short_cards_their_first_digits():
+    assert pii.reconcile("the.*** a@b", [(0, 0, 7, 0.99), (0, 8, 11, 0.99)], []) == [(0, 8, 11)]
+    timestamp, diners = "20231105123456", "30569309025904"
+    assert pii.luhn(timestamp) and pii.luhn(diners)
+    assert pii.reconcile(f"{timestamp} {diners}", [(2, 0, 14, 0.99), (2, 15, 29, 0.99)], []) == [(2, 15, 29)]
+
+
 def test_reconcile_over_windows():
     text = "x" * 400 + "a" * 30 + "@b.co" + "x" * 400
     halves = [(0, 400, 420, 0.95), (0, 410, 435, 0.99), (0, 400, 435, 0.97), (3, 405, 415, 0.91), (2, 600, 610, 0.5)]
