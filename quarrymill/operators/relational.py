@@ -14,12 +14,13 @@ def open_work(work: DataFrame, done: DataFrame, key: str, statuses: list[str]) -
     return wanted.join(done.select(key), key, "left_anti")
 
 
-def pending_work(work: DataFrame, done: DataFrame, key: str, statuses: list[str], after: int, limit: int | None) -> DataFrame:
+def pending_work(work: DataFrame, done: DataFrame, key: str, statuses: list[str], after: int | None, limit: int | None) -> DataFrame:
     """Rows of ``work`` (id, key, status, url) with a wanted status and a url that ``done`` lacks.
 
-    Keyset page: ids above ``after`` in order, ``limit`` of them, or all without a limit.
+    Keyset page: ids above ``after`` in order, ``limit`` of them; without either, from the first or to the last.
     """
-    open_rows = open_work(work.where(F.col("id") > after), done, key, statuses).orderBy("id")
+    left = work if after is None else work.where(F.col("id") > after)
+    open_rows = open_work(left, done, key, statuses).orderBy("id")
     return open_rows if limit is None else open_rows.limit(limit)
 
 

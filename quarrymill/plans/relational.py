@@ -40,7 +40,7 @@ def pending_work(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def all_pending_work(spark: SparkSession, directory: str) -> DataFrame:
-    return rel.pending_work(discovery(spark, directory), scraped(spark, directory), "key", STATUSES, 0, None).select("id", "key")
+    return rel.pending_work(discovery(spark, directory), scraped(spark, directory), "key", STATUSES, None, None).select("id", "key")
 
 
 def pending_in_buckets(spark: SparkSession, directory: str) -> DataFrame:
