@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.functions.text import CHARS_PER_TOKEN, EFFECTIVE_MAX_TOKENS
 from quarrymill.operators import chunks as ck
 from quarrymill.plans.documents import DOCS, FIRST
 from quarrymill.session import table
@@ -67,14 +68,14 @@ def page_issues(spark: SparkSession, directory: str) -> DataFrame:
 PAGES = f"(SELECT source || '-' || CAST(floor(doc_id / {CRAWL}) AS BIGINT) AS site, doc_id, 'https://' || source || '.example.com/' || doc_id AS url, coalesce(text, '') AS text FROM documents)"
 
 
-def _cut(at: str) -> str:
+def _cut(at: str, limit: int = 3 * SMALL) -> str:
     """Where a piece that starts at ``at`` ends: after the last paragraph, line or space of its second half."""
-    window = f"reverse(substr(text, {at} + {LIMIT // 2} + 1, {LIMIT - LIMIT // 2}))"
-    steps = " ".join(f"WHEN contains({window}, {mark}) THEN {at} + {LIMIT} - strpos({window}, {mark}) + 1" for mark in ("chr(10) || chr(10)", "chr(10)", "' '"))
-    return f"CASE WHEN length(text) - {at} <= {LIMIT} THEN length(text) {steps} ELSE {at} + {LIMIT} END"
+    window = f"reverse(substr(text, {at} + {limit // 2} + 1, {limit - limit // 2}))"
+    steps = " ".join(f"WHEN contains({window}, {mark}) THEN {at} + {limit} - strpos({window}, {mark}) + 1" for mark in ("chr(10) || chr(10)", "chr(10)", "' '"))
+    return f"CASE WHEN length(text) - {at} <= {limit} THEN length(text) {steps} ELSE {at} + {limit} END"
 
 
-LIMIT = 3 * SMALL
+LIMIT, WHOLE = 3 * SMALL, CHARS_PER_TOKEN * EFFECTIVE_MAX_TOKENS
 STATS_SQL = f"""WITH RECURSIVE cuts AS (SELECT site, doc_id, text, 0 AS part, 0 AS a, {_cut("0")} AS b FROM {PAGES}
   UNION ALL SELECT site, doc_id, text, part + 1, b, {_cut("b")} FROM cuts WHERE b < length(text)),
 d AS (SELECT site, b - a AS n, row_number() OVER (PARTITION BY site ORDER BY doc_id, part) AS k FROM cuts),
@@ -123,10 +124,13 @@ QUERIES = {
     ),
     "chunked_sites": (
         chunked_sites,
-        f"""WITH RECURSIVE d AS (SELECT site, url, text, row_number() OVER (PARTITION BY site ORDER BY doc_id) AS k, length(text) AS n FROM {PAGES}),
+        f"""WITH RECURSIVE cuts AS (SELECT site, doc_id, url, text, 0 AS part, 0 AS a, {_cut("0", WHOLE)} AS b FROM {PAGES}
+          UNION ALL SELECT site, doc_id, url, text, part + 1, b, {_cut("b", WHOLE)} FROM cuts WHERE b < length(text)),
+        d AS (SELECT site, doc_id, url, substr(text, a + 1, b - a) AS text, row_number() OVER (PARTITION BY site ORDER BY doc_id, part) AS k, b - a AS n FROM cuts),
         w AS (SELECT site, k, n AS used, 1 AS chunk_index FROM d WHERE k = 1
-          UNION ALL SELECT d.site, d.k, CASE WHEN w.used + 2 + d.n > 44117 THEN d.n ELSE w.used + 2 + d.n END, CASE WHEN w.used + 2 + d.n > 44117 THEN w.chunk_index + 1 ELSE w.chunk_index END FROM w JOIN d ON d.site = w.site AND d.k = w.k + 1),
-        c AS (SELECT site, chunk_index, string_agg(text, chr(10) || chr(10) ORDER BY k) AS content, array_to_string(list(url ORDER BY k)[:5], ',') AS page_source FROM w JOIN d USING (site, k) GROUP BY 1, 2)
+          UNION ALL SELECT d.site, d.k, CASE WHEN w.used + 2 + d.n > {WHOLE + 2} THEN d.n ELSE w.used + 2 + d.n END, CASE WHEN w.used + 2 + d.n > {WHOLE + 2} THEN w.chunk_index + 1 ELSE w.chunk_index END FROM w JOIN d ON d.site = w.site AND d.k = w.k + 1),
+        u AS (SELECT site, chunk_index, array_to_string(list(url ORDER BY k)[:5], ',') AS page_source FROM (SELECT site, chunk_index, url, min(k) AS k FROM w JOIN d USING (site, k) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        c AS (SELECT site, chunk_index, string_agg(text, chr(10) || chr(10) ORDER BY k) AS content, any_value(page_source) AS page_source FROM w JOIN d USING (site, k) JOIN u USING (site, chunk_index) GROUP BY 1, 2)
         SELECT site, chunk_index, CAST(count(*) OVER (PARTITION BY site) AS INTEGER) AS total_chunks, md5(content) AS content_md5, length(content) // 3 AS tokens, page_source,
           concat_ws(',', CASE WHEN length(content) // 3 > 14705 THEN 'over_effective' END, CASE WHEN trim(content) = '' THEN 'empty' END, CASE WHEN length(trim(content)) < 500 THEN 'short' END) AS issues FROM c""",
     ),

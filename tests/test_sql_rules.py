@@ -17,3 +17,9 @@ def test_all_work_has_no_least_id(spark, tmp_path):
     check(spark, tmp_path, "customer", "c_custkey long, c_mktsegment string, c_name string", rows)
     check(spark, tmp_path, "orders", "o_custkey long, o_orderstatus string, o_orderpriority string", [(2, "P", "1-URGENT"), (1, "P", "2-HIGH")])
     assert same(spark, tmp_path, "all_pending_work") == 3
+
+
+def test_pages_over_the_limit_are_cut_in_the_sql_too(spark, tmp_path):
+    texts = ["word " * 20000, "x" * 44115, "x" * 44116, "", None, "line\n" * 9000 + "\n\n" + "y" * 50000, "short"]
+    check(spark, tmp_path, "documents", "doc_id long, source string, text string", [(n, "s", text) for n, text in enumerate(texts)])
+    assert same(spark, tmp_path, "chunked_sites") > 6
