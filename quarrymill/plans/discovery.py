@@ -111,9 +111,10 @@ def name_domain_match(spark: SparkSession, directory: str) -> DataFrame:
 SQL_TEXT = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
 for _tag in pg.HIDDEN_TAGS:
     SQL_TEXT = f"regexp_replace({SQL_TEXT}, '<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'gsi')"
-UNESCAPED = "p"
-for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-    UNESCAPED = f"replace({UNESCAPED}, '{_entity}', '{_char}')"
+# References may lack the semicolon, as an HTML parser reads them; ampersand last. A number ends where its digits do.
+UNESCAPED = r"regexp_replace(p, '&#39(?:;|([^0-9;]|$))', '''\1', 'g')"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\xa0"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    UNESCAPED = f"regexp_replace({UNESCAPED}, '&{_name};?', '{_char}', 'g')"
 TEXT = f"""(SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace({SQL_TEXT}, '<[^>]*>', chr(10), 'g'), chr(10)),
   lambda p: regexp_replace({UNESCAPED}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')), lambda p: p <> ''), chr(10)), '') AS text FROM pages)"""
 HOST = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)), '^www\\.', ''), '^m\\.', ''), '^mobile\\.', '')"
