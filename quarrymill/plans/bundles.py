@@ -11,6 +11,7 @@ from quarrymill.operators import relational as rl
 from quarrymill.plans.facts import MORE, SUPPLIED
 from quarrymill.plans.sections import _supplied
 from quarrymill.session import table
+from quarrymill.staging import spread
 
 #: Answers as a model might give them, with scalars for lists, lists for objects and odd values in lists.
 ANSWER = """concat(CASE WHEN k % 5 = 0 THEN '[' ELSE '' END,
@@ -25,8 +26,12 @@ ANSWER = """concat(CASE WHEN k % 5 = 0 THEN '[' ELSE '' END,
 
 def answers(spark: SparkSession, directory: str) -> DataFrame:
     """Every part as an answer on its own; each thirteenth is no object."""
-    parts = table(spark, directory, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_type", "p_brand")
-    return parts.select("k", F.expr(f"CASE WHEN k % 13 = 0 THEN '[]' ELSE {ANSWER} END").alias("body"))
+    return _parts(spark, directory).select("k", F.expr(f"CASE WHEN k % 13 = 0 THEN '[]' ELSE {ANSWER} END").alias("body"))
+
+
+def _parts(spark: SparkSession, directory: str) -> DataFrame:
+    """Parts, spread, since an answer is many times its row and is rewritten at some cost."""
+    return spread(table(spark, directory, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_type", "p_brand"))
 
 
 def normal_profiles(spark: SparkSession, directory: str) -> DataFrame:
@@ -41,7 +46,7 @@ def founding_years(spark: SparkSession, directory: str) -> DataFrame:
     year = (1950 + k % 70).cast("string")
     told = F.when(k % 5 == 0, year).when(k % 5 == 1, F.concat(F.lit('" '), year, F.lit('"'))).when(k % 5 == 2, F.concat(F.lit('"desde '), year, F.lit('"'))).when(k % 5 == 3, F.concat(year, F.lit(".5"))).otherwise(F.lit("null"))
     body = F.concat(F.lit('{"identity": {"founding_year": '), told, F.lit("}}"))
-    found = nm.normal_profiles(table(spark, directory, "part").select("p_partkey", body.alias("body")), "body")
+    found = nm.normal_profiles(spread(table(spark, directory, "part").select("p_partkey")).select("p_partkey", body.alias("body")), "body")
     return found.select("p_partkey", nm.founding_year(F.col("identity.founding_year")).alias("founding_year"))
 
 

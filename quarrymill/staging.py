@@ -37,6 +37,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to several tasks for each core.
+
+    A small file is one task's, whatever its rows cost further on. Rows should still be narrow
+    here. The number is given, since adaptive execution would put small partitions together again.
+    """
+    return df.repartition(max(64, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def in_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """``df`` written once as a table in ``buckets`` parts by the key's hash, in the shared folder.
 
