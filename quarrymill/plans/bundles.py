@@ -11,7 +11,7 @@ from quarrymill.operators import relational as rl
 from quarrymill.plans.facts import MORE, SUPPLIED
 from quarrymill.plans.sections import _supplied
 from quarrymill.session import table
-from quarrymill.staging import spread
+from quarrymill.staging import spread, staged
 
 #: Answers as a model might give them, with scalars for lists, lists for objects and odd values in lists.
 ANSWER = """concat(CASE WHEN k % 5 = 0 THEN '[' ELSE '' END,
@@ -53,7 +53,8 @@ def founding_years(spark: SparkSession, directory: str) -> DataFrame:
 def upserted_profile_json(spark: SparkSession, directory: str) -> DataFrame:
     """Profiles stored as JSON; answers of brands' later parts replace the earlier ones."""
     found = nm.normal_profiles(answers(spark, directory).where("k % 13 <> 0"), "body")
-    stored = found.select(F.col("classification.industry").alias("key"), "k", nm.profile_json(found).alias("json")).where("key IS NOT NULL")
+    # Written once: the filter and both sides would each rewrite the answers again.
+    stored = staged(found.select(F.col("classification.industry").alias("key"), "k", nm.profile_json(found).alias("json")), "stored").where("key IS NOT NULL")
     old, new = (rl.latest_value(stored.where(f"k % 2 = {part}"), "key", ["k"]) for part in (0, 1))
     return rl.upsert(old, new, "key").select("key", "k", F.md5("json").alias("json_md5"))
 

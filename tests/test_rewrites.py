@@ -9,3 +9,8 @@ def plan(df):
 
 def test_answers_of_one_file_are_many_tasks(spark, small_dir):
     assert bundles.answers(spark, small_dir).rdd.getNumPartitions() >= 64
+
+
+def test_stored_answers_are_rewritten_once(spark, small_dir):
+    assert "parse_json" in plan(bundles.normal_profiles(spark, small_dir))
+    assert "parse_json" not in plan(bundles.upserted_profile_json(spark, small_dir))
