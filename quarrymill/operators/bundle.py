@@ -57,8 +57,8 @@ def merged_profiles(profiles: DataFrame) -> DataFrame:
     first-seen order, without blanks and repeats. A company of one profile is merged and
     cleaned like any other.
     """
-    scored = profiles.withColumn("score", completeness(profiles))
-    ranked = staged(in_fold_order(scored), "ranked")
+    # Written once; what follows reads its own columns of it and joins the bases, which are narrow.
+    ranked = in_fold_order(staged(profiles.withColumn("score", completeness(profiles)), "scored"))
     singles, firsts, unions = [], [], []
     for section, fields in PROFILE.items():
         for field in fields:

@@ -55,8 +55,12 @@ def merged_lists(profiles: DataFrame) -> DataFrame:
 
 
 def in_fold_order(profiles: DataFrame) -> DataFrame:
-    """``profiles`` (company, chunk, score, ...) with rank: the company's base profile first, the others by chunk."""
-    best = profiles.groupBy("company").agg(F.max_by("chunk", F.struct("score", -F.col("chunk"))).alias("_base"))
+    """``profiles`` (company, chunk, score, ...) with rank: the company's base profile first, the others by chunk.
+
+    They are read for the bases and again for the rows, so they should be staged. The bases are
+    staged here: two columns, so that their size tells Spark whether to broadcast them.
+    """
+    best = staged(profiles.groupBy("company").agg(F.max_by("chunk", F.struct("score", -F.col("chunk"))).alias("_base")), "bases")
     return profiles.join(best, "company").withColumn("rank", F.struct((F.col("chunk") != F.col("_base")).alias("other"), "chunk")).drop("_base")
 
 

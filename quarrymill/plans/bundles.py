@@ -9,7 +9,6 @@ from quarrymill.operators import bundle as bd
 from quarrymill.operators import normal as nm
 from quarrymill.operators import relational as rl
 from quarrymill.plans.facts import MORE, SUPPLIED
-from quarrymill.plans.sections import _supplied
 from quarrymill.session import table
 from quarrymill.staging import spread, staged
 
@@ -61,9 +60,12 @@ def upserted_profile_json(spark: SparkSession, directory: str) -> DataFrame:
 
 def merged_bundles(spark: SparkSession, directory: str) -> DataFrame:
     """Suppliers' profiles, each merged from the answers for all parts that they deliver."""
-    supplied = _supplied(spark, directory).withColumn("k", F.col("place"))
-    partial = supplied.select("company", F.col("place").alias("chunk"), F.expr(ANSWER).alias("body"))
-    merged = bd.merged_profiles(nm.normal_profiles(partial, "body"))
+    # A part's answer is rewritten once and not for each supplier of it.
+    profiles = staged(nm.normal_profiles(_parts(spark, directory).select("k", F.expr(ANSWER).alias("body")), "body"), "answers")
+    lines = table(spark, directory, "lineitem").select(F.col("l_suppkey").alias("company"), F.col("l_partkey").alias("chunk")).distinct()
+    # Profiles are many times as large in memory as in their files, so they are not broadcast.
+    partial = lines.join(profiles.hint("merge"), F.col("chunk") == F.col("k")).drop("k")
+    merged = bd.merged_profiles(partial)
     joined = lambda values: F.array_join(values, "|")
     services = F.transform("offerings.service_details", lambda s: F.concat_ws("#", s["name"], s["description"], s["methodology"], joined(s["deliverables"])))
     categories = F.transform("offerings.product_categories", lambda c: F.concat_ws("#", c["category_name"], joined(c["items"])))
