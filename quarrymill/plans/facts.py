@@ -9,6 +9,7 @@ from quarrymill.functions import text as tx
 from quarrymill.operators import facts as ft
 from quarrymill.operators import profiles as pf
 from quarrymill.session import table
+from quarrymill.staging import tasks_for
 
 MARKS = (" cliente fiel", " ISO 9001", " award", " parceiro", " nada")
 
@@ -32,27 +33,31 @@ def merged_contacts(spark: SparkSession, directory: str) -> DataFrame:
     return ft.merged_lists(ft.routed(contact_facts(spark, directory))).select("company", "field", "rank", "value", "evidence")
 
 
-def _supplier_facts(spark: SparkSession, directory: str) -> DataFrame:
-    lines = table(spark, directory, "lineitem").select("l_suppkey", "l_partkey").distinct()
+def supplied_parts(spark: SparkSession, directory: str) -> DataFrame:
+    """What each supplier delivers: company, chunk (the part), name, type, brand; tasks hold a bounded number of lines."""
+    lines = table(spark, directory, "lineitem").select("l_suppkey", "l_partkey")
     part = table(spark, directory, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("company"), F.col("l_partkey").alias("chunk"), "p_name", "p_type", "p_brand")
+    n = tasks_for(lines)
+    pairs = lines.repartition(n, "l_partkey").distinct()
+    joined = pairs.join(part.repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select(F.col("l_suppkey").alias("company"), F.col("l_partkey").alias("chunk"), "p_name", "p_type", "p_brand")
 
 
 def merged_offerings(spark: SparkSession, directory: str) -> DataFrame:
-    rows = _supplier_facts(spark, directory)
+    rows = supplied_parts(spark, directory)
     facts = rows.select("company", "chunk", F.posexplode(F.array("p_type", "p_brand")).alias("pos", "value"), F.lit("offerings").alias("section"), F.lit("").alias("quote"))
     return ft.merged_lists(ft.routed(facts)).select("company", "field", "rank", "value", "evidence")
 
 
 def merged_reputation(spark: SparkSession, directory: str) -> DataFrame:
-    rows = _supplier_facts(spark, directory)
+    rows = supplied_parts(spark, directory)
     mark = F.element_at(F.array(*map(F.lit, MARKS)), (F.col("chunk") % len(MARKS) + 1).cast("int"))
     facts = rows.select("company", "chunk", F.lit(0).alias("pos"), F.lit("reputation").alias("section"), F.col("p_name").alias("value"), F.concat("p_type", mark).alias("quote"))
     return ft.merged_lists(ft.routed(facts)).select("company", "field", "rank", "value", "evidence")
 
 
 def merged_identity(spark: SparkSession, directory: str) -> DataFrame:
-    rows = _supplier_facts(spark, directory)
+    rows = supplied_parts(spark, directory)
     value = F.when(F.col("chunk") % 5 == 0, F.concat("p_name", F.lit(" LTDA"))).when(F.col("chunk") % 5 == 1, F.concat(F.lit("desde "), "p_brand")).when(F.col("chunk") % 7 == 2, F.concat(F.lit("CNPJ "), "p_name")).otherwise(F.col("p_type"))
     facts = rows.select("company", "chunk", F.lit(0).alias("pos"), F.lit("identity").alias("section"), value.alias("value"), F.lit("").alias("quote"))
     return ft.merged_identity(ft.routed(facts))

@@ -46,6 +46,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(64, 4 * df.sparkSession.sparkContext.defaultParallelism))
 
 
+def tasks_for(rows: DataFrame, each: int = 500_000) -> int:
+    """Partitions for ``rows`` of a stored table (counted from its footers), about ``each`` in one.
+
+    Adaptive execution sizes tasks by shuffled bytes. Where narrow rows become wide ones in the
+    same task, such as keys joined with texts and sorted, that makes tasks of very many rows. A
+    given number of partitions is left as it is, and a join on their key needs no other shuffle.
+    """
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+
+
 def in_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """``df`` written once as a table in ``buckets`` parts by the key's hash, in the shared folder.
 
