@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.text import CHARS_PER_TOKEN, EFFECTIVE_MAX_TOKENS, token_estimate
 from quarrymill.operators.text_lines import preprocess
+from quarrymill.staging import staged
 
 # Page markers, separator, shortest useful chunk, urls kept of a chunk, hard limit.
 START, END, JOINER = "--- PAGE START: ", "--- PAGE END ---", "\n\n"
@@ -105,7 +106,8 @@ def chunk_pages(pages: DataFrame, site: str, max_tokens: int = EFFECTIVE_MAX_TOK
 
     No chunk is over the limit, and nothing of a page is lost. page_source lists the first five urls.
     """
-    pieces = split_pages(pages, site, max_tokens)
+    # Written once: sizes and texts would each prepare and cut the pages again.
+    pieces = staged(split_pages(pages, site, max_tokens), "pieces")
     sized = pieces.withColumn("n", F.char_length("text"))
     # floor(characters / 3) stays within the limit up to two characters more.
     index = greedy_chunks(sized, site, "n", max_tokens * CHARS_PER_TOKEN + CHARS_PER_TOKEN - 1, len(JOINER))

@@ -1,6 +1,6 @@
 """Rewriting answers is dealt out to many tasks and done once for each answer."""
 
-from quarrymill.plans import bundles
+from quarrymill.plans import bundles, chunks
 
 
 def plan(df):
@@ -21,3 +21,7 @@ def test_answers_are_rewritten_for_each_part_and_not_for_each_supplier(spark, sm
     monkeypatch.setattr(bundles.bd, "merged_profiles", lambda partial: given.append(partial) or merge(partial))
     bundles.merged_bundles(spark, small_dir)
     assert "parse_json" not in plan(given[0])
+
+
+def test_content_is_prepared_and_cut_once(spark, small_dir):
+    assert plan(chunks.processed_content(spark, small_dir)).count("MapInArrow") == 1
