@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import profiles as pf
 from quarrymill.operators import sections as sc
-from quarrymill.plans.facts import MORE, SUPPLIED
+from quarrymill.plans.facts import MORE, SUPPLIED, supplied_parts
 from quarrymill.session import table
 
 # Entries from which a list counts as full.
@@ -16,10 +16,7 @@ CAPS = {"emails": 10, "phones": 10, "locations": 25, "products": 60, "services":
 
 def _supplied(spark: SparkSession, directory: str) -> DataFrame:
     """What each supplier delivers: company, place, name, type, brand."""
-    lines = table(spark, directory, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    part = table(spark, directory, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(F.col("l_suppkey").alias("company"), F.col("l_partkey").alias("place"), "p_name", "p_type", "p_brand")
+    return supplied_parts(spark, directory).withColumnRenamed("chunk", "place")
 
 
 def merged_categories(spark: SparkSession, directory: str) -> DataFrame:
