@@ -65,11 +65,13 @@ def merged_identity(spark: SparkSession, directory: str) -> DataFrame:
 
 def _profiles(spark: SparkSession, directory: str) -> DataFrame:
     """Orders as partial profiles of customers."""
-    lines = table(spark, directory, "lineitem").groupBy("l_orderkey").agg(
+    given = table(spark, directory, "lineitem")
+    n = tasks_for(given)  # lists are widened again after the join, so tasks are bounded by lines
+    lines = given.select("l_orderkey", "l_partkey", "l_suppkey").repartition(n, "l_orderkey").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_set(F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")))).alias("products"),
         F.array_sort(F.collect_set(F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")))).alias("services"),
     )
-    orders = table(spark, directory, "orders")
+    orders = table(spark, directory, "orders").repartition(n, "o_orderkey")
     joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.select(
         F.col("o_custkey").alias("company"),
