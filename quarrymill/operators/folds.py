@@ -7,10 +7,10 @@ from batch to batch, so that a key may have any number of rows and none is colle
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: share of common words from which two texts tell the same.
@@ -35,13 +35,20 @@ def tell_more(current: str | None, new: str | None) -> str | None:
     return new if len(new) > len(current) else current
 
 
+def _values(column: pa.Array) -> list:
+    """``to_pylist``; by NumPy where that gives the same, since a scalar for each value takes longer than the fold."""
+    by_numpy = pa.types.is_string(column.type) or (pa.types.is_integer(column.type) and not column.null_count)
+    return column.to_numpy(zero_copy_only=False).tolist() if by_numpy else column.to_pylist()
+
+
 def folded_texts(rows: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
     """``keys`` and each of ``fields`` folded by `tell_more` over the key's rows in order; null where no row has any.
 
     A key's rows go to one task, as its fold is sequential, but that task holds one batch and
     the folded texts.
     """
-    ordered = rows.select(*keys, *order, *fields).repartition(*keys).sortWithinPartitions(*keys, *order)
+    # The window brings a key's rows together in order, by a shuffle only where they are not together.
+    ordered = rows.select(*keys, *order, *fields, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("_row"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     n, first = len(keys), len(keys) + len(order)
 
@@ -50,7 +57,7 @@ def folded_texts(rows: DataFrame, keys: list[str], order: list[str], fields: lis
         for batch in batches:
             schema = schema or pa.schema([*(batch.schema.field(i) for i in range(n)), *(pa.field(f, pa.string()) for f in fields)])
             done = []
-            columns = [batch.column(i).to_pylist() for i in (*range(n), *range(first, first + len(fields)))]
+            columns = [_values(batch.column(i)) for i in (*range(n), *range(first, first + len(fields)))]
             for row in zip(*columns, strict=True):
                 if texts is None or row[:n] != key:
                     if texts is not None:
@@ -71,8 +78,13 @@ def ordered_unions(rows: DataFrame, keys: list[str], lists: list[str], place: st
     All lists are exploded in one pass and made distinct before any meets its key.
     """
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("list"), F.col(name).alias("values")) for name in lists])).alias("_l")
-    long = rows.select(*keys, F.col(place).alias("_place"), each).select(*keys, "_place", "_l.list", F.posexplode("_l.values").alias("_pos", "_value"))
-    long = long.withColumn("_value", F.trim("_value")).where("_value <> ''")
-    first = long.groupBy(*keys, "list", "_value").agg(F.min(F.struct("_place", "_pos")).alias("_at"))
+    return listed_unions(rows.select(*keys, F.col(place).alias("_place"), each).select(*keys, "_place", "_l.*"), keys, lists, F.col("_place"), F.struct)
+
+
+def listed_unions(rows: DataFrame, keys: list[str], lists: list[str], place: Column, after: Callable[[Column, Column], Column]) -> DataFrame:
+    """As `ordered_unions`, of rows with one list each: ``keys``, list (its name) and values; ``after`` gives the order by ``place`` and by the place in the list."""
+    each = rows.select(*keys, place.alias("_place"), "list", F.posexplode("values").alias("_pos", "_value"))
+    long = each.select(*keys, "list", after(F.col("_place"), F.col("_pos")).alias("_at"), F.trim("_value").alias("_value")).where("_value <> ''")
+    first = long.groupBy(*keys, "list", "_value").agg(F.min("_at").alias("_at"))
     of = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("_at", "_value")))), lambda x: x["_value"]).alias(name)
     return first.groupBy(*keys).agg(*[of(name) for name in lists])

@@ -8,6 +8,7 @@ so no company is ever held whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,15 +24,15 @@ def longest(text: str, place: str) -> Column:
     return F.min_by(filled, F.when(filled.isNotNull(), F.struct(-F.char_length(text), F.col(place)))).alias(text)
 
 
-def merged_entries(entries: DataFrame, name: str, place: str, lists: list[str], longest_of: list[str], joined: list[str]) -> DataFrame:
+def merged_entries(entries: DataFrame, name: str, place: str, lists: list[str], longest_of: list[str], joined: list[str], keep: Callable[[DataFrame, str], DataFrame] = staged) -> DataFrame:
     """One row for each company and name: ``lists`` united, ``longest_of`` texts (the first of equals), ``joined`` texts folded in order, and ``seen``, the first place.
 
     Entries without a name go. A text that no entry has is null, a list that none has is empty.
     ``place`` is of any type that can be ordered. Entries are staged, so that what they come
-    from is computed once.
+    from is computed once; ``keep`` may leave them as they are, where that costs less.
     """
     keys = ["company", name]
-    named = staged(entries.where(F.coalesce(F.trim(name), F.lit("")) != ""), "entries")
+    named = keep(entries.where(F.coalesce(F.trim(name), F.lit("")) != ""), "entries")
     full = named.groupBy(*keys).agg(*[longest(t, place) for t in longest_of], F.min(place).alias("seen"))
     if joined:
         full = full.join(folded_texts(named, keys, [place], joined), keys)

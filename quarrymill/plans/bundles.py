@@ -10,7 +10,7 @@ from quarrymill.operators import normal as nm
 from quarrymill.operators import relational as rl
 from quarrymill.plans.facts import MORE, SUPPLIED
 from quarrymill.session import table
-from quarrymill.staging import spread, staged
+from quarrymill.staging import spread, spread_tasks, staged, tasks_for
 
 #: Answers as a model might give them, with scalars for lists, lists for objects and odd values in lists.
 ANSWER = """concat(CASE WHEN k % 5 = 0 THEN '[' ELSE '' END,
@@ -60,11 +60,13 @@ def upserted_profile_json(spark: SparkSession, directory: str) -> DataFrame:
 
 def merged_bundles(spark: SparkSession, directory: str) -> DataFrame:
     """Suppliers' profiles, each merged from the answers for all parts that they deliver."""
-    # A part's answer is rewritten once and not for each supplier of it.
-    profiles = staged(nm.normal_profiles(_parts(spark, directory).select("k", F.expr(ANSWER).alias("body")), "body"), "answers")
-    lines = table(spark, directory, "lineitem").select(F.col("l_suppkey").alias("company"), F.col("l_partkey").alias("chunk")).distinct()
-    # Profiles are many times as large in memory as in their files, so they are not broadcast.
-    partial = lines.join(profiles.hint("merge"), F.col("chunk") == F.col("k")).drop("k")
+    lines = table(spark, directory, "lineitem").select("l_suppkey", "l_partkey")
+    part = table(spark, directory, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_type", "p_brand")
+    n = max(spread_tasks(spark), tasks_for(lines))
+    # A part's answer is rewritten once and not for each supplier of it, and travels to none of them.
+    suppliers = lines.repartition(n, "l_partkey").groupBy("l_partkey").agg(F.collect_set("l_suppkey").alias("companies"))
+    shared = suppliers.join(part.repartition(n, "k"), F.col("l_partkey") == F.col("k")).select(F.monotonically_increasing_id().alias("id"), "companies", F.col("k").alias("chunk"), F.expr(ANSWER).alias("body"))
+    partial = staged(nm.normal_profiles(shared, "body"), "answers")
     merged = bd.merged_profiles(partial)
     joined = lambda values: F.array_join(values, "|")
     services = F.transform("offerings.service_details", lambda s: F.concat_ws("#", s["name"], s["description"], s["methodology"], joined(s["deliverables"])))

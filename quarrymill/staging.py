@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,13 +38,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_tasks(spark: SparkSession) -> int:
+    """Several tasks for each core."""
+    return max(64, 4 * spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to several tasks for each core.
 
     A small file is one task's, whatever its rows cost further on. Rows should still be narrow
     here. The number is given, since adaptive execution would put small partitions together again.
     """
-    return df.repartition(max(64, 4 * df.sparkSession.sparkContext.defaultParallelism))
+    return df.repartition(spread_tasks(df.sparkSession))
 
 
 def tasks_for(rows: DataFrame, each: int = 500_000) -> int:
@@ -56,16 +62,18 @@ def tasks_for(rows: DataFrame, each: int = 500_000) -> int:
     return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
 
 
-def in_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+def in_buckets(df: DataFrame, name: str, key: str, buckets: int, then: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """``df`` written once as a table in ``buckets`` parts by the key's hash, in the shared folder.
 
-    Tables with equal buckets of a key join on it without a shuffle on either side.
+    Tables with equal buckets of a key join on it without a shuffle on either side, and groups that
+    hold the key need none. ``then`` is done to the rows of a bucket before they are written; it may
+    not move rows, such as windows over the key.
     """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{shared_folder(spark)}/{table}"
     # Rows of a bucket meet before they are written, so that each bucket is one file.
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    then(df.repartition(buckets, key)).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 
